@@ -153,3 +153,39 @@ def budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = typed_rows(spark, sf_dir)
     audited = rows.withColumns({a: F.col(c).cast("string") for c, a in SOURCE_FIELDS.items()})
     return audited.transform(add_income_mapping, crosswalk(spark)).transform(blank_legacy_accounts)
+
+
+def raw_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows as an unharmonised source: text cells under old headers, with the usual
+    blemishes (thousands separators, ``7.0`` codes, spelling variants, absent totals)."""
+    rows = typed_rows(spark, sf_dir)
+    variant = F.col("l_linenumber") % 3
+    dotted = F.translate(F.format_number(F.col("Cod Subasignación"), 0), ",", ".")
+    service = (
+        F.when((F.col("l_linestatus") == "F") & (variant == 0), "GESTIÓN MUNICIPAL")
+        .when(F.col("l_linestatus") == "F", " Gestion Municipal")
+        .when(variant == 0, "Área Salud").when(variant == 1, "educación").otherwise("Bienestar")
+    )
+    place = F.when(variant == 0, F.concat(F.lit(" "), F.lower(NAME))).when(
+        variant == 1, F.replace(F.col(NAME), F.lit("_"), F.lit("-"))).otherwise(F.col(NAME))
+    text = {
+        "Ejercicio": F.col("Ejercicio"), "Region": F.col("Región"),
+        "Cod Municipio": F.when(variant == 2, F.col(CODE)).otherwise(F.col(CODE) + 100),
+        "Nombre Municipio": place,
+        "Cod Servicio": F.lit(None), "Nombre Servicio": service,
+        "Nombre Area": F.when(variant == 0, "  ").when(variant == 1, "Central"),
+        "Cod Tipo Cuenta": F.when(variant == 0, F.concat(F.col("Cod Tipo Cuenta").cast("string"), F.lit(".0")))
+        .otherwise(F.col("Cod Tipo Cuenta").cast("string")),
+        "Nombre Tipo Cuenta": F.lit("?"),
+        "Cod Subtitulo": F.concat(F.lit(" "), F.col("Cod Subtítulo").cast("string")),
+        "Nombre Subtitulo": F.col("Nombre Subtítulo"),
+        "Cod Item": F.col("Cod Ítem"), "Nombre Item": F.col("Nombre Ítem"),
+        "Cod Asignacion": F.when(variant == 0, "n/a").otherwise(F.col("Cod Asignación").cast("string")),
+        "Nombre Asignacion": F.concat(F.col("Nombre Asignación"), F.lit(" ")),
+        "Cod Subasignacion": dotted, "Nombre Subasignacion": F.col("Nombre Subasignación"),
+        "Ppto inicial": F.when(variant == 1, F.lit("10")),
+        **{f"Modif Ppto {m}": F.col(f"Ppto Modif {m}") for m in MONTHS},
+        **{f"{x} {m}": F.col(f"{x} {m}") for x in MEASURES[1:] for m in MONTHS},
+        "Percibidopag Acum": F.when(variant == 0, F.col("Percibidopag Total").cast("string")).when(variant == 1, "s/i"),
+    }
+    return rows.select(*[c.cast("string").alias(n) for n, c in text.items()], "source_file", "source_row")

@@ -3,18 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arqueo.functions.text import strip
+from arqueo.functions.text import SPACE
 
 MONEY = T.DecimalType(18, 2)
 THOUSANDS = r"^[+-]?\d{1,3}([.,]\d{3})+$"
 
 
+def quoted(column: str) -> str:
+    return f"`{column}`"
+
+
+def trimmed_sql(column: str) -> str:
+    """The trimmed text of a column, as SQL text: wide tables do this to dozens of columns."""
+    return f"regexp_replace(CAST({quoted(column)} AS STRING), r'^{SPACE}+|{SPACE}+$', '')"
+
+
 def fail_when(condition: Column, message: Column | str, value: Column) -> Column:
     """``value``, unless ``condition`` holds: then the job stops with ``message``.
 
@@ -24,29 +32,30 @@ def fail_when(condition: Column, message: Column | str, value: Column) -> Column
     return F.when(condition, F.raise_error(text)).otherwise(value)
 
 
-def to_number(text: Column) -> Column:
-    """Double, null where the text is no number."""
-    return strip(text.cast("string")).try_cast("double")
+def to_number(column: str) -> Column:
+    """Double, null where the text of the column is no number."""
+    return F.expr(f"try_cast({trimmed_sql(column)} AS DOUBLE)")
 
 
-def code_number(text: Column) -> Column:
+def code_number_sql(column: str) -> str:
     """The number behind a code text, thousands separators removed; may be fractional."""
-    trimmed = strip(text.cast("string"))
-    bare = F.when(
-        trimmed.rlike(THOUSANDS), F.regexp_replace(trimmed, "[.,]", "")
-    ).otherwise(trimmed)
-    return bare.try_cast("double")
+    text = trimmed_sql(column)
+    return (
+        f"try_cast(CASE WHEN {text} RLIKE r'{THOUSANDS}' THEN regexp_replace({text}, '[.,]', '') "
+        f"ELSE {text} END AS DOUBLE)"
+    )
 
 
-def is_fractional(number: Column) -> Column:
-    return F.coalesce(number != F.floor(number), F.lit(False))
+def fractional_code(column: str) -> Column:
+    number = code_number_sql(column)
+    return F.expr(f"coalesce({number} <> floor({number}), false)")
 
 
-def integer_code(text: Column, column: str) -> Column:
+def integer_code(column: str) -> Column:
     """Integer code; text that is no number gives null, a fraction stops the job."""
-    number = code_number(text)
-    message = F.concat(F.lit(f"column {column} holds a code that is no integer: "), text.cast("string"))
-    return fail_when(is_fractional(number), message, number.cast("bigint"))
+    number = code_number_sql(column)
+    message = f"concat('column {column} holds a code that is no integer: ', CAST({quoted(column)} AS STRING))"
+    return F.expr(f"CASE WHEN {number} <> floor({number}) THEN raise_error({message}) ELSE CAST({number} AS BIGINT) END")
 
 
 def audit_integer(text: Column) -> Column:
@@ -54,10 +63,11 @@ def audit_integer(text: Column) -> Column:
     return text.try_cast("double").try_cast("bigint")
 
 
-def row_sum(columns: Sequence[Column]) -> Column:
+def row_sum(columns: Sequence[str]) -> Column:
     """Sum across columns; null only when every column is null."""
-    total = reduce(lambda a, b: a + b, [F.coalesce(c, F.lit(0.0)) for c in columns])
-    return F.when(F.coalesce(*columns).isNotNull(), total)
+    names = [quoted(c) for c in columns]
+    total = " + ".join(f"coalesce({n}, 0D)" for n in names)
+    return F.expr(f"CASE WHEN coalesce({', '.join(names)}) IS NOT NULL THEN {total} END")
 
 
 def exact_sum(amount: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arqueo import rules
-from arqueo.functions.numeric import audit_integer, fail_when
+from arqueo.functions.numeric import audit_integer, fail_when, quoted
 from arqueo.functions.text import accent_free_upper, plain_casefold
 from arqueo.operators.staging import broadcast_if_small
 from arqueo.schema import (
@@ -37,11 +37,12 @@ def key_in(pairs: Iterable[Key], subtitle: str = SUBTITLE, subassignment: str =
     """Membership of (subtitle, sub-assignment) in a short list of pairs; null never matches."""
     by_subtitle = defaultdict(list)
     for first, second in pairs:
-        by_subtitle[first].append(second)
-    found = F.lit(False)
-    for first, seconds in by_subtitle.items():
-        found = found | ((F.col(subtitle) == first) & F.col(subassignment).isin(*seconds))
-    return F.coalesce(found, F.lit(False))
+        by_subtitle[int(first)].append(str(int(second)))
+    found = " OR ".join(
+        f"({quoted(subtitle)} = {first} AND {quoted(subassignment)} IN ({', '.join(seconds)}))"
+        for first, seconds in by_subtitle.items()
+    )
+    return F.expr(f"coalesce({found or 'false'}, false)")
 
 
 def income_key(columns: Iterable[str]) -> Column:
@@ -86,7 +87,7 @@ def classified_income(df: DataFrame) -> DataFrame:
 
 def account_text() -> Column:
     """The four source account names, accent-free and upper case, each preceded by `` | ``."""
-    return F.concat(*[part for c in ACCOUNT_TEXT for part in (F.lit(" | "), accent_free_upper(F.col(c)))])
+    return accent_free_upper(F.expr("concat(" + ", ".join(f"' | ', coalesce({c}, '')" for c in ACCOUNT_TEXT) + ")"))
 
 
 def packed_crosswalk(crosswalk: DataFrame) -> DataFrame:

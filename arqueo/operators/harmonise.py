@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arqueo import rules
-from arqueo.functions.numeric import code_number, fail_when, integer_code, is_fractional, row_sum, to_number
+from arqueo.functions.numeric import fail_when, fractional_code, integer_code, quoted, row_sum, to_number, trimmed_sql
 from arqueo.functions.text import name_key, strip
 from arqueo.operators.classify import add_income_mapping
-from arqueo.operators.staging import broadcast_if_small
+from arqueo.operators.staging import broadcast_if_small, stage
 from arqueo.schema import (
-    ACCOUNT_LEVELS, AUDIT, CANONICAL_YEAR, CODE, CODES, CONTRACT, FIRST_MODERN_YEAR, IDENTIFIERS,
+    ACCOUNT_LEVELS, AUDIT, CANONICAL_YEAR, CODE, CODES, CONTRACT, FIRST_MODERN_YEAR,
     NAME, NORMALIZATION_VERSION, REGION, SCHEMA_VERSION, SERVICE_CODE, SERVICE_NAME, SOURCE_FIELDS,
     TEXTS, TOTAL_PARTS, TYPE_CODE, TYPE_NAME, VALUES, YEAR, ContractError, column_type,
     require_columns,
@@ -40,17 +40,17 @@ def rename_headers(df: DataFrame, source: str = "source", aliases: Mapping[str,
 
 def capture_source(df: DataFrame) -> DataFrame:
     """Keep the identifiers as read, as text, in the audit columns."""
-    return df.withColumns({
-        audit: (F.col(c) if c in df.columns else F.lit(None)).cast("string")
-        for c, audit in SOURCE_FIELDS.items()
-    })
+    have = set(df.columns)
+    return df.selectExpr("*", *[
+        f"CAST({quoted(c) if c in have else 'NULL'} AS STRING) AS {audit}" for c, audit in SOURCE_FIELDS.items()
+    ])
 
 
 def fill_contract(df: DataFrame) -> DataFrame:
     """Absent contract columns as nulls; sub-area defaults."""
     # values stay text until they are parsed
-    absent = {c: F.lit(None).cast("string") for c in CONTRACT if c not in df.columns}
-    full = df.withColumns(absent) if absent else df
+    absent = [f"CAST(NULL AS STRING) AS {quoted(c)}" for c in CONTRACT if c not in df.columns]
+    full = df.selectExpr("*", *absent)
     area = F.col("Nombre Subárea").cast("string")
     return full.withColumns({
         "Cod Subárea": F.coalesce(F.col("Cod Subárea").cast("string"), F.lit("0")),
@@ -61,8 +61,8 @@ def fill_contract(df: DataFrame) -> DataFrame:
 def parse_types(df: DataFrame) -> DataFrame:
     """Integer codes and double amounts from text."""
     return df.withColumns({
-        **{c: integer_code(F.col(c), c) for c in CODES},
-        **{c: to_number(F.col(c)) for c in VALUES},
+        **{c: integer_code(c) for c in CODES},
+        **{c: to_number(c) for c in VALUES},
     })
 
 
@@ -72,7 +72,7 @@ def version_tags(df: DataFrame) -> DataFrame:
     Files are few and hot, so the latest year per file is a partial aggregate joined back
     (one row per file) rather than a window over whole files.
     """
-    latest = df.groupBy("source_file").agg(F.max(YEAR).alias("_latest"))
+    latest = stage(df.groupBy("source_file").agg(F.max(YEAR).alias("_latest")))
     known = fail_when(F.col("_latest").isNull(), "a source file holds no valid year", F.col("_latest"))
     return (
         df.join(broadcast_if_small(latest), "source_file")
@@ -116,7 +116,7 @@ def fill_totals(df: DataFrame) -> DataFrame:
     return df.withColumns({
         "_filled": lacked,
         **{
-            total: F.coalesce(F.col(total), row_sum([F.col(p) for p in parts]))
+            total: F.coalesce(F.col(total), row_sum(parts))
             for total, parts in TOTAL_PARTS.items()
         },
     })
@@ -124,19 +124,26 @@ def fill_totals(df: DataFrame) -> DataFrame:
 
 def blank_legacy_accounts(df: DataFrame) -> DataFrame:
     """Early years used other account codes: drop them from the modern columns."""
-    legacy = F.coalesce(F.col(YEAR) < FIRST_MODERN_YEAR, F.lit(False))
-    return df.withColumns({c: F.when(~legacy, F.col(c)) for c in ACCOUNT_LEVELS})
+    modern = f"NOT coalesce({YEAR} < {FIRST_MODERN_YEAR}, false)"
+    return df.withColumns({
+        c: F.expr(f"CASE WHEN {modern} THEN {quoted(c)} END") for c in ACCOUNT_LEVELS if c in df.columns
+    })
 
 
 def apply_contract(df: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """Contract order and types; text trimmed; absent audit columns as nulls."""
-    def typed(c: str) -> Column:
-        if c not in df.columns:
-            return F.lit(None).cast(column_type(c)).alias(c)
-        value = strip(F.col(c)) if c in TEXTS else F.col(c)
-        return value.cast(column_type(c)).alias(c)
+    have, kept = set(df.columns), dict(df.dtypes)
+
+    def typed(c: str) -> str:
+        kind = column_type(c).simpleString()
+        value = quoted(c) if c in have else "NULL"
+        if c in have and c in TEXTS:
+            value = trimmed_sql(c)
+        elif kept.get(c) == kind:
+            return value
+        return f"CAST({value} AS {kind}) AS {quoted(c)}"
 
-    return df.select(*[typed(c) for c in CONTRACT + AUDIT], *extra)
+    return df.selectExpr(*[typed(c) for c in CONTRACT + AUDIT], *extra)
 
 
 def normalize_layout(
@@ -172,8 +179,8 @@ def bad_codes(raw: DataFrame) -> DataFrame:
     ])).alias("celda")
     return (
         raw.select("source_file", "source_row", cells)
-        .filter(is_fractional(code_number(F.col("celda.texto"))))
         .select("source_file", "source_row", "celda.columna", "celda.texto")
+        .filter(fractional_code("texto"))
     )
 
 
@@ -210,7 +217,7 @@ def apply_municipality_catalog(
         F.struct(CODE, NAME, REGION).alias("_identity"),
     ))
     known = F.col("_identity").isNotNull()
-    source_code = to_number(F.col("source_cod_municipio"))
+    source_code = to_number("source_cod_municipio")
     status = (
         F.when(~known, "unmapped")
         .when(F.col("_own_key") != F.col("_key"), "matched_by_alias")

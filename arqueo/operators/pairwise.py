@@ -46,7 +46,9 @@ def against_all(
     dealt = rows.withColumn("_block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = dealt.withColumn("_other", others)
-    right = dealt.withColumnRenamed("_block", "_other").withColumn("_block", others)
+    # fresh column identities: both sides come from the same plan
+    fresh = dealt.select(*[F.col(c).alias(c if c != "_block" else "_other") for c in dealt.columns])
+    right = fresh.withColumn("_block", others)
     keys = ["_block", "_other"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(reduce_block, schema)
 
@@ -140,24 +142,23 @@ def squared_silhouette_rows(rows: DataFrame) -> DataFrame:
     Labels are few next to rows; their statistics are joined back on a packed one-row table
     whose size is checked.
     """
-    dims = F.size("vec")
     typed = rows.select("id", F.col("vec").cast("array<double>").alias("vec"), "label")
     stats = label_centroids(typed)
     packed = stats.agg(F.collect_list(F.struct("label", "n", "centroid", "spread")).alias("_labels"))
     checked = fail_when(F.size("_labels") > 10_000, "too many labels for packed statistics", F.col("_labels"))
-    one_row = packed.select(checked.alias("_labels"))
+    with_labels = typed.withColumn("_labels", packed.select(checked).scalar())
 
     def mean_square(stat: Column) -> Column:
         gap = F.zip_with(F.col("vec"), stat["centroid"], lambda a, b: (a - b) * (a - b))
         return F.aggregate(gap, F.lit(0.0), lambda s, x: s + x) + stat["spread"]
 
-    labels = one_row.scalar()
+    labels = F.col("_labels")
     own = F.element_at(F.filter(labels, lambda s: s["label"] == F.col("label")), 1)
     others = F.filter(labels, lambda s: s["label"] != F.col("label"))
     a = mean_square(own) * own["n"] / (own["n"] - 1)
     b = F.array_min(F.transform(others, mean_square))
     value = F.when((own["n"] <= 1) | (F.size(others) == 0), 0.0).otherwise((b - a) / F.greatest(a, b))
-    return typed.filter(dims > 0).select("id", "label", value.alias("silhouette"))
+    return with_labels.select("id", "label", value.alias("silhouette"))
 
 
 def label_centroids(rows: DataFrame) -> DataFrame:

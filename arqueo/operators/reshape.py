@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arqueo.functions.numeric import row_sum
+from arqueo.functions.numeric import quoted, row_sum
 from arqueo.schema import (
     CANONICAL_GROUP, COLLECTED, CONTRACT, GROUP, IDENTIFIERS, MAPPING_METHOD, MAPPING_STATUS,
-    MEASURES, MONTHS, YEAR, require_columns,
+    MEASURES, MONTHS, YEAR, month_columns, require_columns,
 )
 
 LONG_KEYS = [*IDENTIFIERS, CANONICAL_GROUP, MAPPING_STATUS, MAPPING_METHOD, "source_file", "source_row"]
@@ -23,13 +23,11 @@ def build_presupuesto_monthly(
     ``keep`` narrows the identifier columns carried along.
     """
     require_columns(budget, CONTRACT, "expand months")
-    months = F.array(*[
-        F.struct(
-            F.lit(n).cast("bigint").alias("mes_numero"), F.lit(month).alias("mes"),
-            *[F.col(f"{m} {month}").alias(m) for m in MEASURES],
-        )
-        for n, month in enumerate(MONTHS, start=1)
-    ])
+    def cell(number: int, month: str) -> str:
+        measures = ", ".join(f"{quoted(f'{m} {month}')} AS {quoted(m)}" for m in MEASURES)
+        return f"struct({number}L AS mes_numero, '{month}' AS mes, {measures})"
+
+    months = F.expr("array(" + ", ".join(cell(n, m) for n, m in enumerate(MONTHS, start=1)) + ")")
     if drop_empty:
         months = F.filter(months, lambda m: F.coalesce(*[m[x] for x in MEASURES]).isNotNull())
     return (
@@ -44,7 +42,7 @@ def build_presupuesto_monthly(
 
 def period_amounts(months_per_period: int, measure: str = COLLECTED) -> list[Column]:
     """Per period of the year, the sum of its months (a period without values is 0)."""
-    columns = [F.col(f"{measure} {m}") for m in MONTHS]
+    columns = month_columns(measure)
     return [
         F.coalesce(row_sum(columns[i:i + months_per_period]), F.lit(0.0))
         for i in range(0, len(MONTHS), months_per_period)
@@ -53,10 +51,8 @@ def period_amounts(months_per_period: int, measure: str = COLLECTED) -> list[Col
 
 def last_active_month(measure: str = COLLECTED) -> Column:
     """Number of the last month with an amount other than 0; null when there is none."""
-    return F.coalesce(*[
-        F.when(F.col(f"{measure} {month}") != 0, F.lit(n))
-        for n, month in reversed(list(enumerate(MONTHS, start=1)))
-    ])
+    numbered = reversed(list(enumerate(month_columns(measure), start=1)))
+    return F.expr("CASE " + " ".join(f"WHEN {quoted(c)} <> 0 THEN {n}" for n, c in numbered) + " END")
 
 
 def monthly_group_histogram(classified: DataFrame, exclude: tuple[str, ...] = ("IPP",)) -> DataFrame:

@@ -152,10 +152,15 @@ def _check_top(top_n: int) -> None:
 
 def other_income_variability(
     budget: DataFrame, *, start_year: int | None = None, top_n: int = 6, names: DataFrame | None = None,
+    coverage: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(breakdown, ranking) of every municipality, over the complete years."""
+    """(breakdown, ranking) of every municipality, over the complete years.
+
+    ``coverage`` and ``names``, when at hand, spare a pass over the rows each.
+    """
     _check_top(top_n)
-    years = choose_years(infer_year_coverage(budget).collect(), True, start_year)
+    known = infer_year_coverage(budget) if coverage is None else coverage
+    years = choose_years(known.collect(), True, start_year)
     return _analyse(budget, [r[YEAR] for r in years], top_n, names)
 
 

@@ -268,11 +268,11 @@ def name_words(spark, sf):
 def code_parse(spark, sf):
     raw = lens.raw_layout(spark, sf)
     return raw.select(
-        "source_row", numeric.integer_code(F.col("Ejercicio"), "Ejercicio").alias(YEAR),
-        numeric.integer_code(F.col("Cod Tipo Cuenta"), "Cod Tipo Cuenta").alias("tipo"),
-        numeric.integer_code(F.col("Cod Subasignacion"), "Cod Subasignacion").alias("codigo"),
-        numeric.integer_code(F.col("Cod Asignacion"), "Cod Asignacion").alias("asignacion"),
-        numeric.to_number(F.col("Percibidopag Acum")).alias("total"))
+        "source_row", numeric.integer_code("Ejercicio").alias(YEAR),
+        numeric.integer_code("Cod Tipo Cuenta").alias("tipo"),
+        numeric.integer_code("Cod Subasignacion").alias("codigo"),
+        numeric.integer_code("Cod Asignacion").alias("asignacion"),
+        numeric.to_number("Percibidopag Acum").alias("total"))
 
 
 SERVICE_SQL = "CASE WHEN ls = 'F' THEN 1 WHEN ln % 3 = 0 THEN 3 WHEN ln % 3 = 1 THEN 2 END"
@@ -526,12 +526,12 @@ def cluster_scores(spark, sf):
 
 
 @query("cluster_summary", o.sql(f"""SELECT cluster_id, 'Clúster ' || cluster_id AS "Clúster", count(*) AS "Número de comunas",
-  round(median(tot) / 1e9, 9) AS "Ingreso total mediano (mil MM CLP)", {", ".join(f'round(avg(s{i}), 6) AS "{g}"' for i, g in enumerate(INCOME_GROUPS))}
+  round(median(tot) / 1e9, 11) AS "Ingreso total mediano (mil MM CLP)", {", ".join(f'round(avg(s{i}), 6) AS "{g}"' for i, g in enumerate(INCOME_GROUPS))}
   FROM (SELECT pf.*, CAST(n_regionkey + 1 AS BIGINT) AS cluster_id FROM pf JOIN nation ON n_name = name) GROUP BY cluster_id""", o.PROFILE))
 def cluster_summary(spark, sf):
     given = lens.table(spark, sf, "nation").select(F.col("n_name").alias(NAME), (F.col("n_regionkey") + 1).cast("bigint").alias("cluster_id"))
     summary = clusters.cluster_summary(_profile(spark, sf).join(given, NAME))
-    return rounded(rounded(summary, "Ingreso total mediano (mil MM CLP)", places=9), *INCOME_GROUPS)
+    return rounded(rounded(summary, "Ingreso total mediano (mil MM CLP)", places=11), *INCOME_GROUPS)
 
 
 @query("membership", """SELECT n_name AS comuna, """ + ", ".join(f"n_regionkey + 1 = {k} AS cluster{k}" for k in range(1, 6)) + " FROM nation")
@@ -641,12 +641,12 @@ def _amount_frame(name: str, periods: history.Periods) -> None:
     pad = f"greatest(({hi} - {lo}) * 0.08, greatest(abs({lo}), abs({hi})) * 0.02, 0.1)"
 
     @query(name, o.sql(f"""SELECT name AS "Nombre Municipio", y AS "Ejercicio", CAST(p AS BIGINT) AS "{periods.column}", (y - 2005) * {periods.count} + p - 1 AS posicion,
-      '{periods.prefix}' || p || '<br>' || y AS etiqueta, grp AS grupo_ingreso, CAST(ord AS BIGINT) AS orden_grupo, round(a, 9) AS monto_mil_mm,
+      '{periods.prefix}' || p || '<br>' || y AS etiqueta, grp AS grupo_ingreso, CAST(ord AS BIGINT) AS orden_grupo, round(a, 11) AS monto_mil_mm,
       round(least(0.0, {lo} - {pad}), 6) AS eje_minimo, round(greatest(0.0, {hi} + {pad}), 6) AS eje_maximo
       FROM (SELECT *, CAST(amt AS DOUBLE) / 1e9 AS a FROM per)""", o.period_ctes(periods.months)))
     def run(spark, sf):
         rows = frames.amount_frame(_history(spark, sf, periods), periods)
-        return rounded(rounded(rows, "monto_mil_mm", places=9), "eje_minimo", "eje_maximo")
+        return rounded(rounded(rows, "monto_mil_mm", places=11), "eje_minimo", "eje_maximo")
 
 
 for _label, _periods in (("quarterly", history.QUARTERS), ("four_month", history.FOUR_MONTHS), ("semiannual", history.SEMESTERS)):
@@ -655,31 +655,31 @@ for _label, _periods in (("quarterly", history.QUARTERS), ("four_month", history
 
 
 @query("frame_annual_amount", o.sql(f"""SELECT name AS "Nombre Municipio", y AS "Ejercicio", y - 2005 AS posicion, grp AS grupo_ingreso, CAST(ord AS BIGINT) AS orden_grupo,
-  round(amt / 1e9, 9) AS monto_mil_mm, round(total / 1e9, 9) AS total_mil_mm, {MILLIONS} AS etiqueta_total,
-  round(total / 1e9 + CASE WHEN mx = 0 THEN 0.1 ELSE mx * 0.02 END, 9) AS etiqueta_y, round(CASE WHEN mx = 0 THEN 1 ELSE mx * 1.12 END, 9) AS eje_maximo
+  round(amt / 1e9, 11) AS monto_mil_mm, round(total / 1e9, 11) AS total_mil_mm, {MILLIONS} AS etiqueta_total,
+  round(total / 1e9 + CASE WHEN mx = 0 THEN 0.1 ELSE mx * 0.02 END, 11) AS etiqueta_y, round(CASE WHEN mx = 0 THEN 1 ELSE mx * 1.12 END, 11) AS eje_maximo
   FROM (SELECT *, max(total / 1e9) OVER (PARTITION BY name) AS mx FROM hist)""", o.ANNUAL))
 def frame_annual_amount(spark, sf):
-    return rounded(frames.annual_amount_frame(_history(spark, sf)), "monto_mil_mm", "total_mil_mm", "etiqueta_y", "eje_maximo", places=9)
+    return rounded(frames.annual_amount_frame(_history(spark, sf)), "monto_mil_mm", "total_mil_mm", "etiqueta_y", "eje_maximo", places=11)
 
 
 @query("frame_breakdown", o.sql(f"""SELECT name AS "Nombre Municipio", y AS "Ejercicio", CAST(s AS BIGINT) AS "Semestre", (y - 2008) * 2 + s - 1 AS posicion,
   'S' || s || '<br>' || y AS etiqueta, comp AS componente, ord AS orden_componente, CAST(CASE WHEN ord = 7 THEN -1 ELSE (ord - 1) % 6 END AS BIGINT) AS color,
-  round(CAST(amt AS DOUBLE) / 1e9, 9) AS monto_mil_mm, coalesce({o.share_sql(zero='NULL')}, 0) AS participacion, round(CAST(total AS DOUBLE) / 1e9, 9) AS total_mil_mm
+  round(CAST(amt AS DOUBLE) / 1e9, 11) AS monto_mil_mm, coalesce({o.share_sql(zero='NULL')}, 0) AS participacion, round(CAST(total AS DOUBLE) / 1e9, 11) AS total_mil_mm
   FROM bd""", o.ACCOUNTS))
 def frame_breakdown(spark, sf):
     rows = frames.breakdown_frame(_variability(spark, sf)[0]).drop("leyenda")
-    return rounded(rounded(rows, "participacion"), "monto_mil_mm", "total_mil_mm", places=9)
+    return rounded(rounded(rows, "participacion"), "monto_mil_mm", "total_mil_mm", places=11)
 
 
 VA_SHARE = "mad / CASE WHEN whole = 0 THEN 1 ELSE whole END * 100"
 
 
 @query("frame_variability", o.sql(f"""SELECT name AS "Nombre Municipio", rk AS ranking_variabilidad, acc_code AS codigo_cuenta, cuenta,
-  CAST((rk - 1) % 6 AS BIGINT) AS color, round(mad / 1e9, 9) AS variacion_mil_mm, round(md / 1e9, 9) AS diferencia_mil_mm, round({VA_SHARE}, 6) AS participacion
+  CAST((rk - 1) % 6 AS BIGINT) AS color, round(mad / 1e9, 11) AS variacion_mil_mm, round(md / 1e9, 11) AS diferencia_mil_mm, round({VA_SHARE}, 6) AS participacion
   FROM va WHERE rk <= 6""", o.ACCOUNTS))
 def frame_variability(spark, sf):
     rows = frames.variability_frame(_variability(spark, sf)[1]).drop("etiqueta")
-    return rounded(rounded(rows, "participacion"), "variacion_mil_mm", "diferencia_mil_mm", places=9)
+    return rounded(rounded(rows, "participacion"), "variacion_mil_mm", "diferencia_mil_mm", places=11)
 
 
 @query("frame_variability_summary")
@@ -691,16 +691,16 @@ UNPIVOT = "CROSS JOIN " + o.GROUP_VALUES
 
 
 @query("frame_composition", o.sql(f"""SELECT name AS "Nombre Municipio", orden AS orden_municipio, grp AS grupo_ingreso, CAST(ord AS BIGINT) AS orden_grupo,
-  round([s0, s1, s2, s3, s4][ord + 1], 6) AS porcentaje, round([g0, g1, g2, g3, g4][ord + 1] / 1e9, 9) AS monto_mil_mm
+  round([s0, s1, s2, s3, s4][ord + 1], 6) AS porcentaje, round([g0, g1, g2, g3, g4][ord + 1] / 1e9, 11) AS monto_mil_mm
   FROM (SELECT *, row_number() OVER (ORDER BY s3 DESC, s4 DESC, name) AS orden FROM pf) {UNPIVOT}""", o.PROFILE))
 def frame_composition(spark, sf):
-    return rounded(rounded(frames.composition_frame(_profile(spark, sf), ["IPP", "FCM"]), "porcentaje"), "monto_mil_mm", places=9)
+    return rounded(rounded(frames.composition_frame(_profile(spark, sf), ["IPP", "FCM"]), "porcentaje"), "monto_mil_mm", places=11)
 
 
 @query("frame_municipality_amount", o.sql(f"""SELECT name AS "Nombre Municipio", orden AS orden_municipio, grp AS grupo_ingreso, CAST(ord AS BIGINT) AS orden_grupo,
-  round([g0, g1, g2, g3, g4][ord + 1] / 1e9, 9) AS monto_mil_mm FROM (SELECT *, row_number() OVER (ORDER BY tot DESC, name) AS orden FROM pf) {UNPIVOT}""", o.PROFILE))
+  round([g0, g1, g2, g3, g4][ord + 1] / 1e9, 11) AS monto_mil_mm FROM (SELECT *, row_number() OVER (ORDER BY tot DESC, name) AS orden FROM pf) {UNPIVOT}""", o.PROFILE))
 def frame_municipality_amount(spark, sf):
-    return rounded(frames.municipality_amount_frame(_profile(spark, sf)), "monto_mil_mm", places=9)
+    return rounded(frames.municipality_amount_frame(_profile(spark, sf)), "monto_mil_mm", places=11)
 
 
 @query("frame_log_scale")
@@ -709,11 +709,11 @@ def frame_log_scale(spark, sf):
 
 
 @query("frame_choropleth", o.sql("""SELECT printf('%05d', n_nationkey) AS "CUT_COM", name AS "Nombre Municipio", round(log10((tot - g3 - g4) / 1e9), 6) AS valor_log,
-  round(tot / 1e9, 9) AS ingreso_total_mil_mm_clp, round((tot - g3 - g4) / 1e9, 9) AS ingreso_no_ip_mil_mm_clp, round((tot - g3 - g4) / tot * 100, 6) AS porcentaje_no_ip
+  round(tot / 1e9, 11) AS ingreso_total_mil_mm_clp, round((tot - g3 - g4) / 1e9, 11) AS ingreso_no_ip_mil_mm_clp, round((tot - g3 - g4) / tot * 100, 6) AS porcentaje_no_ip
   FROM pf JOIN nation ON n_name = name""", o.PROFILE))
 def frame_choropleth(spark, sf):
     rows = frames.choropleth_frame(geography.build_municipality_income_map_data(_profile(spark, sf), _places(spark, sf)), "no_ip")
-    return rounded(rounded(rows, "valor_log", "porcentaje_no_ip"), "ingreso_total_mil_mm_clp", "ingreso_no_ip_mil_mm_clp", places=9)
+    return rounded(rounded(rows, "valor_log", "porcentaje_no_ip"), "ingreso_total_mil_mm_clp", "ingreso_no_ip_mil_mm_clp", places=11)
 
 
 def _framed(name: str, frame: Callable[[clusters.ClusterAnalysis], DataFrame]) -> None:

@@ -44,8 +44,23 @@ YEAR_SHIFT = 10
 OWN_KEYS = {s: [k for t, k in (*IPP_KEYS, *FCM_KEYS) if t == s] for s in SUBTITLES.values()}
 
 
+# stated, so that opening a table costs no job that reads footers
+TABLES = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def crosswalk(spark: SparkSession) -> DataFrame:
@@ -111,47 +126,46 @@ def order_municipality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def typed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract columns straight from the tables; unread ones are pruned by the optimiser."""
-    month = F.month("l_shipdate")
     line = table(spark, sf_dir, "lineitem")
     joined = (
         line.join(accounts(spark, sf_dir), "l_partkey")
         .join(order_municipality(spark, sf_dir), "l_orderkey")
         .join(municipalities(spark, sf_dir), CODE)
     )
-    price, quantity = F.col("l_extendedprice"), F.col("l_quantity")
     measured = {
-        "Ppto Modif": quantity,
-        "Devengado": F.when(F.col("l_discount") > 0.02, price),
-        "Percibidopag": price,
-        "Porpercibir": F.when(F.col("l_tax") > 0.04, quantity),
+        "Ppto Modif": "l_quantity",
+        "Devengado": "CASE WHEN l_discount > 0.02 THEN l_extendedprice END",
+        "Percibidopag": "l_extendedprice",
+        "Porpercibir": "CASE WHEN l_tax > 0.04 THEN l_quantity END",
     }
-    income, own = F.col("l_returnflag") != "R", F.col("l_linestatus") == "F"
-    year = (F.year("l_shipdate") + YEAR_SHIFT).cast("bigint")
-    return joined.withColumns({
+    year = f"CAST(year(l_shipdate) + {YEAR_SHIFT} AS BIGINT)"
+    income, own = "l_returnflag <> 'R'", "l_linestatus = 'F'"
+    columns = {
         "Ejercicio": year,
-        "Moneda": F.lit("CLP"),
-        "Cod Tipo Cuenta": F.when(income, 1).otherwise(2).cast("bigint"),
-        "Nombre Tipo Cuenta": F.when(income, "INGRESOS").otherwise("GASTOS"),
-        "Cod Serv Incorporado": F.when(own, 1).otherwise(2).cast("bigint"),
-        "Nombre Serv Incorporado": F.when(own, "Gestión Municipal").otherwise("Educación"),
-        "Cod Subárea": F.lit(0).cast("bigint"),
-        "Nombre Subárea": F.lit("Sin Subárea"),
-        "Cod Subsubasignación": F.lit(None).cast("bigint"),
-        "Nombre Subsubasignación": F.lit(None).cast("string"),
-        "Ppto Inicial": F.lit(None).cast("double"),
-        **{f"{m} {name}": F.when(month == n, value)
+        "Moneda": "'CLP'",
+        "Cod Tipo Cuenta": f"CAST(IF({income}, 1, 2) AS BIGINT)",
+        "Nombre Tipo Cuenta": f"IF({income}, 'INGRESOS', 'GASTOS')",
+        "Cod Serv Incorporado": f"CAST(IF({own}, 1, 2) AS BIGINT)",
+        "Nombre Serv Incorporado": f"IF({own}, 'Gestión Municipal', 'Educación')",
+        "Cod Subárea": "0L",
+        "Nombre Subárea": "'Sin Subárea'",
+        "Cod Subsubasignación": "CAST(NULL AS BIGINT)",
+        "Nombre Subsubasignación": "CAST(NULL AS STRING)",
+        "Ppto Inicial": "CAST(NULL AS DOUBLE)",
+        **{f"{m} {name}": f"CASE WHEN month(l_shipdate) = {n} THEN {value} END"
            for m, value in measured.items() for n, name in enumerate(MONTHS, start=1)},
-        "Ppto Actualizado": quantity,
+        "Ppto Actualizado": "l_quantity",
         **{f"{m} Total": measured[m] for m in MEASURES[1:]},
-        "source_file": F.concat(F.lit("budget_"), year.cast("string"), F.lit(".csv")),
-        "source_row": F.col("l_orderkey") * 10 + F.col("l_linenumber"),
-    })
+        "source_file": f"concat('budget_', {year}, '.csv')",
+        "source_row": "l_orderkey * 10 + l_linenumber",
+    }
+    return joined.selectExpr("*", *[f"{value} AS `{c}`" for c, value in columns.items()])
 
 
 def budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalised budget rows: classified, and early account codes blanked."""
     rows = typed_rows(spark, sf_dir)
-    audited = rows.withColumns({a: F.col(c).cast("string") for c, a in SOURCE_FIELDS.items()})
+    audited = rows.selectExpr("*", *[f"CAST(`{c}` AS STRING) AS {a}" for c, a in SOURCE_FIELDS.items()])
     return audited.transform(add_income_mapping, crosswalk(spark)).transform(blank_legacy_accounts)
 
 
@@ -184,8 +198,11 @@ def raw_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
         "Nombre Asignacion": F.concat(F.col("Nombre Asignación"), F.lit(" ")),
         "Cod Subasignacion": dotted, "Nombre Subasignacion": F.col("Nombre Subasignación"),
         "Ppto inicial": F.when(variant == 1, F.lit("10")),
-        **{f"Modif Ppto {m}": F.col(f"Ppto Modif {m}") for m in MONTHS},
-        **{f"{x} {m}": F.col(f"{x} {m}") for x in MEASURES[1:] for m in MONTHS},
         "Percibidopag Acum": F.when(variant == 0, F.col("Percibidopag Total").cast("string")).when(variant == 1, "s/i"),
     }
-    return rows.select(*[c.cast("string").alias(n) for n, c in text.items()], "source_file", "source_row")
+    months = {f"Modif Ppto {m}": f"Ppto Modif {m}" for m in MONTHS}
+    months |= {f"{x} {m}": f"{x} {m}" for x in MEASURES[1:] for m in MONTHS}
+    return rows.select(
+        *[c.cast("string").alias(n) for n, c in text.items()],
+        *[F.expr(f"CAST(`{c}` AS STRING) AS `{n}`") for n, c in months.items()], "source_file", "source_row",
+    )

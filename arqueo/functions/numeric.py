@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arqueo.functions.text import SPACE
+from arqueo.functions.text import BLANKS
 
 MONEY = T.DecimalType(18, 2)
 THOUSANDS = r"^[+-]?\d{1,3}([.,]\d{3})+$"
@@ -20,7 +20,7 @@ def quoted(column: str) -> str:
 
 def trimmed_sql(column: str) -> str:
     """The trimmed text of a column, as SQL text: wide tables do this to dozens of columns."""
-    return f"regexp_replace(CAST({quoted(column)} AS STRING), r'^{SPACE}+|{SPACE}+$', '')"
+    return f"btrim(CAST({quoted(column)} AS STRING), '{BLANKS}')"
 
 
 def fail_when(condition: Column, message: Column | str, value: Column) -> Column:
@@ -33,29 +33,38 @@ def fail_when(condition: Column, message: Column | str, value: Column) -> Column
 
 
 def to_number(column: str) -> Column:
-    """Double, null where the text of the column is no number."""
-    return F.expr(f"try_cast({trimmed_sql(column)} AS DOUBLE)")
+    """Double, null where the text of the column is no number.
+
+    The cast trims by itself; it would also take the type suffixes of Java (``1.5d``), so
+    those letters are spoiled first.
+    """
+    return F.expr(f"try_cast(translate(CAST({quoted(column)} AS STRING), 'dDfF', '????') AS DOUBLE)")
 
 
-def code_number_sql(column: str) -> str:
+def code_number(column: str) -> Column:
     """The number behind a code text, thousands separators removed; may be fractional."""
     text = trimmed_sql(column)
-    return (
-        f"try_cast(CASE WHEN {text} RLIKE r'{THOUSANDS}' THEN regexp_replace({text}, '[.,]', '') "
-        f"ELSE {text} END AS DOUBLE)"
+    # the pattern is only tried on texts that hold a separator
+    separated = f"(contains({text}, '.') OR contains({text}, ','))"
+    bare = f"CASE WHEN {separated} AND {text} RLIKE r'{THOUSANDS}' THEN translate({text}, '.,', '') ELSE {text} END"
+    return F.expr(f"try_cast(translate({bare}, 'dDfF', '????') AS DOUBLE)")
+
+
+def whole_number(number: str, column: str) -> Column:
+    """A code number as an integer; a fraction stops the job."""
+    message = f"concat('column {column} holds a code that is no integer: ', CAST({quoted(number)} AS STRING))"
+    return F.expr(
+        f"CASE WHEN {quoted(number)} <> floor({quoted(number)}) THEN raise_error({message}) "
+        f"ELSE CAST({quoted(number)} AS BIGINT) END"
     )
 
 
-def fractional_code(column: str) -> Column:
-    number = code_number_sql(column)
-    return F.expr(f"coalesce({number} <> floor({number}), false)")
+def parse_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Integer codes from text; no number gives null, a fraction stops the job.
 
-
-def integer_code(column: str) -> Column:
-    """Integer code; text that is no number gives null, a fraction stops the job."""
-    number = code_number_sql(column)
-    message = f"concat('column {column} holds a code that is no integer: ', CAST({quoted(column)} AS STRING))"
-    return F.expr(f"CASE WHEN {number} <> floor({number}) THEN raise_error({message}) ELSE CAST({number} AS BIGINT) END")
+    Two projections, so that each text is parsed once though its number is used three times.
+    """
+    return df.withColumns({c: code_number(c) for c in columns}).withColumns({c: whole_number(c, c) for c in columns})
 
 
 def audit_integer(text: Column) -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 # what str.strip() and str.split() treat as white space
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
-NON_ASCII = "[^\\x00-\\x7F]"
+BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 EXPANDING = "ßﬁﬂ…½¼¾™№ĳ"
 
 
@@ -54,11 +54,13 @@ def _fold(text: Column, casefold: bool) -> Column:
     source, target, dropped = _fold_tables(casefold)
     change_case = F.lower if casefold else F.upper
     folded = change_case(F.translate(plain, source + dropped, target))
-    return F.when(text.rlike(NON_ASCII), folded).otherwise(change_case(text))
+    # only ASCII texts have as many bytes as characters
+    ascii_only = F.octet_length(text) == F.char_length(text)
+    return F.when(ascii_only, change_case(text)).otherwise(folded)
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def plain_casefold(text: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arqueo import rules
-from arqueo.functions.numeric import audit_integer, fail_when, quoted
+from arqueo.functions.numeric import audit_integer, quoted
 from arqueo.functions.text import accent_free_upper, plain_casefold
 from arqueo.operators.staging import broadcast_if_small
 from arqueo.schema import (
@@ -81,7 +81,7 @@ def income_group(
 def classified_income(df: DataFrame) -> DataFrame:
     """Municipal income rows with their group; a row without one stops the job."""
     group = income_group(df.columns)
-    checked = fail_when(group.isNull(), "municipal income row that could not be classified", group)
+    checked = F.coalesce(group, F.raise_error(F.lit("municipal income row that could not be classified")))
     return df.filter(municipal_income(df.columns)).withColumn(GROUP, checked)
 
 
@@ -138,6 +138,7 @@ def add_income_mapping(
         F.coalesce(F.col(SERVICE_CODE) == 1, F.lit(False))
         | (accent_free_upper(F.col(SERVICE_NAME)) == "GESTION MUNICIPAL")
     )
+    scope = F.coalesce(scope, F.lit(False))
     if crosswalk is None:
         ruled = df.withColumn("_dated_group", F.lit(None).cast("string"))
     else:
@@ -146,34 +147,31 @@ def add_income_mapping(
             audit_integer(F.col("source_cod_subtitulo")), audit_integer(F.col("source_cod_item")),
         )
     modern, legacy = F.col(YEAR) >= FIRST_MODERN_YEAR, F.col(YEAR) < FIRST_MODERN_YEAR
-    staged = ruled.withColumn("_scope", F.coalesce(scope, F.lit(False))).withColumn(
-        "_text", F.when(F.col("_scope") & legacy, account_text())
-    )
+    # wide rows: every separate projection copies a hundred columns, so there are only two
+    staged = ruled.withColumn("_text", F.when(scope & legacy, account_text()))
     text, dated = F.col("_text"), F.col("_dated_group")
     by_code = (
         F.when(key_in(fcm_keys), FCM).when(key_in(ipp_keys), IPP)
         .when(F.col(SUBTITLE) == 13, CAPITAL).when(F.col(SUBTITLE) == 5, CURRENT).otherwise(OTHER)
     )
-    own = (
-        F.when(dated.isNotNull(), _decision(dated, "legacy_crosswalk", "mapped"))
-        .when(text.rlike(rules.LEGACY_FCM_PATTERN), _decision(FCM, "legacy_text", "mapped"))
-        .when(text.rlike(rules.LEGACY_IPP_PATTERN), _decision(IPP, "legacy_text", "mapped"))
+    transfer = audit_integer(F.col("source_cod_subtitulo")) == 6
+    by_history = (
+        F.when(dated.isin(IPP, FCM), _decision(dated, "legacy_crosswalk", "mapped"))
+        .when(dated.isNull() & text.rlike(rules.LEGACY_FCM_PATTERN), _decision(FCM, "legacy_text", "mapped"))
+        .when(dated.isNull() & text.rlike(rules.LEGACY_IPP_PATTERN), _decision(IPP, "legacy_text", "mapped"))
+        # transfers give way to permanent income only, not to other dated rules
+        .when(transfer & text.rlike(rules.LEGACY_CAPITAL_PATTERN),
+              _decision(CAPITAL, "legacy_transfer_capital_keyword", "review"))
+        .when(transfer, _decision(CURRENT, "legacy_transfer_default_current", "review"))
+        .when(dated.isNotNull(), _decision(dated, "legacy_crosswalk", "mapped"))
         .otherwise(_decision(OTHER, "legacy_other", "mapped"))
     )
-    transfer = F.coalesce(audit_integer(F.col("source_cod_subtitulo")) == 6, F.lit(False))
-    split = F.when(
-        text.rlike(rules.LEGACY_CAPITAL_PATTERN),
-        _decision(CAPITAL, "legacy_transfer_capital_keyword", "review"),
-    ).otherwise(_decision(CURRENT, "legacy_transfer_default_current", "review"))
-    decided = staged.withColumn("_own", F.when(F.col("_scope") & legacy, own)).withColumn(
+    decided = staged.withColumn(
         "_decision",
-        F.when(F.col("_scope") & modern, _decision(by_code, "modern_code", "mapped")).when(
-            F.col("_scope") & legacy,
-            F.when(transfer & ~F.col("_own.g").isin(IPP, FCM), split).otherwise(F.col("_own")),
-        ),
+        F.when(scope & modern, _decision(by_code, "modern_code", "mapped")).when(text.isNotNull(), by_history),
     )
     return decided.withColumns({
         CANONICAL_GROUP: F.col("_decision.g"),
         MAPPING_STATUS: F.coalesce(F.col("_decision.s"), F.lit("not_applicable")),
         MAPPING_METHOD: F.coalesce(F.col("_decision.m"), F.lit("not_applicable")),
-    }).drop("_dated_group", "_scope", "_text", "_own", "_decision")
+    }).drop("_dated_group", "_text", "_decision")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arqueo import rules
-from arqueo.functions.numeric import fail_when, fractional_code, integer_code, quoted, row_sum, to_number, trimmed_sql
+from arqueo.functions.numeric import code_number, fail_when, parse_codes, quoted, row_sum, to_number, trimmed_sql
 from arqueo.functions.text import name_key, strip
 from arqueo.operators.classify import add_income_mapping
 from arqueo.operators.staging import broadcast_if_small, stage
@@ -60,10 +60,7 @@ def fill_contract(df: DataFrame) -> DataFrame:
 
 def parse_types(df: DataFrame) -> DataFrame:
     """Integer codes and double amounts from text."""
-    return df.withColumns({
-        **{c: integer_code(c) for c in CODES},
-        **{c: to_number(c) for c in VALUES},
-    })
+    return parse_codes(df.withColumns({c: to_number(c) for c in VALUES}), CODES)
 
 
 def version_tags(df: DataFrame) -> DataFrame:
@@ -180,7 +177,8 @@ def bad_codes(raw: DataFrame) -> DataFrame:
     return (
         raw.select("source_file", "source_row", cells)
         .select("source_file", "source_row", "celda.columna", "celda.texto")
-        .filter(fractional_code("texto"))
+        .withColumn("_number", code_number("texto"))
+        .filter("_number <> floor(_number)").drop("_number")
     )
 
 

@@ -19,8 +19,8 @@ def build_presupuesto_monthly(
 ) -> DataFrame:
     """One row per account and month with the four measures.
 
-    Empty months are dropped inside the array, before the explode, so they never become rows.
-    ``keep`` narrows the identifier columns carried along.
+    Empty months are filtered right behind the explode, in the same generated code (a filter
+    inside the array would be an interpreted lambda). ``keep`` narrows the identifier columns.
     """
     require_columns(budget, CONTRACT, "expand months")
     def cell(number: int, month: str) -> str:
@@ -28,11 +28,11 @@ def build_presupuesto_monthly(
         return f"struct({number}L AS mes_numero, '{month}' AS mes, {measures})"
 
     months = F.expr("array(" + ", ".join(cell(n, m) for n, m in enumerate(MONTHS, start=1)) + ")")
+    long = budget.select(*(keep or LONG_KEYS), F.explode(months).alias("_m"))
     if drop_empty:
-        months = F.filter(months, lambda m: F.coalesce(*[m[x] for x in MEASURES]).isNotNull())
+        long = long.filter(F.coalesce(*[F.col("_m")[x] for x in MEASURES]).isNotNull())
     return (
-        budget.select(*(keep or LONG_KEYS), F.explode(months).alias("_m"))
-        .select(
+        long.select(
             *(keep or LONG_KEYS), "_m.mes_numero", "_m.mes",
             F.make_date(F.col(YEAR).cast("int"), F.col("_m.mes_numero").cast("int"), F.lit(1)).alias("fecha"),
             *[F.col("_m")[m].alias(m) for m in MEASURES],

@@ -239,7 +239,7 @@ DOC_UPPER = "upper(strip_accents(replace(replace(text, 'ß', 'SS'), '…', '...'
 @query("classify_text", f"""SELECT doc_id, regexp_matches(t, {o._text(rules.LEGACY_FCM_PATTERN)}) AS fcm, regexp_matches(t, {o._text(rules.LEGACY_IPP_PATTERN)}) AS ipp,
   regexp_matches(t, {o._text(rules.LEGACY_CAPITAL_PATTERN)}) AS capital FROM (SELECT doc_id, {DOC_UPPER} AS t FROM documents)""")
 def classify_text(spark, sf):
-    folded = lens.table(spark, sf, "documents").select("doc_id", text.accent_free_upper(F.col("text")).alias("t"))
+    folded = lens.spread_table(spark, sf, "documents", "doc_id").select("doc_id", text.accent_free_upper(F.col("text")).alias("t"))
     return folded.select("doc_id", F.col("t").rlike(rules.LEGACY_FCM_PATTERN).alias("fcm"),
                          F.col("t").rlike(rules.LEGACY_IPP_PATTERN).alias("ipp"), F.col("t").rlike(rules.LEGACY_CAPITAL_PATTERN).alias("capital"))
 
@@ -251,14 +251,14 @@ DOC_FOLD = r"strip_accents(replace(replace(lower(regexp_replace(text, '^[\s\p{Z}
   md5(trim(regexp_replace(f, '[\s\p{{Z}}]+', ' ', 'g'))) AS lugar FROM (SELECT doc_id, {DOC_FOLD} AS f FROM documents)""")
 def name_keys(spark, sf):
     body = F.col("text")
-    return lens.table(spark, sf, "documents").select(
+    return lens.spread_table(spark, sf, "documents", "doc_id").select(
         "doc_id", F.md5(text.name_form(body)).alias("forma"), F.md5(text.name_key(body)).alias("clave"), F.md5(text.place_key(body)).alias("lugar"))
 
 
 @query("name_words", rf"""SELECT doc_id, CAST(len(list_distinct(list_filter(string_split(regexp_replace(f, '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> ''))) AS BIGINT) AS palabras
   FROM (SELECT doc_id, {DOC_FOLD} AS f FROM documents)""")
 def name_words(spark, sf):
-    return lens.table(spark, sf, "documents").select("doc_id", F.size(text.word_set(F.col("text"))).cast("bigint").alias("palabras"))
+    return lens.spread_table(spark, sf, "documents", "doc_id").select("doc_id", F.size(text.word_set(F.col("text"))).cast("bigint").alias("palabras"))
 
 
 # ---------------------------------------------------------------- harmonising
@@ -266,13 +266,9 @@ def name_words(spark, sf):
 @query("code_parse", o.sql("""SELECT source_row, y AS "Ejercicio", tipo, suba AS codigo, CASE WHEN ln % 3 = 0 THEN NULL ELSE asig END AS asignacion,
   CASE WHEN ln % 3 = 0 THEN px END AS total FROM raw"""))
 def code_parse(spark, sf):
-    raw = lens.raw_layout(spark, sf)
-    return raw.select(
-        "source_row", numeric.integer_code("Ejercicio").alias(YEAR),
-        numeric.integer_code("Cod Tipo Cuenta").alias("tipo"),
-        numeric.integer_code("Cod Subasignacion").alias("codigo"),
-        numeric.integer_code("Cod Asignacion").alias("asignacion"),
-        numeric.to_number("Percibidopag Acum").alias("total"))
+    codes = {YEAR: YEAR, "Cod Tipo Cuenta": "tipo", "Cod Subasignacion": "codigo", "Cod Asignacion": "asignacion"}
+    parsed = numeric.parse_codes(lens.raw_layout(spark, sf), list(codes))
+    return parsed.select("source_row", *[F.col(c).alias(n) for c, n in codes.items()], numeric.to_number("Percibidopag Acum").alias("total"))
 
 
 SERVICE_SQL = "CASE WHEN ls = 'F' THEN 1 WHEN ln % 3 = 0 THEN 3 WHEN ln % 3 = 1 THEN 2 END"

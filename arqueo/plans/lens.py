@@ -63,6 +63,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A large table; a file with fewer splits than there are cores is dealt out by ``key``.
+
+    A table of many files has splits enough and is read as it is, without a shuffle.
+    """
+    rows, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, key)
+
+
 def crosswalk(spark: SparkSession) -> DataFrame:
     rows = [(i, a, b, c, d, g) for i, (c, d, a, b, g) in enumerate(CROSSWALK)]
     return literal_rows(
@@ -126,7 +135,9 @@ def order_municipality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def typed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract columns straight from the tables; unread ones are pruned by the optimiser."""
-    line = table(spark, sf_dir, "lineitem")
+    line = spread_table(spark, sf_dir, "lineitem", "l_orderkey")
+    # the month and year are read once; dozens of columns refer to them
+    line = line.selectExpr("*", "month(l_shipdate) AS _month", f"CAST(year(l_shipdate) + {YEAR_SHIFT} AS BIGINT) AS _year")
     joined = (
         line.join(accounts(spark, sf_dir), "l_partkey")
         .join(order_municipality(spark, sf_dir), "l_orderkey")
@@ -138,7 +149,7 @@ def typed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "Percibidopag": "l_extendedprice",
         "Porpercibir": "CASE WHEN l_tax > 0.04 THEN l_quantity END",
     }
-    year = f"CAST(year(l_shipdate) + {YEAR_SHIFT} AS BIGINT)"
+    year = "_year"
     income, own = "l_returnflag <> 'R'", "l_linestatus = 'F'"
     columns = {
         "Ejercicio": year,
@@ -152,7 +163,7 @@ def typed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "Cod Subsubasignación": "CAST(NULL AS BIGINT)",
         "Nombre Subsubasignación": "CAST(NULL AS STRING)",
         "Ppto Inicial": "CAST(NULL AS DOUBLE)",
-        **{f"{m} {name}": f"CASE WHEN month(l_shipdate) = {n} THEN {value} END"
+        **{f"{m} {name}": f"CASE WHEN _month = {n} THEN {value} END"
            for m, value in measured.items() for n, name in enumerate(MONTHS, start=1)},
         "Ppto Actualizado": "l_quantity",
         **{f"{m} Total": measured[m] for m in MEASURES[1:]},

@@ -13,6 +13,8 @@ import time
 
 from pyspark.sql import SparkSession
 
+from arqueo.session import configured
+
 HEADLINE = (
     "annual_composition", "quarterly", "variability_ranking", "profile", "quality_report",
     "silhouette", "nearest", "monthly_long", "name_keys",
@@ -23,13 +25,12 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     runs = int(os.environ.get("BENCH_RUNS", "3"))
-    spark = (
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]").appName("arqueo-bench")
         .config("spark.sql.shuffle.partitions", cpus).config("spark.driver.memory", "12g")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.python.sql.dataFrameDebugging.enabled", "false").getOrCreate()
+        .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     )
+    spark = configured(builder).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     from arqueo.plans.catalogue import QUERIES
 

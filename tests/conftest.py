@@ -8,12 +8,14 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 
 def make_session() -> SparkSession:
-    spark = (
+    from arqueo.session import configured
+
+    builder = (
         SparkSession.builder.master("local[8]").appName("arqueo-tests")
         .config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "8g")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false").getOrCreate()
+        .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     )
+    spark = configured(builder).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 

@@ -44,15 +44,17 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
 
 
 def unique_by(df: DataFrame, keys: Sequence[str], what: str) -> DataFrame:
-    """One row per key; the job stops if a key repeats."""
+    """One row per key; the job stops if a key repeats.
+
+    The check is a filter: unlike a column it cannot be pruned, and it leaves the key columns
+    and their partitioning as the aggregation made them.
+    """
     rest = [c for c in df.columns if c not in keys]
     packed = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.first(F.struct(*rest or [F.lit(1).alias("_one")])).alias("_row")
+        F.count(F.lit(1)).alias("_n"), *([F.first(F.struct(*rest)).alias("_row")] if rest else [])
     )
-    checked = fail_when(F.col("_n") > 1, f"{what}: repeated key", F.col("_row"))
-    return packed.withColumn("_row", checked).select(
-        *keys, *[F.col("_row")[c].alias(c) for c in rest], *([] if rest else [F.col("_row").alias("_ok")])
-    ).select(*df.columns if rest else keys)
+    unique = fail_when(F.col("_n") > 1, f"{what}: repeated key", F.lit(True))
+    return packed.filter(unique).select(*keys, *[F.col("_row")[c].alias(c) for c in rest]).select(*df.columns)
 
 
 def checked_join(

@@ -214,16 +214,14 @@ def mean_silhouette(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
 
 def calinski_harabasz(rows: DataFrame) -> DataFrame:
     """Between over within dispersion, each by its degrees of freedom; one row."""
-    typed = rows.select("label", F.col("vec").cast("array<double>").alias("vec"))
-    cells = typed.select("label", F.posexplode("vec").alias("dim", "x"))
-    per_label = cells.groupBy("label", "dim").agg(
-        F.count("x").alias("n"), F.sum("x").alias("s"), (F.var_pop("x") * F.count("x")).alias("w")
-    )
-    per_dim = per_label.groupBy("dim").agg(
+    stats = label_centroids(rows)
+    # from here on there is one row per label and coordinate
+    cells = stats.select("label", "n", (F.col("spread") * F.col("n")).alias("w"), F.posexplode("centroid").alias("dim", "m"))
+    per_dim = cells.groupBy("dim").agg(
         F.sum("n").alias("n"), F.count("label").alias("k"), F.sum("w").alias("w"),
-        (F.sum(F.col("s") * F.col("s") / F.col("n")) - F.sum("s") * F.sum("s") / F.sum("n")).alias("b"),
+        (F.sum(F.col("n") * F.col("m") * F.col("m")) - F.pow(F.sum(F.col("n") * F.col("m")), F.lit(2)) / F.sum("n")).alias("b"),
     )
-    whole = per_dim.agg(F.max("n").alias("n"), F.max("k").alias("k"), F.sum("w").alias("w"), F.sum("b").alias("b"))
+    whole = per_dim.agg(F.max("n").alias("n"), F.max("k").alias("k"), F.max("w").alias("w"), F.sum("b").alias("b"))
     n, k, w, b = (F.col(c) for c in "nkwb")
     score = F.when(w == 0, 1.0).otherwise(b / F.when(w != 0, w) * (n - k) / (k - 1))
     return whole.select(score.alias("calinski_harabasz"))
@@ -232,9 +230,9 @@ def calinski_harabasz(rows: DataFrame) -> DataFrame:
 def davies_bouldin(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Mean over clusters of the worst (scatter + scatter) / centroid distance; one row."""
     typed = rows.select("label", F.col("vec").cast("array<double>").alias("vec"))
-    centers = label_centroids(typed).select("label", "centroid")
-    # AQE decides how to join; centroids are one row per label
-    scatter = typed.join(centers, "label").groupBy("label").agg(
+    centers = stage(label_centroids(typed).select("label", "centroid"))
+    # one row per label: counted before it is broadcast
+    scatter = typed.join(broadcast_if_small(centers), "label").groupBy("label").agg(
         F.avg(euclidean(F.col("vec"), F.col("centroid"))).alias("scatter")
     )
     stats = stage(centers.join(scatter, "label").select(F.col("label").alias("id"), F.col("centroid").alias("vec"), "scatter"))

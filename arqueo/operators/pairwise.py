@@ -12,6 +12,8 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -164,15 +166,16 @@ def squared_silhouette_rows(rows: DataFrame) -> DataFrame:
 def label_centroids(rows: DataFrame) -> DataFrame:
     """Per label: members, centroid, and mean squared distance to it (``spread``).
 
-    Sums are per (label, coordinate), so partial aggregation handles a label that holds a
-    large part of the rows.
+    One vector aggregate with partial sums: a label that holds a large part of the rows is
+    reduced where its rows are.
     """
-    cells = rows.select("label", F.posexplode("vec").alias("dim", "x"))
-    moments = cells.groupBy("label", "dim").agg(
-        F.count("x").alias("n"), F.avg("x").alias("m"), F.var_pop("x").alias("v")
+    vector = array_to_vector(F.col("vec").cast("array<double>"))
+    moments = rows.groupBy("label").agg(
+        Summarizer.metrics("mean", "variance", "count").summary(vector).alias("_s")
     )
-    return moments.groupBy("label").agg(
-        F.max("n").alias("n"),
-        F.transform(F.array_sort(F.collect_list(F.struct("dim", "m"))), lambda s: s["m"]).alias("centroid"),
-        F.sum("v").alias("spread"),
+    # the summary gives sample variances; the spread is over all members
+    variance = F.aggregate(vector_to_array("_s.variance"), F.lit(0.0), lambda s, x: s + x)
+    return moments.select(
+        "label", F.col("_s.count").alias("n"), vector_to_array("_s.mean").alias("centroid"),
+        (variance * (F.col("_s.count") - 1) / F.col("_s.count")).alias("spread"),
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +18,7 @@ from arqueo.plans import oracle as o
 from arqueo.schema import (
     ACCOUNT_LEVELS, CODE, GROUP, INCOME_GROUPS, MONTHS, NAME, REGION, SUBASSIGNMENT, SUBTITLE, TOTAL_PARTS, YEAR,
 )
+from arqueo.sources import budget as budget_source
 from arqueo.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -728,3 +730,37 @@ _framed("frame_cluster_profile", lambda analysis: frames.cluster_profile_frame(a
 @query("frame_cluster_map")
 def frame_cluster_map(spark, sf):
     return frames.cluster_map_frame(_analysis(spark, sf, cluster_count=3, cluster_counts=[2]), _places(spark, sf))
+
+
+# ---------------------------------------------------------------- sources and the store
+
+def _written_sources(spark, sf) -> str:
+    """The raw layout as one Parquet source per year, in the shared folder."""
+    folder = f"{staging.checkpoint_root(spark).rstrip('/')}/sources-{uuid.uuid4().hex}"
+    raw = lens.raw_layout(spark, sf)
+    named = raw.withColumn("fuente", F.replace("source_file", F.lit(".csv"), F.lit(".parquet")))
+    named.drop("source_file", "source_row").write.partitionBy("fuente").parquet(f"{folder}/data")
+    return folder
+
+
+@query("incremental_refresh", o.sql("""SELECT 'fuente=budget_' || y || '.parquet' AS source_file, count(*) AS filas, 'rebuilt' AS primera, 'hit' AS segunda
+  FROM raw GROUP BY y"""))
+def incremental_refresh(spark, sf):
+    folder = _written_sources(spark, sf)
+    data, store = f"{folder}/data", f"{folder}/store"
+    first = budget_source.refresh_store(spark, data, store, canonical_year=2010)
+    second = budget_source.refresh_store(spark, data, store, canonical_year=2010)
+    names = [r.source_file for r in first.select("source_file").collect()]
+    stored = budget_source.read_store(spark, store, names).groupBy("source_file").agg(F.count(F.lit(1)).alias("filas"))
+    return stored.join(first.select("source_file", F.col("cache_status").alias("primera")), "source_file").join(
+        second.select("source_file", F.col("cache_status").alias("segunda")), "source_file")
+
+
+@query("loaded_budget", o.sql("""SELECT y AS "Ejercicio", code AS "Cod Municipio", tipo AS "Cod Tipo Cuenta", count(*) AS filas,
+  CAST(sum(CAST(px AS DECIMAL(18,2))) AS DOUBLE) AS percibido FROM raw WHERE y IN (2006, 2009) AND code IN (3, 12) GROUP BY ALL"""))
+def loaded_budget(spark, sf):
+    """The whole loader: discovery, layouts, catalogue, audit, then years and municipalities."""
+    rows, _ = budget_source.data_loader(
+        spark, f"{_written_sources(spark, sf)}/data", years=[2006, 2009], municipalities=["Nation 3", 12], canonical_year=2010)
+    return rows.groupBy(YEAR, CODE, "Cod Tipo Cuenta").agg(
+        F.count(F.lit(1)).alias("filas"), numeric.exact_sum(F.col("Percibidopag Total")).cast("double").alias("percibido"))

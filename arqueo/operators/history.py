@@ -183,7 +183,7 @@ def _finish(rows: DataFrame, periods: Periods) -> DataFrame:
 
 
 def _named(rows: DataFrame, budget: DataFrame, names: DataFrame | None) -> DataFrame:
-    known = entity_names(budget) if names is None else names.select(CODE, NAME)
+    known = stage(entity_names(budget)) if names is None else names.select(CODE, NAME)
     return rows.join(broadcast_if_small(known), CODE)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from arqueo.functions.numeric import fail_when
 from arqueo.functions.text import name_form, name_key, plain_casefold, strip
 from arqueo.operators.classify import classified_income, municipal_income
-from arqueo.operators.staging import broadcast_if_small, literal_rows
+from arqueo.operators.staging import broadcast_if_small, literal_rows, stage
 from arqueo.schema import (
     CODE, COLLECTED_TOTAL, NAME, REGION, SERVICE_NAME, TYPE_CODE, YEAR, ContractError, require_columns,
 )
@@ -173,8 +173,9 @@ def resolve_entities(budget: DataFrame, municipalities: DataFrame, column: str =
 
     A name that fits several codes stops the job; one that fits none has null code.
     """
-    names = entity_names(budget)
-    forms = (
+    # both are read twice: to count them and to join them
+    names = stage(entity_names(budget))
+    forms = stage(
         budget.filter(F.col(CODE).isNotNull() & F.col(NAME).isNotNull())
         .select(CODE, NAME).distinct().withColumn("_form", name_form(F.col(NAME)))
         .groupBy("_form").agg(F.min(CODE).alias("_low"), F.max(CODE).alias("_high"))

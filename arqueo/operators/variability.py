@@ -167,7 +167,7 @@ def other_income_variability(
 def _analyse(budget: DataFrame, years: list[int], top_n: int, names: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     income = classified_income(budget.filter(F.col(YEAR).isin(*years) & F.col(CODE).isNotNull()))
     accounts = stage(semester_accounts(income))
-    known = broadcast_if_small(entity_names(budget) if names is None else names.select(CODE, NAME))
+    known = broadcast_if_small(stage(entity_names(budget)) if names is None else names.select(CODE, NAME))
     ranking = stage(rank_accounts(accounts, len(years), top_n))
     breakdown = break_down(accounts, ranking, years, top_n)
     return breakdown.join(known, CODE), ranking.join(known, CODE)

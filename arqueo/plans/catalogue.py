@@ -737,7 +737,10 @@ def frame_cluster_map(spark, sf):
 def _written_sources(spark, sf) -> str:
     """The raw layout as one Parquet source per year, in the shared folder."""
     folder = f"{staging.checkpoint_root(spark).rstrip('/')}/sources-{uuid.uuid4().hex}"
-    raw = lens.raw_layout(spark, sf)
+    code = F.col(CODE)
+    # the canonical year has one code per municipality; other years keep their own
+    raw = lens.raw_layout(spark, sf).withColumn(
+        CODE, F.when(F.col(YEAR) == "2010", (code.cast("bigint") % 100).cast("string")).otherwise(code))
     named = raw.withColumn("fuente", F.replace("source_file", F.lit(".csv"), F.lit(".parquet")))
     named.drop("source_file", "source_row").write.partitionBy("fuente").parquet(f"{folder}/data")
     return folder

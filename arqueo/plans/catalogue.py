@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arqueo import rules
@@ -16,7 +16,7 @@ from arqueo.operators import reshape, scope, staging, variability
 from arqueo.plans import frames, lens
 from arqueo.plans import oracle as o
 from arqueo.schema import (
-    ACCOUNT_LEVELS, CODE, GROUP, INCOME_GROUPS, MONTHS, NAME, REGION, SUBASSIGNMENT, SUBTITLE, TOTAL_PARTS, YEAR,
+    CODE, GROUP, INCOME_GROUPS, MONTHS, NAME, REGION, SUBASSIGNMENT, SUBTITLE, TOTAL_PARTS, YEAR,
 )
 from arqueo.sources import budget as budget_source
 from arqueo.sources import tables

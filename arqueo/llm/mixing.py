@@ -13,6 +13,7 @@ from arqueo.llm.common import WORD, packed, stored, unpacked
 GOLDEN_32 = 2654435769
 # --- end of fixed value ---
 CHUNK = 1 << 16  # slots ranked together
+PREFIX = 3  # hex digits of the shuffle key: a source is laid out in 4096 parts
 CELLS = 4096  # of the unit interval, for the join of points and sources
 
 
@@ -113,7 +114,7 @@ def mix(
     slots = -(-total // block_words)
 
     numbered = sized.join(targets.select("nth", F.col("source").alias("of"), "source_size", "target"), F.col("source").eqNullSafe(F.col("of")))
-    bucket = F.substring("key", 1, 4)
+    bucket = F.substring("key", 1, PREFIX)
     earlier = Window.partitionBy("nth").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = numbered.groupBy("nth", bucket.alias("bucket")).agg(F.sum("size").alias("n")).select(
         "nth", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("ahead")

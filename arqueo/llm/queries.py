@@ -2,12 +2,35 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arqueo.llm.common import table
+from arqueo.llm.fingerprints import compare_with_next
 from arqueo.llm.line_dedup import dedup_lines
 from arqueo.llm.mixing import mix
+from arqueo.llm.near_dedup import near_duplicates
+from arqueo.llm.packing import pack
+from arqueo.llm.quality_rules import judge_quality
+from arqueo.llm.warc import read_archives, write_archives
+from arqueo.operators.staging import checkpoint_root
+
+
+def tokenizer_file() -> str:
+    """The public vocabulary the packing query uses; another file is a parameter of ``pack``."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file())
 
 
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,7 +43,27 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op4_source_mix": op4_source_mix, "op5_line_dedup": op5_line_dedup}
+def op7_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return judge_quality(docs).drop("lang", "source")
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{checkpoint_root(spark).rstrip('/')}/archives-{uuid.uuid4().hex}"
+    write_archives(table(spark, sf_dir, "pages"), path)
+    return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_duplicates(docs, shingle_words=2).drop("text")
+
+
+QUERIES = {
+    f.__name__: f for f in (
+        op1_fingerprints, op2_packing, op4_source_mix, op5_line_dedup, op7_quality_outliers, op9_warc, op10_near_duplicates,
+    )
+}
 
 OP4 = """
 WITH sized AS (

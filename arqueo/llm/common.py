@@ -48,8 +48,10 @@ def unpacked(df: DataFrame, **added: Column) -> DataFrame:
     """The input columns, then the added ones; an added column replaces an input column of its name."""
     names = df.schema["row"].dataType.names
     hidden = {k.lower() for k in added}
+    # two projections: in one, a name inside a lambda could mean an input column's alias
+    computed = df.select("row", *[v.alias(f"added_{i}") for i, v in enumerate(added.values())])
     kept = [F.col("row").getField(n).alias(n) for n in names if n.lower() not in hidden]
-    return df.select(*kept, *[v.alias(k) for k, v in added.items()])
+    return computed.select(*kept, *[F.col(f"added_{i}").alias(k) for i, k in enumerate(added)])
 
 
 def lower_ascii(text: Column) -> Column:

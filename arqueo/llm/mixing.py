@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arqueo.llm.common import WORD, packed, stored, unpacked
+from arqueo.llm.common import WORD, packed, quoted, stored, unpacked
 
 # --- Fixed value: 2**32 divided by the golden ratio, made odd ---
 GOLDEN_32 = 2654435769
@@ -107,7 +107,7 @@ def mix(
     """
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
     key = F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.lit(str(seed))))
-    sized = stored(packed(docs.select(*[c for c in docs.columns if c.lower() != "text"], words.alias("__words")),
+    sized = stored(packed(docs.select(*[quoted(c) for c in docs.columns if c.lower() != "text"], words.alias("__words")),
                           source=F.col("source"), doc_id=F.col("doc_id"), size=F.col("__words"), key=key), "sized")
     targets = stored(source_targets(sized, weights, cap), "targets")
     total = sized.agg(F.sum("size")).first()[0] or 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arqueo.llm.common import SPACE_CHARS, SPACES, WORD, packed, stored, unpacked
+from arqueo.llm.common import SPACE_CHARS, SPACES, WORD, packed, quoted, stored, unpacked
 
 SYMBOLS = r"[^#*$%&|<>]+"  # everything that is no symbol
 POSITION_BITS = 26
@@ -193,7 +193,7 @@ def judge_quality(docs: DataFrame, min_rows: int = MIN_ROWS, cutoff: float = CUT
     fails the base rules. Repeated rows are judged alike; an empty table gives an empty result.
     """
     whole = [c for c in docs.columns if c.lower() != "text"]
-    counted = text_statistics(docs).select(*[F.col(f"`{c}`") for c in whole if c.lower() not in _ADDED], *_STATISTICS)
+    counted = text_statistics(docs).select(*[quoted(c) for c in whole if c.lower() not in _ADDED], *_STATISTICS)
     n = F.col("n_words")
     failed = (n < 50) | (100 * F.col("n_repeat_words") > 50 * n)
     base = stored(packed(

@@ -164,9 +164,8 @@ def read_records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         return True
 
     while True:
-        at, size = -1, 4096
-        while (at := held.find(b"\r\n\r\n")) < 0 and fill(size):
-            size = len(held) + 4096
+        while (at := held.find(b"\r\n\r\n")) < 0 and fill(len(held) + 1):
+            pass
         if at < 0:
             if held.strip():
                 raise ValueError("an archive ends inside a record's head")

@@ -18,6 +18,8 @@ ROWS = 5
 BANDS = SLOTS // ROWS  # a pair at 0.8 is missed by all bands with a chance of 6e-8
 FRACTION = np.uint64(24)
 MEMO = 500_000
+CROWD = 32  # classes in a bucket up to which its pairs are joined
+BLOCK = 256  # classes of a crowd that meet in one task
 SIGNED = "doc_id bigint, text_hash bigint, n_shingles bigint, class binary, bands array<bigint>"
 
 
@@ -130,6 +132,94 @@ def _with_roots(pairs: DataFrame, roots: DataFrame, columns: tuple[str, ...]) ->
     return pairs
 
 
+def _still_open(rooted: DataFrame) -> DataFrame:
+    """Members of the buckets whose classes are in more than one component, with the bucket's size."""
+    buckets = rooted.groupBy("key").agg(
+        F.min("root_class").alias("low"), F.max("root_class").alias("high"), F.count(F.lit(1)).alias("size")
+    ).filter("low != high").select("key", "size")
+    return rooted.join(buckets, "key")
+
+
+def _crowds(left: DataFrame) -> DataFrame:
+    """(class, root_class, crowd): classes of open buckets above ``CROWD``, buckets that overlap being one crowd.
+
+    Every class is in one crowd, however many of its buckets are large.
+    """
+    large = left.filter(F.col("size") > CROWD)
+    heads = large.groupBy("key").agg(F.min("class").alias("b"))
+    found = components(large.join(heads, "key").select(F.col("class").alias("a"), "b").filter("a != b").distinct())
+    return large.select("class", "root_class").distinct().join(
+        found.select(F.col("node").alias("class"), F.col("root").alias("crowd")), "class"
+    )
+
+
+def _block_links(size: int, percent: int):
+    """Links between different components among the texts of two blocks, as a forest."""
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        hashes = WordHashes()
+        sets = [shingle_set(t, size, hashes) for t in rows["text"]]
+        sizes = np.array([len(s) for s in sets])
+        every, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        # a shingle of one text adds to no intersection
+        shared = count[column] > 1
+        place = np.cumsum(count > 1) - 1
+        owner, column = owner[shared], place[column[shared]]
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        for start in range(0, int((count > 1).sum()), 16_384):
+            lo, hi = np.searchsorted(column, [start, start + 16_384])
+            present = np.zeros((len(sets), min(16_384, int((count > 1).sum()) - start)), np.float32)
+            present[owner[lo:hi], column[lo:hi] - start] = 1
+            both += present @ present.T
+        linked = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
+        roots = rows["root_class"].map(bytes).to_numpy()
+        classes, parent = rows["class"].map(bytes).to_numpy(), {r: r for r in roots}
+
+        def find(x: bytes) -> bytes:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        found = []
+        for i, j in zip(*np.nonzero(np.triu(linked, 1))):
+            p, q = find(roots[i]), find(roots[j])
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+                found.append((classes[i], classes[j]))
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    return run
+
+
+def _in_blocks(crowds: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between the components of a crowd: blocks of bounded size meet pairwise, each pair of blocks a task of its own.
+
+    The largest component of a crowd is not compared with itself. Only links leave a task. The
+    rows sent are a crowd's classes times its blocks, not its pairs.
+    """
+    parts = crowds.groupBy("crowd", "root_class").agg(F.count(F.lit(1)).alias("n"))
+    whole = parts.groupBy("crowd").agg(F.max(F.struct("n", "root_class")).alias("main"), F.sum("n").alias("all"))
+    blocks = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("int")
+    sized = crowds.join(whole, "crowd").withColumns({
+        "is_main": F.col("root_class") == F.col("main.root_class"), "mains": blocks(F.col("main.n")), "others": blocks(F.col("all") - F.col("main.n")),
+    }).withColumn("block", F.pmod(F.xxhash64("class"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
+    unit = lambda kind, u, v: F.struct(F.lit(kind).alias("kind"), u.cast("int").alias("u"), v.cast("int").alias("v"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    block = F.col("block")
+    units = F.when(F.col("is_main"), F.transform(upto("others"), lambda u: unit("main", u, block))).otherwise(F.concat(
+        F.transform(upto("others"), lambda v: unit("other", F.least(block, v), F.greatest(block, v))),
+        F.transform(upto("mains"), lambda v: unit("main", block, v)),
+    ))
+    dealt = sized.select("crowd", "class", "root_class", F.explode(units).alias("unit")).join(texts, "class")
+    found = dealt.groupBy("crowd", "unit").applyInPandas(
+        lambda rows: _block_links(size, percent)(rows), "a binary, b binary"
+    )
+    return stored(found, "block_links")
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with n_shingles, component_id and kept.
 
@@ -140,8 +230,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     Classes that share a band key are candidates, and links are confirmed on full sets. A large
     bucket does not emit its pairs: (1) each class is compared with the first class of the
     bucket it shares most often, (2) with the first classes of its other buckets that are not
-    in its component by then, (3) only classes of one bucket that are still in different
-    components are compared with each other. Links inside a component change nothing, so the
+    in its component by then, (3) classes of one bucket that are still in different components
+    are compared with each other: inside tasks, block by block, where buckets are large, and as
+    pairs where at most 32 classes share one. Links inside a component change nothing, so the
     components are those of all pairs in all buckets.
 
     Texts with fewer words than a shingle are one shingle; without words or text, n_shingles is
@@ -180,11 +271,17 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     roots = components(links)
 
     rooted = stored(_with_roots(members.select("key", "n", "class"), roots, ("class",)), "rooted")
-    open_keys = rooted.groupBy("key").agg(F.min("root_class").alias("low"), F.max("root_class").alias("high")).filter("low != high").select("key")
-    left = stored(rooted.join(open_keys, "key"), "open")
-    x, y = left.alias("x"), left.alias("y")
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.root_class") != F.col("y.root_class"))
-                  & alike(F.col("x.n"), F.col("y.n"))).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
+    left = stored(_still_open(rooted), "open")
+    grouped = stored(_crowds(left), "crowds")
+    links = links.unionByName(_in_blocks(grouped, texts, shingle_words, percent))
+    placed = stored(left.join(grouped.select("class", "crowd"), "class", "left"), "placed")
+    x, y = placed.alias("x"), placed.alias("y")
+    apart = F.coalesce(F.col("x.crowd") != F.col("y.crowd"), F.lit(True))
+    # buckets of a crowd have been dealt with; in the others a class has few partners
+    rest = x.filter(F.col("size") <= CROWD).join(
+        y, (F.col("x.key") == F.col("y.key")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.root_class") != F.col("y.root_class"))
+        & apart & alike(F.col("x.n"), F.col("y.n"))
+    ).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
     untested = rest.join(stars.select("a", "b"), ["a", "b"], "left_anti")
     links = links.unionByName(_confirmed(untested, texts, shingle_words, percent))
     roots = components(links)

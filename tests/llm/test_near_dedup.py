@@ -69,6 +69,25 @@ def test_chains_of_edits(spark, size):
     assert result(near_duplicates(docs, size)) == brute(rows, size)
 
 
+def test_a_crowd_of_copies_with_edits_of_their_own(spark):
+    """Hundreds of copies around the threshold, in several blocks: every link counts, no pair leaves a task."""
+    rng = random.Random(5)
+    base, rows = [f"b{i}" for i in range(120)], []
+    for i in range(700):
+        words = list(base)
+        for _ in range(rng.randrange(0, 16)):
+            words[rng.randrange(len(words))] = f"n{i}x{rng.randrange(10**6)}"
+        if i % 9 == 0 and rows:
+            words = rng.choice(rows)[1].split()
+            for _ in range(4):
+                words[rng.randrange(len(words))] = f"m{i}x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)
+    want = brute(rows, 2)
+    assert len({c for _, c in want.values()}) > 20
+    assert result(near_duplicates(docs, 2)) == want
+
+
 def test_odd_rows(spark):
     got = near_duplicates(odd(spark), 2)
     assert got.count() == 16

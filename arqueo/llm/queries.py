@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from arqueo.llm.common import table
 from arqueo.llm.fingerprints import compare_with_next
+from arqueo.llm.hidden_markov import score_texts
 from arqueo.llm.line_dedup import dedup_lines
 from arqueo.llm.mixing import mix
 from arqueo.llm.near_dedup import near_duplicates
 from arqueo.llm.packing import pack
+from arqueo.llm.quality_classifier import grade_texts
 from arqueo.llm.quality_rules import judge_quality
+from arqueo.llm.toxicity import score_toxicity
 from arqueo.llm.warc import read_archives, write_archives
 from arqueo.operators.staging import checkpoint_root
 
@@ -33,6 +36,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file())
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_toxicity(docs, table(spark, sf_dir, "labels"))
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -43,11 +51,23 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op6_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grade 0 is poor text, 1 good but toxic, 2 good; kept is P(grade >= 1) of at least a half."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
+    ratings = table(spark, sf_dir, "labels").filter("quality is not null").select("doc_id", grade.alias("grade"))
+    return grade_texts(docs, ratings).drop("text")
+
+
 def op7_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return judge_quality(docs).drop("lang", "source")
 
 
+def op8_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{checkpoint_root(spark).rstrip('/')}/archives-{uuid.uuid4().hex}"
     write_archives(table(spark, sf_dir, "pages"), path)
@@ -59,9 +79,16 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(docs, shingle_words=2).drop("text")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     f.__name__: f for f in (
-        op1_fingerprints, op2_packing, op4_source_mix, op5_line_dedup, op7_quality_outliers, op9_warc, op10_near_duplicates,
+        op1_fingerprints, op2_packing, op3_toxicity, op4_source_mix, op5_line_dedup, op6_ordinal_quality, op7_quality_outliers,
+        op8_hidden_markov, op9_warc, op10_near_duplicates, pipeline,
     )
 }
 

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from arqueo.functions.text import BLANKS
 
-MONEY = T.DecimalType(18, 2)
+MONEY = T.DecimalType(38, 6)
 THOUSANDS = r"^[+-]?\d{1,3}([.,]\d{3})+$"
 
 
@@ -79,9 +79,13 @@ def row_sum(columns: Sequence[str]) -> Column:
     return F.expr(f"CASE WHEN coalesce({', '.join(names)}) IS NOT NULL THEN {total} END")
 
 
-def exact_sum(amount: Column) -> Column:
-    """Sum in decimals: the same on every run whatever the order rows arrive in."""
-    return F.sum(amount.cast(MONEY))
+def exact_sum(amount: Column, precision: T.DecimalType = MONEY) -> Column:
+    """Sum in decimals: the same on every run whatever the order rows arrive in.
+
+    ``precision`` is that of the amounts and of the sum: six places by default, with room for
+    32 digits before the point.
+    """
+    return F.sum(amount.cast(precision)).cast(precision)
 
 
 def share(part: Column, whole: Column, when_zero: float | None) -> Column:

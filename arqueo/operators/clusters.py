@@ -51,12 +51,12 @@ class WardTree:
         return finished if self.spark_merges is None else self.spark_merges.unionByName(finished)
 
     def highest(self, count: int) -> list[tuple]:
-        """The ``count`` highest merges, highest first; later steps count as higher on ties."""
+        """The ``count`` highest merges, highest first; on ties later steps, then larger ids, count as higher."""
         found = list(self.driver_merges)
         if self.spark_merges is not None:
-            top = self.spark_merges.orderBy(F.desc("height"), F.desc("step")).limit(count)
+            top = self.spark_merges.orderBy(F.desc("height"), F.desc("step"), F.desc("lo"), F.desc("hi")).limit(count)
             found += [tuple(r) for r in top.collect()]
-        return sorted(found, key=lambda m: (m[2], m[4]), reverse=True)[:count]
+        return sorted(found, key=lambda m: (m[2], m[4], m[0], m[1]), reverse=True)[:count]
 
 
 def _nearest_clusters(clusters: DataFrame, count: int, block_rows: int) -> DataFrame:
@@ -123,10 +123,19 @@ def _finish_on_driver(rows: list[Row], step: int) -> list[tuple]:
 
 
 def ward_tree(rows: DataFrame, finish: int = FINISH, block_rows: int = BLOCK_ROWS) -> WardTree:
-    """Exact Ward tree of ``rows`` (``id`` bigint unique, ``vec``)."""
-    leaves = rows.select("id", F.col("vec").cast("array<double>").alias("vec"))
-    clusters = leaves.withColumn("size", F.lit(1).cast("bigint"))
+    """Exact Ward tree of ``rows`` (``id`` bigint unique, ``vec``).
+
+    Equal vectors are merged first, at height 0, into the smallest of their ids: one aggregate
+    instead of a round for each.
+    """
+    leaves = stage(rows.select("id", F.col("vec").cast("array<double>").alias("vec")))
+    clusters = stage(leaves.groupBy("vec").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("size")).select("id", "vec", "size"))
     count, step, done = clusters.count(), 0, None
+    if count < leaves.count():
+        done = leaves.join(clusters.filter("size > 1").withColumnRenamed("id", "lo"), "vec").filter("id <> lo").select(
+            "lo", F.col("id").alias("hi"), F.lit(0.0).alias("height"), "size", F.lit(0).cast("bigint").alias("step")
+        )
+        step = 1
     while count > finish:
         mutual = stage(
             _nearest_clusters(clusters, count, block_rows).groupBy("lo", "hi")
@@ -219,8 +228,12 @@ def calinski_harabasz(rows: DataFrame) -> DataFrame:
     cells = stats.select("label", "n", (F.col("spread") * F.col("n")).alias("w"), F.posexplode("centroid").alias("dim", "m"))
     per_dim = cells.groupBy("dim").agg(
         F.sum("n").alias("n"), F.count("label").alias("k"), F.sum("w").alias("w"),
-        (F.sum(F.col("n") * F.col("m") * F.col("m")) - F.pow(F.sum(F.col("n") * F.col("m")), F.lit(2)) / F.sum("n")).alias("b"),
+        (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("whole"),
     )
+    # centroids far from zero would lose their digits in a difference of squares
+    gap = F.col("m") - F.col("whole")
+    between = cells.join(per_dim.select("dim", "whole"), "dim").groupBy("dim").agg(F.sum(F.col("n") * gap * gap).alias("b"))
+    per_dim = per_dim.join(between, "dim")
     whole = per_dim.agg(F.max("n").alias("n"), F.max("k").alias("k"), F.max("w").alias("w"), F.sum("b").alias("b"))
     n, k, w, b = (F.col(c) for c in "nkwb")
     score = F.when(w == 0, 1.0).otherwise(b / F.when(w != 0, w) * (n - k) / (k - 1))

@@ -61,16 +61,29 @@ def coverage_columns(last: Column) -> dict[str, Column]:
 def infer_year_coverage(budget: DataFrame, by: Collection[str] = ()) -> DataFrame:
     """One row per year (per ``by`` key too): last month with collected income, and status.
 
-    Only the last active month counts; a year without activity stays, as ``unknown``.
+    Only the last active month counts; a year without activity stays, as ``unknown``. So are
+    all years of a table that lacks a month column.
     """
-    require_columns(budget, [YEAR, TYPE_CODE, SERVICE_NAME, *month_columns(COLLECTED)], "infer coverage")
+    require_columns(budget, [YEAR, TYPE_CODE, SERVICE_NAME], "infer coverage")
     last = (
         budget.filter(municipal_income(budget.columns) & F.col(YEAR).isNotNull())
-        .groupBy(*by, YEAR).agg(F.max(last_active_month()).alias("_last"))
+        .groupBy(*by, YEAR).agg(F.max(_last_month(budget)).alias("_last"))
     )
     return last.select(*by, YEAR, *[c.alias(n) for n, c in coverage_columns(F.col("_last")).items()])
 
 
+def _last_month(budget: DataFrame) -> Column:
+    months = set(month_columns(COLLECTED)) <= set(budget.columns)
+    return last_active_month() if months else F.lit(None).cast("int")
+
+
+def in_years(start_year: int | None, exclude_years: Collection[int] = ()) -> Column:
+    """The part of ``choose_years`` that is known before anything is read."""
+    excluded = sorted({int(y) for y in exclude_years or ()})
+    wanted = F.lit(True) if start_year is None else F.col(YEAR) >= int(start_year)
+    return wanted & ~F.col(YEAR).isin(*excluded) if excluded else wanted
+
+
 def choose_years(
     coverage: list[Row], complete_years_only: bool = True, start_year: int | None = None,
     exclude_years: Collection[int] = (),
@@ -111,8 +124,7 @@ def group_cube(budget: DataFrame, periods: Periods) -> DataFrame:
     else:
         needed, amounts = month_columns(COLLECTED), period_amounts(periods.months)
     require_columns(budget, [CODE, SUBTITLE, SUBASSIGNMENT, *needed], "build the income history")
-    months = set(month_columns(COLLECTED)) <= set(budget.columns)
-    last = last_active_month() if months else F.lit(None).cast("int")
+    last = _last_month(budget)
     return (
         classified_income(budget).filter(F.col(YEAR).isNotNull())
         .groupBy(CODE, YEAR, GROUP)
@@ -183,8 +195,9 @@ def _finish(rows: DataFrame, periods: Periods) -> DataFrame:
 
 
 def _named(rows: DataFrame, budget: DataFrame, names: DataFrame | None) -> DataFrame:
+    """A municipality without a name keeps its rows."""
     known = stage(entity_names(budget)) if names is None else names.select(CODE, NAME)
-    return rows.join(broadcast_if_small(known), CODE)
+    return rows.join(broadcast_if_small(known), CODE, "left")
 
 
 def income_history(
@@ -195,7 +208,7 @@ def income_history(
 
     ``names`` (code, name) spares the pass that looks up the latest name of each code.
     """
-    cube = stage(group_cube(budget, periods))
+    cube = stage(group_cube(budget.filter(in_years(start_year, exclude_years)), periods))
     last = cube.groupBy(YEAR).agg(F.max("_last").alias("_last"))
     coverage = last.select(YEAR, *[c.alias(n) for n, c in coverage_columns(F.col("_last")).items()])
     years = choose_years(coverage.collect(), complete_years_only, start_year, exclude_years)
@@ -212,19 +225,13 @@ def income_history_per_entity(
     year) holds everything: no staging, no grid of years.
     """
     slots = [f"_p{i}" for i in range(1, periods.count + 1)]
-    cube = group_cube(budget, periods).filter(F.col(CODE).isNotNull())
+    chosen = budget.filter(in_years(start_year, exclude_years))
+    cube = group_cube(chosen, periods).filter(F.col(CODE).isNotNull())
     by_year = cube.groupBy(CODE, YEAR).agg(
         F.map_from_entries(F.collect_list(F.struct(F.col(GROUP), F.array(*slots)))).alias("_cells"),
         F.max("_last").alias("_last"),
     )
-    excluded = sorted({int(y) for y in exclude_years or ()})
-    wanted = F.lit(True)
-    if complete_years_only:
-        wanted = wanted & (F.col("_last") == 12)
-    if start_year is not None:
-        wanted = wanted & (F.col(YEAR) >= int(start_year))
-    if excluded:
-        wanted = wanted & ~F.col(YEAR).isin(*excluded)
+    wanted = F.col("_last") == 12 if complete_years_only else F.lit(True)
     groups = F.array(*[F.lit(g) for g in INCOME_GROUPS])
     cells = (
         by_year.filter(wanted)

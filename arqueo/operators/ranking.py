@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arqueo.operators.staging import stage
+from arqueo.operators.staging import join_same, stage
 
 
 def spread_row_number(
@@ -30,7 +30,7 @@ def spread_row_number(
     offsets = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
     numbered = sliced.withColumn("_local", F.row_number().over(slice_key.orderBy(*order)))
     return (
-        numbered.join(offsets, [*keys, "_slice"])
+        join_same(numbered, offsets, [*keys, "_slice"])
         .withColumn(out, (F.col("_local") + F.col("_before")).cast("bigint"))
         .drop("_slice", "_local", "_before")
     )

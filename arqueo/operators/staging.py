@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,23 +12,50 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from arqueo.functions.numeric import fail_when
+from arqueo.functions.numeric import fail_when, quoted
 from arqueo.schema import ContractError
 
 BROADCAST_ROWS = 100_000
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a local one where unset."""
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    Where unset, a folder of this application in the cluster's default file system, which is
+    deleted when the application ends. A default that is local to each machine is an error,
+    except with a local master, where there is one machine only.
+    """
     context = spark.sparkContext
     root = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
-        root = tempfile.mkdtemp(prefix="arqueo-checkpoint-")
+        settings = context._jsc.hadoopConfiguration()
+        default = settings.get("fs.defaultFS", "file:///")
+        if default.startswith("file:") and not (context.master == "local" or context.master.startswith("local[")):
+            raise ContractError("set spark.checkpoint.dir to a folder that all executors share")
+        root = f"{default.rstrip('/')}/tmp/arqueo-{context.applicationId}-{uuid.uuid4().hex}"
+        folder = context._jvm.org.apache.hadoop.fs.Path(root)
+        files = folder.getFileSystem(settings)
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(root)
     return root
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a table in the staging folder: one materialisation for all that read it."""
+    path = f"{checkpoint_root(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` in which null meets null; columns of ``left``, then the rest of ``right``."""
+    other = right.withColumnsRenamed({k: f"_same_{k}" for k in keys})
+    same = [F.col(quoted(k)).eqNullSafe(F.col(quoted(f"_same_{k}"))) for k in keys]
+    return left.join(other, reduce(lambda a, b: a & b, same, F.lit(True)), how).drop(*[f"_same_{k}" for k in keys])
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Compute ``df`` once, into the checkpoint folder, for plans that read it several times.
 
@@ -86,7 +114,7 @@ def with_group_values(df: DataFrame, keys: Sequence[str], **aggregates: Column)
     adaptive skew join cope with a key that holds a large part of the rows.
     """
     grouped = df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggregates.items()])
-    return df.join(grouped, list(keys))
+    return join_same(df, grouped, keys)
 
 
 def literal_rows(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:

@@ -51,7 +51,8 @@ def account_label(assignment: Column, subassignment: Column, item: Column, subti
 def semester_accounts(classified: DataFrame) -> DataFrame:
     """(municipality, year, account): decimal sums of both semesters and the year's names.
 
-    Rows without an account key carry no account and are left out (early years).
+    Rows without an account key carry no account and are left out (early years);
+    ``accounts_left_out`` counts them.
     """
     require_columns(classified, [*ACCOUNT, *month_columns(COLLECTED)], "analyse semester variability")
     first, second = period_amounts(SEMESTERS.months)
@@ -68,6 +69,15 @@ def semester_accounts(classified: DataFrame) -> DataFrame:
     )
 
 
+def accounts_left_out(budget: DataFrame) -> DataFrame:
+    """Rows per year that the analysis leaves out, for want of an account key or of a municipality."""
+    lacks_account = F.col(SUBTITLE).isNull() | F.col(SUBASSIGNMENT).isNull()
+    return (
+        classified_income(budget).filter(F.col(GROUP) == OTHER).groupBy(YEAR)
+        .agg(F.count(F.when(lacks_account, 1)).alias("sin_cuenta"), F.count(F.when(F.col(CODE).isNull(), 1)).alias("sin_municipio"))
+    )
+
+
 def rank_accounts(accounts: DataFrame, year_count: int, top_n: int) -> DataFrame:
     """Ranking of the accounts of every municipality.
 
@@ -77,6 +87,7 @@ def rank_accounts(accounts: DataFrame, year_count: int, top_n: int) -> DataFrame
     difference = F.col("_s1") - F.col("_s2")
     levels = [F.col(c) if c in accounts.columns else F.lit(None).cast("struct<name:string>") for c in LABEL_LEVELS]
     merged = accounts.groupBy(CODE, *ACCOUNT).agg(
+        F.sum(F.abs(difference)).alias("_exact"),
         (F.sum(F.abs(difference)).cast("double") / year_count).alias("variacion_promedio_abs_s1_s2"),
         (F.sum(difference).cast("double") / year_count).alias("diferencia_promedio_s1_s2"),
         F.max(F.abs(difference)).cast("double").alias("variacion_maxima_abs_s1_s2"),
@@ -94,12 +105,13 @@ def rank_accounts(accounts: DataFrame, year_count: int, top_n: int) -> DataFrame
         ).drop("_same", "_label"),
         [CODE], _whole=F.sum(F.col("variacion_promedio_abs_s1_s2").cast("decimal(28,6)")),
     )
-    order = [F.round("variacion_promedio_abs_s1_s2", 4).desc(), F.col("ingreso_total").desc(), F.col("codigo_cuenta").asc()]
+    # the mean divides every sum by the same number of years, so the exact sums rank alike
+    order = [F.col("_exact").desc(), F.col("ingreso_total").desc(), F.col("codigo_cuenta").asc()]
     return (
         spread_row_number(labelled, [CODE], order, "ranking_variabilidad")
         .withColumn("participacion_variabilidad", share(F.col("variacion_promedio_abs_s1_s2"), F.col("_whole"), when_zero=0.0))
         .withColumn("seleccionada", F.col("ranking_variabilidad") <= top_n)
-        .drop("_whole")
+        .drop("_whole", "_exact")
     )
 
 
@@ -170,7 +182,7 @@ def _analyse(budget: DataFrame, years: list[int], top_n: int, names: DataFrame |
     known = broadcast_if_small(stage(entity_names(budget)) if names is None else names.select(CODE, NAME))
     ranking = stage(rank_accounts(accounts, len(years), top_n))
     breakdown = break_down(accounts, ranking, years, top_n)
-    return breakdown.join(known, CODE), ranking.join(known, CODE)
+    return breakdown.join(known, CODE, "left"), ranking.join(known, CODE, "left")
 
 
 def analyze_other_income_semester_variability(

@@ -11,6 +11,8 @@ SETTINGS = {
     # a generated method above 8000 bytes is never compiled by the JVM: with projections of
     # a hundred columns, plain operators are faster than such a fused stage
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # staged tables go when nothing refers to them any more
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # call sites per expression cost a round trip each while plans are built
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import struct
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
@@ -26,12 +28,27 @@ PIECES = (
 COLUMNS = [c.split()[0] for c in PIECES.split(", ")]
 
 
+MARKS = ".,;:!?"
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level BPE writes a byte as the character of its number where that is visible, else from 256 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
 class WordIds:
     """Token ids of whole texts as little-endian 32-bit numbers, word by word.
 
     Neither the normaliser nor the splitter of a word-level BPE looks across white space, so a
     text's ids are those of its words one after another; each distinct word is encoded once
-    while it is remembered.
+    while it is remembered. Words of letters with marks behind them are one or two pieces by
+    definition of such a splitter, so they go to the BPE model itself; a tokenizer that treats
+    a few probe words otherwise has all its words encoded the long way.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -39,6 +56,34 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end, self.memo = Tokenizer.from_file(path), end_id.to_bytes(4, "little"), {}
+        self.model = self.tokenizer.model
+        self.direct = all(
+            self._simple(w) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in ("Word", "naïve!?", "Größe.", "x,")
+        )
+
+    def _simple(self, word: str) -> list[int] | None:
+        """Ids of letters and the marks behind them, straight from the model; None for any other word."""
+        body = word.rstrip(MARKS)
+        if body and not body.isalpha():
+            return None
+        if not body.isascii():
+            if not unicodedata.is_normalized("NFC", body) or "İ" in body or "Σ" in body:
+                return None
+            body = body.lower().encode().decode("latin-1").translate(BYTE_LETTERS)
+        return [t.id for piece in (body.lower() if body.isascii() else body, word[len(word.rstrip(MARKS)):]) if piece for t in self.model.tokenize(piece)]
+
+    def _encode(self, words: list[bytes]) -> Iterator[tuple[bytes, list[int]]]:
+        hard = []
+        for w in words:
+            ids = self._simple(w.decode()) if self.direct else None
+            if ids is None:
+                hard.append(w)
+            else:
+                yield w, ids
+        for part in range(0, len(hard), 4096):
+            some = hard[part:part + 4096]
+            found = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
+            yield from zip(some, (f.ids for f in found))
 
     def __call__(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         for text in texts:
@@ -46,10 +91,8 @@ class WordIds:
             new = list({w for w in words if w not in self.memo})
             if len(self.memo) + len(new) > MEMO:
                 self.memo, new = {}, list(set(words))
-            for part in range(0, len(new), 4096):
-                some = new[part:part + 4096]
-                for word, found in zip(some, self.tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False)):
-                    self.memo[word] = b"".join(i.to_bytes(4, "little") for i in found.ids)
+            for word, ids in self._encode(new):
+                self.memo[word] = struct.pack(f"<{len(ids)}I", *ids)
             yield b"".join(map(self.memo.__getitem__, words)) + self.end
 
 

@@ -1,9 +1,10 @@
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
-from arqueo.llm.packing import OpenWindows, pack
+from arqueo.llm.packing import OpenWindows, WordIds, pack
 from arqueo.llm.queries import op2_packing, tokenizer_file
 from tests.llm.cases import SF, documents, empty, odd
 
@@ -59,6 +60,19 @@ def test_odd_rows(spark):
     assert pack(empty(spark), tokenizer_file()).count() == 0
 
 
+def test_word_ids_are_those_of_the_whole_text():
+    """Words that go to the model directly, and those that do not."""
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()[:400]
+    texts += ["It's O'Neil’s 3rd naïve café… İstanbul ΣΟΦΟΣ e\u0301cole ½ x² ﬁn", "日本語 a\x85b\xa0c <|endoftext|> don't!? ...", "\x1c a\x1fb", "ǅ Ǆ ß ẞ"]
+    tokenizer, ids = Tokenizer.from_file(tokenizer_file()), WordIds(tokenizer_file(), 2)
+    assert ids.direct
+    for text, found in zip(texts, ids(texts)):
+        assert np.frombuffer(found, np.uint32).tolist() == tokenizer.encode(text, add_special_tokens=False).ids + [2]
+
+
 def test_ids_come_along(spark):
     docs = spark.createDataFrame([(1, "Some words, here."), (2, None)], "doc_id bigint, text string")
     rows = pack(docs, tokenizer_file(), with_ids=True).collect()

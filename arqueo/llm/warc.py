@@ -120,8 +120,10 @@ def write_archives(
         F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
     )
-    sample = whole.select("page_id", "url", F.substring("html", 1, SAMPLE_BYTES).alias("html")).orderBy(
-        F.xxhash64("page_id"), F.xxhash64("html")
+    # ids first: every task offers its least hashes, and those must not carry pages
+    ids = whole.select("page_id").filter("page_id is not null").orderBy(F.xxhash64("page_id")).limit(sample_pages).distinct()
+    sample = whole.select("page_id", "url", F.substring("html", 1, SAMPLE_BYTES).alias("html")).join(
+        F.broadcast(ids), "page_id"
     ).limit(sample_pages).collect()
     dictionary = build_dictionary([
         record(r.page_id, r.url, p := r.html.encode(), len(p), payload_digest(p), None, False, date) for r in sample

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from arqueo.llm.common import bucket_of, packed, unpacked
 
 SAMPLE_ROWS = 1600  # labelled documents of each label that are learned from, at most
-GRAM = 5  # bytes of the pieces that dictionary training counts
+GRAM = 7  # bytes of the pieces that dictionary training counts
 SHARED_BYTES, OWN_BYTES = 24_000, 4096  # of a dictionary: the part both have, the part trained on one label
 LEVEL = 9
 # a window stands between a text that both dictionaries hold, so that its frame is always compressible,
@@ -128,13 +128,15 @@ def _row(saved: np.ndarray) -> np.ndarray:
 
 @dataclass
 class ToxicityModel:
-    dictionaries: Dictionaries
+    """Pairs of dictionaries, each trained on one half of the sample, and what the other half made of it."""
+
+    dictionaries: list[Dictionaries]
     weights: np.ndarray  # of the features, after scaling
     centre: np.ndarray
     scale: np.ndarray
 
     def scorer(self) -> Callable[[str | None], float]:
-        distance, memo = self.dictionaries.distance(), {}
+        distances, memo = [d.distance() for d in self.dictionaries], {}
 
         def score(text: str | None) -> float:
             words = windows(text)
@@ -142,9 +144,10 @@ class ToxicityModel:
                 memo.clear()
             for w in words:
                 if w not in memo:
-                    memo[w] = distance(w)
-            row = _row(np.fromiter((memo[w] for w in words), np.int64, len(words)))
-            return float(1 / (1 + np.exp(-np.clip(((row - self.centre) / self.scale) @ self.weights, -40, 40))))
+                    memo[w] = [distance(w) for distance in distances]
+            saved = np.array([memo[w] for w in words], np.int64).reshape(len(words), len(distances))
+            rows = (np.array([_row(saved[:, k]) for k in range(len(distances))]) - self.centre) / self.scale
+            return float(1 / (1 + np.exp(-np.clip((rows @ self.weights).mean(), -40, 40))))
 
         return score
 
@@ -163,28 +166,27 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, decay: float = 1
 
 
 def fit(texts: list[str | None], toxic: np.ndarray, prior: float | None = None) -> ToxicityModel:
-    """Dictionaries from all texts; thresholds and weights from texts whose dictionaries did not see them.
+    """Two pairs of dictionaries, one from either half of the texts, and thresholds calibrated on the other half.
 
-    ``prior`` is the share of toxic texts that scores are calibrated to, if the sample's is another.
+    A dictionary fits its own texts better than any others, so it is only judged by texts it has
+    not seen, as it will be in use. ``prior`` is the share of toxic texts that scores are
+    calibrated to, if the sample's is another.
     """
-    sets = [windows(t) for t in texts]
-    pick = lambda chosen, label: [sets[i] for i in np.flatnonzero(chosen & (toxic == label))]
-    every = np.ones(len(sets), bool)
-    if not (toxic == 1).any() or not (toxic == 0).any():
+    sets, size = [windows(t) for t in texts], len(_row(np.zeros(0)))
+    if (toxic == 1).sum() < 2 or (toxic == 0).sum() < 2:
         base = np.clip(toxic.mean() if len(toxic) else 0.0, 1e-6, 1 - 1e-6)
-        size = len(_row(np.zeros(0)))
-        dictionaries = train_dictionaries(pick(every, 1) or [set()], pick(every, 0) or [set()])
-        return ToxicityModel(dictionaries, np.array([np.log(base / (1 - base)), *[0.0] * (size - 1)]), np.zeros(size), np.ones(size))
-    part = np.zeros(len(sets), int)
+        constant = np.array([np.log(base / (1 - base)), *[0.0] * (size - 1)])
+        return ToxicityModel([Dictionaries(BEFORE, BEFORE)], constant, np.zeros(size), np.ones(size))
+    half = np.zeros(len(sets), int)
     for label in (0, 1):
         own = np.flatnonzero(toxic == label)
-        part[own] = np.arange(len(own)) % 2
-    rows = np.zeros((len(sets), len(_row(np.zeros(0)))))
-    for fold in (0, 1):
-        seen = part != fold
-        distance = train_dictionaries(pick(seen, 1) or pick(every, 1), pick(seen, 0) or pick(every, 0)).distance()
-        memo: dict[bytes, int] = {}
-        for i in np.flatnonzero(~seen):
+        half[own] = np.arange(len(own)) % 2
+    rows, pairs = np.zeros((len(sets), size)), []
+    for part in (0, 1):
+        pick = lambda label: [sets[i] for i in np.flatnonzero((half == part) & (toxic == label))]  # noqa: B023, E731
+        pairs.append(train_dictionaries(pick(1), pick(0)))
+        distance, memo = pairs[-1].distance(), {}
+        for i in np.flatnonzero(half != part):
             for w in sets[i]:
                 if w not in memo:
                     memo[w] = distance(w)
@@ -194,7 +196,7 @@ def fit(texts: list[str | None], toxic: np.ndarray, prior: float | None = None)
     share = toxic.mean()
     prior = share if prior is None else float(np.clip(prior, 1e-4, 1 - 1e-4))
     weight = np.where(toxic == 1, prior / share, (1 - prior) / (1 - share))
-    return ToxicityModel(train_dictionaries(pick(every, 1), pick(every, 0)), _logistic((rows - centre) / scale, toxic, weight), centre, scale)
+    return ToxicityModel(pairs, _logistic((rows - centre) / scale, toxic, weight), centre, scale)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:

@@ -98,12 +98,17 @@ def year_coverage_per_entity(spark, sf):
 def _periodic(name: str, periods: history.Periods) -> None:
     tail = f"""SELECT code AS "Cod Municipio", name AS "Nombre Municipio", y AS "Ejercicio", CAST(p AS BIGINT) AS "{periods.column}",
       y || ' {periods.prefix}' || p AS "Periodo", grp AS grupo_ingreso, CAST(amt AS DOUBLE) AS {periods.amount}, {o.share_sql()} AS porcentaje_ingreso,
-      CAST(total AS DOUBLE) AS {periods.total}, month AS last_reported_month, st AS year_status, ok AS is_complete FROM per WHERE y >= 2006"""
+      CAST(total AS DOUBLE) AS {periods.total}, month AS last_reported_month, st AS year_status, ok AS is_complete FROM per{{}}"""
 
-    @query(name, o.sql(tail, o.period_ctes(periods.months)))
+    @query(name, o.sql(tail.format(""), o.period_ctes(periods.months)))
     def run(spark, sf):
+        return rounded(history.income_history(lens.budget(spark, sf), periods=periods, names=_names(spark, sf)), "porcentaje_ingreso")
+
+    @query(f"{name}_recent", o.sql(tail.format(" WHERE y >= 2006 AND y <> 2008"), o.period_ctes(periods.months)))
+    def recent(spark, sf):
+        """The years are known beforehand, so they are a filter of the scan."""
         rows = history.income_history(
-            lens.budget(spark, sf), periods=periods, start_year=2006, names=_names(spark, sf))
+            lens.budget(spark, sf), periods=periods, start_year=2006, exclude_years=[2008], names=_names(spark, sf))
         return rounded(rows, "porcentaje_ingreso")
 
 
@@ -197,10 +202,15 @@ def entity_semi(spark, sf):
     return scope.entity_semi(lens.typed_rows(spark, sf), listed).select("source_row", CODE)
 
 
-@query("entity_missing", """SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)""")
+@query("entity_missing", o.sql("""SELECT CAST(n AS VARCHAR) AS solicitado FROM (SELECT r_name AS n FROM region UNION ALL SELECT n_name FROM nation
+  UNION ALL SELECT CAST(n_nationkey * 2 AS VARCHAR) FROM nation)
+  WHERE n NOT IN (SELECT name FROM raw) AND n NOT IN (SELECT CAST(code AS VARCHAR) FROM raw)"""))
 def entity_missing(spark, sf):
-    orders = lens.table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return lens.table(spark, sf, "customer").join(orders, "c_custkey", "left_anti").select("c_custkey")
+    """Of all regions, nations and doubled nation codes, those that no row has."""
+    names = [r[0] for t, c in (("region", "r_name"), ("nation", "n_name")) for r in lens.table(spark, sf, t).select(c).collect()]
+    codes = [2 * r[0] for r in lens.table(spark, sf, "nation").select("n_nationkey").collect()]
+    lost = scope.missing_entities(lens.typed_rows(spark, sf), [*names, *codes])
+    return staging.literal_rows(spark, [(str(x),) for x in lost], "solicitado string")
 
 
 @query("resolve_entity", o.sql("""SELECT DISTINCT lower(name) || ' ' AS solicitado, code AS "Cod Municipio", name AS "Nombre Municipio" FROM raw"""))
@@ -350,7 +360,8 @@ def quality_report(spark, sf):
 
 
 @query("quality_problems", o.sql("""SELECT 'budget_' || y || '.csv' AS source_file, count(*) FILTER (WHERE code = 6) || ' rows without a canonical municipality, such as '
-  || min(CASE WHEN code = 6 THEN CASE ln % 3 WHEN 0 THEN ' ' || lower(name) WHEN 1 THEN replace(name, '_', '-') ELSE name END END) AS problema
+  || array_to_string(list_sort(list_distinct(list(CASE WHEN code = 6 THEN CASE ln % 3 WHEN 0 THEN ' ' || lower(name) WHEN 1 THEN replace(name, '_', '-') ELSE name END END)
+    FILTER (WHERE code = 6)))[1:5], ', ') AS problema
   FROM raw GROUP BY y HAVING count(*) FILTER (WHERE code = 6) > 0"""))
 def quality_problems(spark, sf):
     rows = harmonise.normalize_layout(lens.raw_layout(spark, sf), lens.crosswalk(spark))
@@ -407,6 +418,22 @@ def account_labels(spark, sf):
     return ranking.select(CODE, SUBTITLE, SUBASSIGNMENT, "codigo_cuenta", "cuenta")
 
 
+@query("variability_left_out", o.sql("""SELECT y AS "Ejercicio", count(*) FILTER (WHERE y < 2008) AS sin_cuenta, CAST(0 AS BIGINT) AS sin_municipio
+  FROM g WHERE grp = 'Otros ingresos' GROUP BY y"""))
+def variability_left_out(spark, sf):
+    return variability.accounts_left_out(lens.budget(spark, sf))
+
+
+@query("ranked_null_keys", """SELECT k, p_partkey, row_number() OVER (PARTITION BY k ORDER BY p_retailprice DESC, p_partkey) AS puesto, count(*) OVER (PARTITION BY k) AS partes
+  FROM (SELECT CASE WHEN p_size > 20 THEN p_type END AS k, p_partkey, p_retailprice FROM part)""")
+def ranked_null_keys(spark, sf):
+    """A null key is a key: its rows are ranked and counted like any others."""
+    parts = lens.table(spark, sf, "part").select(F.when(F.col("p_size") > 20, F.col("p_type")).alias("k"), "p_partkey", "p_retailprice")
+    order = [F.col("p_retailprice").desc(), F.col("p_partkey").asc()]
+    ranked = rank_ops.spread_row_number(parts, ["k"], order, "puesto").drop("p_retailprice")
+    return staging.with_group_values(ranked, ["k"], partes=F.count(F.lit(1)))
+
+
 @query("ranked_parts", """SELECT p_type, p_partkey, row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice DESC, p_partkey) AS puesto FROM part""")
 def ranked_parts(spark, sf):
     parts = lens.table(spark, sf, "part").select("p_type", "p_partkey", "p_retailprice")
@@ -599,13 +626,15 @@ def geojson_lines(spark, sf):
 
 
 @query("index_long", """WITH d AS (SELECT CAST(ts AS DATE) AS fecha, avg(CASE WHEN event_type = 'view' THEN value END) AS uf,
-  avg(CASE WHEN event_type = 'click' THEN value END) AS ivp, avg(CASE WHEN event_type = 'purchase' THEN value END) AS utm FROM events GROUP BY ALL)
-  SELECT fecha, 'uf' AS indicador, round(uf, 6) AS valor FROM d UNION ALL SELECT fecha, 'ivp', round(ivp, 6) FROM d UNION ALL SELECT fecha, 'utm', round(utm, 6) FROM d""")
+  avg(CASE WHEN event_type = 'click' THEN value END) AS ivp, avg(CASE WHEN event_type = 'purchase' THEN value END) AS utm, avg(CASE WHEN event_type = 'signup' THEN value END) AS alta,
+  avg(CASE WHEN event_type = 'error' THEN value END) AS error FROM events GROUP BY ALL)
+  SELECT fecha, 'uf' AS indicador, round(uf, 6) AS valor FROM d UNION ALL SELECT fecha, 'ivp', round(ivp, 6) FROM d UNION ALL SELECT fecha, 'utm', round(utm, 6) FROM d
+  UNION ALL SELECT fecha, 'alta', round(alta, 6) FROM d UNION ALL SELECT fecha, 'error', round(error, 6) FROM d""")
 def index_long(spark, sf):
-    kinds = {"uf": "view", "ivp": "click", "utm": "purchase"}
+    kinds = {"uf": "view", "ivp": "click", "utm": "purchase", "alta": "signup", "error": "error"}
     daily = lens.table(spark, sf, "events").groupBy(F.to_date("ts").alias("fecha")).agg(*[
         F.avg(F.when(F.col("event_type") == e, F.col("value"))).alias(n) for n, e in kinds.items()])
-    return rounded(tables.index_long(daily), "valor")
+    return rounded(tables.index_long(daily, tuple(kinds)), "valor")
 
 
 # ---------------------------------------------------------------- chart frames
@@ -660,27 +689,33 @@ def frame_annual_amount(spark, sf):
     return rounded(frames.annual_amount_frame(_history(spark, sf)), "monto_mil_mm", "total_mil_mm", "etiqueta_y", "eje_maximo", places=11)
 
 
-@query("frame_breakdown", o.sql(f"""SELECT name AS "Nombre Municipio", y AS "Ejercicio", CAST(s AS BIGINT) AS "Semestre", (y - 2008) * 2 + s - 1 AS posicion,
+def _wrapped_sql(column: str, width: int) -> str:
+    return rf"regexp_replace(regexp_replace(trim({column}), '(.{{1,{width}}}|\S{{{width + 1},}})(?:\s+|$)', '\1<br>', 'g'), '<br>$', '')"
+
+
+@query("frame_breakdown", o.sql(f"""SELECT {_wrapped_sql("comp", 38)} AS leyenda, name AS "Nombre Municipio", y AS "Ejercicio", CAST(s AS BIGINT) AS "Semestre", (y - 2008) * 2 + s - 1 AS posicion,
   'S' || s || '<br>' || y AS etiqueta, comp AS componente, ord AS orden_componente, CAST(CASE WHEN ord = 7 THEN -1 ELSE (ord - 1) % 6 END AS BIGINT) AS color,
   round(CAST(amt AS DOUBLE) / 1e9, 11) AS monto_mil_mm, coalesce({o.share_sql(zero='NULL')}, 0) AS participacion, round(CAST(total AS DOUBLE) / 1e9, 11) AS total_mil_mm
   FROM bd""", o.ACCOUNTS))
 def frame_breakdown(spark, sf):
-    rows = frames.breakdown_frame(_variability(spark, sf)[0]).drop("leyenda")
+    rows = frames.breakdown_frame(_variability(spark, sf)[0])
     return rounded(rounded(rows, "participacion"), "monto_mil_mm", "total_mil_mm", places=11)
 
 
 VA_SHARE = "mad / CASE WHEN whole = 0 THEN 1 ELSE whole END * 100"
 
 
-@query("frame_variability", o.sql(f"""SELECT name AS "Nombre Municipio", rk AS ranking_variabilidad, acc_code AS codigo_cuenta, cuenta,
+@query("frame_variability", o.sql(f"""SELECT {_wrapped_sql("cuenta", 44)} AS etiqueta, name AS "Nombre Municipio", rk AS ranking_variabilidad, acc_code AS codigo_cuenta, cuenta,
   CAST((rk - 1) % 6 AS BIGINT) AS color, round(mad / 1e9, 11) AS variacion_mil_mm, round(md / 1e9, 11) AS diferencia_mil_mm, round({VA_SHARE}, 6) AS participacion
   FROM va WHERE rk <= 6""", o.ACCOUNTS))
 def frame_variability(spark, sf):
-    rows = frames.variability_frame(_variability(spark, sf)[1]).drop("etiqueta")
+    rows = frames.variability_frame(_variability(spark, sf)[1])
     return rounded(rounded(rows, "participacion"), "variacion_mil_mm", "diferencia_mil_mm", places=11)
 
 
-@query("frame_variability_summary")
+@query("frame_variability_summary", o.sql(f"""SELECT name AS "Nombre Municipio", rk AS "Ranking", acc_code AS "Código", cuenta AS "Cuenta",
+  round_even(mad / 1e9, 3) AS "Promedio |S1-S2| (mil MM)", round_even(md / 1e9, 3) AS "Promedio S1-S2 (mil MM)",
+  round_even({VA_SHARE}, 1) AS "% de variabilidad" FROM va WHERE rk <= 6""", o.ACCOUNTS))
 def frame_variability_summary(spark, sf):
     return frames.variability_summary(_variability(spark, sf)[1])
 
@@ -734,29 +769,80 @@ def frame_cluster_map(spark, sf):
 
 # ---------------------------------------------------------------- sources and the store
 
-def _written_sources(spark, sf) -> str:
-    """The raw layout as one Parquet source per year, in the shared folder."""
+def _written_sources(spark, sf, kind: str = "parquet") -> str:
+    """The raw layout as one source per year, in the shared folder."""
     folder = f"{staging.checkpoint_root(spark).rstrip('/')}/sources-{uuid.uuid4().hex}"
     code = F.col(CODE)
     # the canonical year has one code per municipality; other years keep their own
     raw = lens.raw_layout(spark, sf).withColumn(
         CODE, F.when(F.col(YEAR) == "2010", (code.cast("bigint") % 100).cast("string")).otherwise(code))
-    named = raw.withColumn("fuente", F.replace("source_file", F.lit(".csv"), F.lit(".parquet")))
-    named.drop("source_file", "source_row").write.partitionBy("fuente").parquet(f"{folder}/data")
+    named = raw.withColumn("fuente", F.replace("source_file", F.lit(".csv"), F.lit(f".{kind}")))
+    # a column the normalisation hands through carries the row's own number
+    named = named.withColumn("Ppto Actualizado", F.col("source_row").cast("string")) if kind == "csv" else named
+    named.drop("source_file", "source_row").write.partitionBy("fuente").format(kind).option("header", True).save(f"{folder}/data")
     return folder
 
 
-@query("incremental_refresh", o.sql("""SELECT 'fuente=budget_' || y || '.parquet' AS source_file, count(*) AS filas, 'rebuilt' AS primera, 'hit' AS segunda
+@query("incremental_refresh", o.sql("""SELECT 'fuente=budget_' || y || '.parquet' AS source_file, count(*) AS filas, 'rebuilt' AS primera, count(*) AS escritas, 'hit' AS segunda,
+  CASE WHEN y = 2009 THEN 'rebuilt' ELSE 'hit' END AS tercera, CASE WHEN y = 2009 THEN 2 * count(*) END AS escritas_tercera, 'rebuilt' AS cuarta
   FROM raw GROUP BY y"""))
 def incremental_refresh(spark, sf):
+    """All new, nothing new, one source grown to twice its rows, and rules changed."""
     folder = _written_sources(spark, sf)
     data, store = f"{folder}/data", f"{folder}/store"
-    first = budget_source.refresh_store(spark, data, store, canonical_year=2010)
-    second = budget_source.refresh_store(spark, data, store, canonical_year=2010)
+    refresh = lambda **more: budget_source.refresh_store(spark, data, store, canonical_year=2010, **more)
+    first = refresh().select("source_file", F.col("cache_status").alias("primera"), F.col("rows_written").alias("escritas"))
     names = [r.source_file for r in first.select("source_file").collect()]
-    stored = budget_source.read_store(spark, store, names).groupBy("source_file").agg(F.count(F.lit(1)).alias("filas"))
-    return stored.join(first.select("source_file", F.col("cache_status").alias("primera")), "source_file").join(
-        second.select("source_file", F.col("cache_status").alias("segunda")), "source_file")
+    counted = budget_source.read_store(spark, store, names).groupBy("source_file").agg(F.count(F.lit(1)).alias("filas"))
+    counted = staging.literal_rows(spark, [tuple(r) for r in counted.collect()], "source_file string, filas bigint")
+    second = refresh().select("source_file", F.col("cache_status").alias("segunda"))
+    one = f"{data}/fuente=budget_2009.parquet"
+    staging.written(spark.read.parquet(one), "copy").write.mode("append").parquet(one)
+    third = refresh().select("source_file", F.col("cache_status").alias("tercera"), F.col("rows_written").alias("escritas_tercera"))
+    rules_file = f"{folder}/rules.csv"
+    lens.crosswalk(spark).drop("rule_no").coalesce(1).write.option("header", True).csv(rules_file)
+    fourth = refresh(crosswalk_path=rules_file).select("source_file", F.col("cache_status").alias("cuarta"))
+    for other in (first, second, third, fourth):
+        counted = counted.join(other, "source_file")
+    return counted
+
+
+@query("loaded_budget_csv", o.sql("""SELECT y AS "Ejercicio", count(*) AS filas, count(*) AS numeradas, CAST(sum(source_row) AS BIGINT) AS suma FROM raw GROUP BY y"""))
+def loaded_budget_csv(spark, sf):
+    """Every row of CSV sources comes back, numbered 2, 3, ... in its own file of rows."""
+    rows, _ = budget_source.data_loader(spark, f"{_written_sources(spark, sf, 'csv')}/data", canonical_year=2010, validate=False)
+    return rows.groupBy(YEAR).agg(
+        F.count(F.lit(1)).alias("filas"), F.count_distinct("source_file", "source_row").alias("numeradas"),
+        F.sum(F.col("Ppto Actualizado").cast("bigint")).alias("suma"))
+
+
+@query("loaded_budget_all", o.sql("""SELECT y AS "Ejercicio", code AS "Cod Municipio", tipo AS "Cod Tipo Cuenta", grp AS grupo_ingreso_canonico, count(*) AS filas,
+  CAST(sum(CAST(px AS DECIMAL(18,2))) AS DOUBLE) AS percibido FROM cl GROUP BY ALL"""))
+def loaded_budget_all(spark, sf):
+    """All years and municipalities, with dated rules."""
+    folder = _written_sources(spark, sf)
+    lens.crosswalk(spark).orderBy("rule_no").drop("rule_no").coalesce(1).write.option("header", True).csv(f"{folder}/rules.csv")
+    rows, _ = budget_source.data_loader(spark, f"{folder}/data", canonical_year=2010, crosswalk_path=f"{folder}/rules.csv")
+    return rows.groupBy(YEAR, CODE, "Cod Tipo Cuenta", "grupo_ingreso_canonico").agg(
+        F.count(F.lit(1)).alias("filas"), numeric.exact_sum(F.col("Percibidopag Total")).cast("double").alias("percibido"))
+
+
+@query("load_report", o.sql("""SELECT 'fuente=budget_' || y || '.parquet' AS source_file, count(*) AS rows, CAST(y AS VARCHAR) AS years, 'rebuilt' AS cache_status,
+  count(*) FILTER (WHERE grp IS NOT NULL) AS mapped_income_rows FROM cl GROUP BY y"""))
+def load_report(spark, sf):
+    """The report as the loader writes it beside the store, read back."""
+    folder = _written_sources(spark, sf)
+    budget_source.data_loader(spark, f"{folder}/data", canonical_year=2010, store=f"{folder}/store")
+    report = spark.read.option("header", True).csv(f"{folder}/store/report")
+    return report.select("source_file", F.col("rows").cast("bigint").alias("rows"), "years", "cache_status",
+                         F.col("mapped_income_rows").cast("bigint").alias("mapped_income_rows"))
+
+
+@query("load_summary", o.sql("""SELECT source_file, count(*) AS rows, min(y) AS first_year, max(y) AS last_year
+  FROM (SELECT 'budget_' || y || '.csv' AS source_file, y FROM raw) GROUP BY source_file
+  UNION ALL SELECT NULL, count(*), min(y), max(y) FROM raw"""))
+def load_summary(spark, sf):
+    return budget_source.load_summary(lens.typed_rows(spark, sf))
 
 
 @query("loaded_budget", o.sql("""SELECT y AS "Ejercicio", code AS "Cod Municipio", tipo AS "Cod Tipo Cuenta", count(*) AS filas,

@@ -133,11 +133,11 @@ lb1 AS (SELECT code, subt, suba, acc_code, CASE WHEN a IS NOT NULL AND s IS NOT
     CASE WHEN contains(lower(a), lower(s)) OR (least(len(ta), len(ts)) > 0 AND len(list_intersect(ta, ts)) / least(len(ta), len(ts)) >= 0.7)
     THEN a ELSE a || ' — ' || s END ELSE coalesce(s, a, i, t, 'Cuenta ' || acc_code) END AS label FROM lb0),
 lb AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY code, label) > 1 THEN label || ' (' || acc_code || ')' ELSE label END AS cuenta FROM lb1),
-va0 AS (SELECT code, subt, suba, CAST(sum(abs(s1 - s2)) AS DOUBLE) / (SELECT count(*) FROM years) AS mad,
+va0 AS (SELECT code, subt, suba, sum(abs(s1 - s2)) AS exact, CAST(sum(abs(s1 - s2)) AS DOUBLE) / (SELECT count(*) FROM years) AS mad,
   CAST(sum(s1 - s2) AS DOUBLE) / (SELECT count(*) FROM years) AS md, CAST(max(abs(s1 - s2)) AS DOUBLE) AS mx, CAST(sum(s1 + s2) AS DOUBLE) AS tot
   FROM oa GROUP BY ALL),
 va AS (SELECT va0.*, e.name, lb.acc_code, lb.cuenta,
-  row_number() OVER (PARTITION BY va0.code ORDER BY round(mad, 4) DESC, tot DESC, lb.acc_code) AS rk,
+  row_number() OVER (PARTITION BY va0.code ORDER BY exact DESC, tot DESC, lb.acc_code) AS rk,
   sum(mad) OVER (PARTITION BY va0.code) AS whole
   FROM va0 JOIN lb USING (code, subt, suba) JOIN ent e ON e.code = va0.code),
 comp AS (SELECT code, subt, suba, CASE WHEN rk <= 6 THEN cuenta ELSE 'Resto de otros ingresos' END AS comp, CASE WHEN rk <= 6 THEN rk ELSE 7 END AS ord FROM va),

@@ -218,7 +218,7 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     whole = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
     ranged = whole.repartitionByRange(*order).sortWithinPartitions(*order)
-    first = stored(ranged.mapInPandas(_in_order, f"{COMPARED}, part bigint, role string, text string"), "compared")
+    first = stored(ranged.mapInPandas(_in_order, f"{COMPARED}, part bigint, role string, text string"), "compared", "zstd")  # digits of 6 bits each
     # one number per non-empty range
     parts = first.filter("role = 'head'").select("part")
     following = F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy()))

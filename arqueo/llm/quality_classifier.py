@@ -119,9 +119,11 @@ def train(docs: DataFrame, ratings: DataFrame, sample_rows: int = SAMPLE_ROWS) -
     # the bound on the rated side is the parameter
     sample = rated.orderBy(F.xxhash64("doc_id"), "grade").limit(sample_rows)
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(F.col("grade").cast("int"), "text")
-    rows = texts.mapInPandas(_featurise, "grade int, buckets array<bigint>, shares array<double>").toPandas()
-    data = [(np.asarray(b, np.int64), np.asarray(s)) for b, s in zip(rows["buckets"], rows["shares"])]
-    return fit(data, rows["grade"].to_numpy(np.int64))
+    rows = texts.mapInPandas(_featurise, "grade int, buckets array<bigint>, shares array<double>").toArrow()
+    data = [
+        (b.values.to_numpy(zero_copy_only=False), s.values.to_numpy(zero_copy_only=False)) for b, s in zip(rows["buckets"], rows["shares"])
+    ]
+    return fit(data, rows["grade"].to_numpy().astype(np.int64))
 
 
 def _score(shared):

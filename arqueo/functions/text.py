@@ -3,8 +3,8 @@
 Spark has no accent-stripping function, so the fold is a ``translate`` whose table is
 generated once from the Unicode database: for every character whose compatibility
 decomposition, without marks, is one character, that character; marks map to nothing.
-The common characters that expand to several letters are replaced one by one before it;
-rarer expansions (squared units, Arabic ligatures, Hangul syllables) stay as they are.
+Characters that expand to several letters are replaced before it: the common ones in every
+text, all others by a lookup in texts that hold any of them.
 Texts that are plain ASCII skip all of it.
 """
 
@@ -16,10 +16,10 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+EXPANDING = "ßﬁﬂ…½¼¾™№ĳ"
 # what str.strip() and str.split() treat as white space
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
-EXPANDING = "ßﬁﬂ…½¼¾™№ĳ"
 
 
 def _decomposed(char: str) -> str:
@@ -27,6 +27,21 @@ def _decomposed(char: str) -> str:
     return "".join(c for c in parts if not unicodedata.combining(c))
 
 
+@lru_cache(maxsize=2)
+def _expansions(casefold: bool) -> tuple[str, str, str]:
+    """Other characters of the basic plane that become several, what each becomes (parted by line feeds), and a class of them."""
+    found = {}
+    for point in (p for p in range(0x80, 0x10000) if not 0xD800 <= p < 0xE000):
+        folded = _decomposed(chr(point).casefold()) if casefold else _decomposed(chr(point))
+        if len(folded) > 1 and chr(point) not in EXPANDING:
+            found[chr(point)] = folded
+    points = [ord(c) for c in found]
+    starts = [p for p in points if chr(p - 1) not in found]
+    ends = [p for p in points if chr(p + 1) not in found]
+    ranges = "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(starts, ends))
+    return "".join(found), "\n".join(found.values()), f"[{ranges}]"
+
+
 @lru_cache(maxsize=2)
 def _fold_tables(casefold: bool) -> tuple[str, str, str]:
     """(from, to, marks to drop) over the basic plane, one character to one character."""
@@ -51,6 +66,10 @@ def _fold(text: Column, casefold: bool) -> Column:
     for char in EXPANDING:
         expansion = _decomposed(char.casefold()) if casefold else _decomposed(char)
         plain = F.replace(plain, F.lit(char), F.lit(expansion))
+    chars, expanded, any_of = _expansions(casefold)
+    table = F.map_from_arrays(F.split(F.lit(chars), ""), F.split(F.lit(expanded), "\n"))
+    spelt = F.array_join(F.transform(F.split(plain, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    plain = F.when(plain.rlike(any_of), spelt).otherwise(plain)
     source, target, dropped = _fold_tables(casefold)
     change_case = F.lower if casefold else F.upper
     folded = change_case(F.translate(plain, source + dropped, target))

@@ -28,6 +28,7 @@ from arqueo.operators.pairwise import (
     BLOCK_ROWS, against_all, distance_chunks, euclidean, label_centroids, matrix, nearest_rows,
     silhouette_rows,
 )
+from arqueo.operators.ranking import spread_row_number
 from arqueo.operators.profiles import SHARES, TOTAL, clr_features, ensure_municipality_income_profile
 from arqueo.operators.staging import broadcast_if_small, literal_rows, stage
 from arqueo.schema import INCOME_GROUPS, NAME, ContractError
@@ -178,6 +179,48 @@ def _follow(pointers: DataFrame) -> DataFrame:
         current = moved.select("id", "root")
 
 
+def merge_paths(links: DataFrame) -> DataFrame:
+    """(id, root, path): the merges from a root down to each row, as (step, absorbed id), by pointer doubling.
+
+    ``links`` has id (absorbed), root (absorbing) and step. Paths are as long as there are rounds.
+    """
+    current = stage(links.select("id", "root", F.array(F.struct("step", "id")).alias("path")))
+    while True:
+        a, b = current.alias("a"), current.alias("b")
+        moved = stage(a.join(b, F.col("a.root") == F.col("b.id"), "left").select(
+            F.col("a.id").alias("id"), F.coalesce("b.root", "a.root").alias("root"),
+            F.when(F.col("b.id").isNull(), F.col("a.path")).otherwise(F.concat("b.path", "a.path")).alias("path"),
+            F.col("b.id").isNotNull().alias("_moved"),
+        ))
+        current = moved.drop("_moved")
+        if moved.filter("_moved").isEmpty():
+            return current
+
+
+def leaf_positions(tree: WardTree) -> DataFrame:
+    """(id, rama, paso): where a row stands along the tree.
+
+    ``rama`` is the place of the branch that was finished on the driver. Inside a branch rows
+    merged on Spark follow in the order they were taken in: ``paso`` lists, from the
+    representative outwards, the merges that lead to the row. So the order is that of the tree
+    at any size.
+    """
+    line: dict[int, list[int]] = {}
+    for lo, hi, *_ in tree.driver_merges:
+        line.setdefault(lo, [lo]).extend(line.pop(hi, [hi]))
+    places = [(rep, i) for reps in line.values() for i, rep in enumerate(reps)]
+    ids, none = tree.leaves.select("id"), F.array().cast("array<struct<step:bigint,id:bigint>>")
+    if tree.spark_merges is None:
+        based = ids.select("id", F.col("id").alias("rep"), none.alias("paso"))
+    else:
+        links = tree.spark_merges.select(F.col("hi").alias("id"), F.col("lo").alias("root"), "step")
+        based = ids.join(merge_paths(links), "id", "left").select(
+            "id", F.coalesce("root", "id").alias("rep"), F.coalesce("path", none).alias("paso")
+        )
+    known = literal_rows(tree.leaves.sparkSession, places, "rep bigint, rama bigint")
+    return based.join(broadcast_if_small(known), "rep", "left").select("id", F.coalesce("rama", F.lit(0)).alias("rama"), "paso")
+
+
 def cut_tree(tree: WardTree, counts: Collection[int]) -> DataFrame:
     """(id, k, label) for every candidate count; labels are representative ids."""
     deepest = max(counts)
@@ -298,6 +341,13 @@ class ClusterAnalysis:
     pca_projection: DataFrame
     pca_explained_variance_ratio: tuple[float, float]
 
+    @property
+    def ordered_municipalities(self) -> DataFrame:
+        """(name, orden): municipalities in the order of the tree."""
+        rows = self.profile.select(NAME, F.xxhash64(NAME).alias("id")).join(leaf_positions(self.tree), "id")
+        order = [F.col("rama").asc(), F.col("paso").asc(), F.col(NAME).asc()]
+        return spread_row_number(rows, [], order, "orden").select(NAME, "orden")
+
     @property
     def cluster_validation_scores(self) -> DataFrame:
         return self.silhouette_scores

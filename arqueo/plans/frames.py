@@ -12,14 +12,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arqueo.functions.text import millions_label, wrapped
-from arqueo.operators.clusters import ClusterAnalysis, WardTree, _follow
+from arqueo.operators.clusters import ClusterAnalysis
 from arqueo.operators.geography import join_municipality_geography
 from arqueo.operators.history import ANNUAL, Periods
 from arqueo.operators.profiles import SHARES, TOTAL, share_column, share_order
 from arqueo.operators.ranking import spread_row_number
 from arqueo.operators.staging import broadcast_if_small, checked_join, literal_rows
 from arqueo.operators.variability import REMAINDER
-from arqueo.schema import GROUP, INCOME_GROUPS, NAME, YEAR, ContractError, check_group_sequence, require_columns
+from arqueo.schema import CODE, GROUP, INCOME_GROUPS, NAME, YEAR, ContractError, check_group_sequence, require_columns
 
 BILLION = 1e9
 COMPONENT_COLORS = 6
@@ -42,9 +42,14 @@ def share_axis_maximum(largest: Column) -> Column:
     return F.least(F.lit(100.0), F.greatest(F.lit(10.0), F.ceil(largest * 1.1 / 10) * 10.0))
 
 
+def _who(rows: DataFrame) -> str:
+    """What tells municipalities apart: the code, since two may share a name; without codes, the name."""
+    return CODE if CODE in rows.columns else NAME
+
+
 def _slots(history: DataFrame, keys: list[str]) -> DataFrame:
     """Dense position of each year or period inside its municipality (bounded by the calendar)."""
-    place = Window.partitionBy(NAME).orderBy(*keys)
+    place = Window.partitionBy(_who(history)).orderBy(*keys)
     return history.withColumn("posicion", (F.dense_rank().over(place) - 1).cast("bigint"))
 
 
@@ -61,7 +66,7 @@ def _tick(periods: Periods) -> Column:
 def share_frame(history: DataFrame, periods: Periods = ANNUAL, group_order=INCOME_GROUPS) -> DataFrame:
     """Shares by position and group, with the top of the axis of each municipality."""
     require_columns(history, [NAME, GROUP, "porcentaje_ingreso", *_period_keys(periods)], "chart shares")
-    whole = Window.partitionBy(NAME)
+    whole = Window.partitionBy(_who(history))
     extra = [millions_label(F.col("total_anual")).alias("etiqueta_total")] if periods is ANNUAL else []
     return _slots(history, _period_keys(periods)).select(
         NAME, *_period_keys(periods), "posicion", _tick(periods).alias("etiqueta"), GROUP,
@@ -73,7 +78,7 @@ def share_frame(history: DataFrame, periods: Periods = ANNUAL, group_order=INCOM
 def amount_frame(history: DataFrame, periods: Periods, group_order=INCOME_GROUPS) -> DataFrame:
     """Amounts in thousands of millions with padded axis limits that include 0."""
     require_columns(history, [NAME, GROUP, periods.amount, *_period_keys(periods)], "chart amounts")
-    whole = Window.partitionBy(NAME)
+    whole = Window.partitionBy(_who(history))
     amount = F.col("monto_mil_mm")
     low, high = F.min(amount).over(whole), F.max(amount).over(whole)
     padded = F.greatest((high - low) * 0.08, F.greatest(F.abs(low), F.abs(high)) * 0.02, F.lit(0.1))
@@ -89,7 +94,7 @@ def amount_frame(history: DataFrame, periods: Periods, group_order=INCOME_GROUPS
 
 def annual_amount_frame(history: DataFrame) -> DataFrame:
     """Stacked annual amounts: total label above each bar and the top of the axis."""
-    whole = Window.partitionBy(NAME)
+    whole = Window.partitionBy(_who(history))
     largest = F.max(F.col("total_anual") / BILLION).over(whole)
     offset = F.when(largest == 0, 0.1).otherwise(largest * 0.02)
     return _slots(history, [YEAR]).select(
@@ -241,33 +246,12 @@ def pca_frame(analysis: ClusterAnalysis) -> DataFrame:
     )
 
 
-def leaf_positions(tree: WardTree) -> DataFrame:
-    """(id, rama): position along the tree of the branch a row belongs to.
-
-    Rows merged on Spark share the branch of their representative.
-    """
-    line: dict[int, list[int]] = {}
-    for lo, hi, *_ in tree.driver_merges:
-        line.setdefault(lo, [lo]).extend(line.pop(hi, [hi]))
-    places = [(rep, i) for reps in line.values() for i, rep in enumerate(reps)]
-    ids = tree.leaves.select("id")
-    if tree.spark_merges is None:
-        based = ids.withColumn("rep", F.col("id"))
-    else:
-        links = tree.spark_merges.select(F.col("hi").alias("id"), F.col("lo").alias("root"))
-        based = ids.join(_follow(links), "id", "left").select("id", F.coalesce("root", "id").alias("rep"))
-    known = literal_rows(tree.leaves.sparkSession, places, "rep bigint, rama bigint")
-    return based.join(broadcast_if_small(known), "rep", "left").select("id", "rama")
-
-
 def heatmap_frame(analysis: ClusterAnalysis) -> DataFrame:
     """Shares in tree order with cluster label and the largest share."""
-    branch = leaf_positions(analysis.tree)
-    rows = (
-        analysis.profile.withColumn("id", F.xxhash64(NAME)).join(branch, "id")
+    placed = (
+        analysis.profile.join(analysis.ordered_municipalities.withColumnRenamed("orden", "orden_municipio"), NAME)
         .join(analysis.assignments.select(NAME, "Clúster"), NAME)
     )
-    placed = spread_row_number(rows, [], [F.col("rama").asc(), F.col(NAME).asc()], "orden_municipio")
     largest = analysis.profile.agg(F.max(F.greatest(*[F.col(f"`{s}`") for s in SHARES])).alias("m")).head().m
     return placed.select(
         NAME, "orden_municipio", "Clúster", _group_cells([("porcentaje", lambda g: F.col(f"`{share_column(g)}`"))]),

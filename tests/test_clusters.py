@@ -47,7 +47,7 @@ def test_ward_is_exact_wherever_it_finishes(vectors, finish):
             if r.k == k:
                 groups.setdefault(r.label, set()).add((r.id - 1) // 7)
         assert {frozenset(g) for g in groups.values()} == partitions[k]
-    places = [r.rama for r in frames.leaf_positions(tree).collect()]
+    places = [r.rama for r in clusters.leaf_positions(tree).collect()]
     assert len(places) == len(data) and None not in places
 
 
@@ -146,3 +146,21 @@ def test_map_checks(spark, income):
         geography.join_municipality_geography(profile, places.filter("CUT_COM <> '00003'"))
     with pytest.raises(ContractError):
         geography.region_places(shapes, region_code=5)
+
+
+def test_equal_rows_merge_in_a_handful_of_rounds(spark):
+    rows = spark.range(5000).select("id", F.array((F.col("id") % 3).cast("double"), F.lit(1.0)).alias("vec"))
+    tree = clusters.ward_tree(rows, finish=2)
+    assert tree.merges.count() == 4999
+    sizes = sorted(r["n"] for r in clusters.cut_tree(tree, [3]).groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect())
+    assert sizes == [1666, 1667, 1667]
+
+
+def test_order_along_the_tree_does_not_depend_on_where_it_was_merged(spark):
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame([(i, rng.normal(size=3).tolist()) for i in range(40)], "id bigint, vec array<double>")
+    orders = []
+    for finish in (2, 1000):
+        places = clusters.leaf_positions(clusters.ward_tree(rows, finish=finish, block_rows=16)).collect()
+        orders.append([r.id for r in sorted(places, key=lambda r: (r.rama, [tuple(p) for p in r.paso]))])
+    assert orders[0] == orders[1]

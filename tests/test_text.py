@@ -52,3 +52,16 @@ def test_labels(spark):
     assert row[0] == "03-2001002" and row[1] == "$1.235 MM"
     assert row[2] == "uno dos tres<br>cuatro cinco<br>seis"
     assert sorted(row[3]) == ["2", "beneficio", "de", "nunoa"]
+
+
+def test_every_compatibility_expansion(spark):
+    """Ligatures, units and syllables fold like the Unicode database says, in any text that holds them."""
+    import unicodedata
+
+    from arqueo.functions import text
+
+    samples = ["ﬀ oﬃce ㎏ ℡ ⅓", "㍿ ﷺ", "한국 straße", "plain é", "ǆ Ǆ"]
+    rows = spark.createDataFrame([(s,) for s in samples], "t string").select("t", text.name_form(F.col("t")).alias("f")).collect()
+    for r in rows:
+        parts = unicodedata.normalize("NFKD", r.t.casefold())
+        assert r.f == "".join(c for c in parts if not unicodedata.combining(c)).casefold()

@@ -42,10 +42,22 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a table in the staging folder: one materialisation for all that read it."""
-    path = f"{checkpoint_root(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the staging folder; what is written there goes when the application ends."""
+    path = f"{checkpoint_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
+
+
+def written(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
+    """``df`` as a table in the staging folder: one materialisation for all that read it.
+
+    A lost executor then costs a re-read of the table. Columns that a reader does not use are
+    not read, which a checkpointed RDD cannot offer.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

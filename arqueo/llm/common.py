@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arqueo.operators.staging import checkpoint_root
+from arqueo.operators.staging import written as stored  # noqa: F401  every operator stages with it
 
 # --- Fixed values: the white space that parts words, as a class and as characters ---
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,17 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
-    """``df`` computed once into a table in the shared checkpoint folder, and read back.
-
-    A lost executor then costs a re-read of the table. Columns that a reader does not use are
-    not read, which a checkpointed RDD cannot offer.
-    """
-    path = f"{checkpoint_root(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +16,7 @@ from arqueo.llm.quality_classifier import grade_texts
 from arqueo.llm.quality_rules import judge_quality
 from arqueo.llm.toxicity import score_toxicity
 from arqueo.llm.warc import read_archives, write_archives
-from arqueo.operators.staging import checkpoint_root
+from arqueo.operators.staging import scratch_path
 
 
 def tokenizer_file() -> str:
@@ -69,7 +67,7 @@ def op8_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{checkpoint_root(spark).rstrip('/')}/archives-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "archives")
     write_archives(table(spark, sf_dir, "pages"), path)
     return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 

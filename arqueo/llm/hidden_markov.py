@@ -92,23 +92,25 @@ def vocabulary(counts: DataFrame, head_words: int = HEAD_WORDS, counted_words: i
         raise ValueError("head_words must leave room for the classes in 16 bits, and be counted")
     head_bin, counted_bin = _least_bin(bins, head_words), _least_bin(bins, counted_words)
     is_head = (F.col("bin") >= head_bin) | (F.octet_length("word") == 0)
-    head = counts.filter(is_head).select("word", "c").collect()
-    head.sort(key=lambda r: (-r.c, bytes(r.word)))
-    symbols = {bytes(r.word): i for i, r in enumerate(head)}
+    # Arrow tables: rows as objects would take many times the bytes
+    head = counts.filter(is_head).select("word", "c").toArrow().to_pydict()
+    head = sorted(zip(head["word"], head["c"]), key=lambda r: (-r[1], r[0]))
+    symbols = {word: i for i, (word, _) in enumerate(head)}
     symbols.setdefault(END, len(symbols))
     sizes = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    held = counts.filter(F.col("bin") >= counted_bin).select("h", "c").toPandas()
-    order = np.argsort(held["h"].to_numpy(np.int64))
+    held = counts.filter(F.col("bin") >= counted_bin).select("h", "c").toArrow()
+    hashes, held_counts = (held[c].to_numpy() for c in ("h", "c"))
+    order = np.argsort(hashes)
     per_class = counts.filter(~is_head).groupBy("class").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect()
     tokens, mass = np.zeros(CLASSES), np.ones(CLASSES)
     for r in per_class:
         tokens[r["class"]], mass[r["class"]] = r.c, r.c + r.v + 1
     every = np.ones(len(symbols) + CLASSES)
-    for r in head:
-        every[symbols[bytes(r.word)]] += r.c
+    for word, c in head:
+        every[symbols[word]] += c
     every[len(symbols):] += tokens
     return Vocabulary(
-        symbols, held["h"].to_numpy(np.int64)[order], held["c"].to_numpy(np.int64)[order], np.log(mass), sizes.n, sizes.v, every / every.sum()
+        symbols, hashes[order], held_counts[order], np.log(mass), sizes.n, sizes.v, every / every.sum()
     ), counted_bin
 
 
@@ -303,7 +305,7 @@ def train(encoded: DataFrame, known: Vocabulary, states: int = STATES, rounds: i
     for _ in range(rounds if sample else 0):
         shared = spark.sparkContext.broadcast((chain, steady))
         found = texts.mapInPandas(_expect(shared), "symbol int, " + ", ".join(f"e{s} double" for s in range(states)))
-        sums = found.groupBy("symbol").agg(*[F.sum(f"e{s}").alias(f"e{s}") for s in range(states)]).toPandas()
+        sums = found.groupBy("symbol").agg(*[F.sum(f"e{s}").alias(f"e{s}") for s in range(states)]).toArrow().to_pandas()
         chain, steady = _maximise(sums, chain, known.overall)
         shared.unpersist()
     return chain

@@ -33,8 +33,9 @@ def windows(text: str | None) -> set[bytes]:
 
 
 def grams(window: bytes) -> list[bytes]:
+    """Pieces of a window with a space at each end; a window too short for one is a piece of its own."""
     padded = b" %b " % window
-    return [padded[i:i + GRAM] for i in range(len(padded) - GRAM + 1)]
+    return [padded[i:i + GRAM] for i in range(max(len(padded) - GRAM, 0) + 1)]
 
 
 def _texts_holding(texts: list[set[bytes]]) -> Counter:

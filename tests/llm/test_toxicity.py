@@ -73,3 +73,18 @@ def test_odd_rows(spark):
     assert score_toxicity(empty(spark), labels).count() == 0
     for some in (labels.filter("toxic = 0"), labels.limit(0)):
         assert len({r.score for r in score_toxicity(odd(spark), some).collect()}) == 1
+
+
+def test_short_insults_are_marked():
+    assert grams(b"oaf") == [b" oaf "] and grams(b"scum") == [b" scum "] and len(grams(b"idiot")) == 1
+    texts, toxic = samples(400)
+    short = ["oaf", "git", "scum", "fool"]
+    # the toxic texts hold short insults only
+    for i in np.flatnonzero(toxic):
+        texts[i] = " ".join(w for w in texts[i].split() if w not in ("wretchish", "Blockhead!", "nitwit", "dunceling")) + f" {short[i % 3]} {short[i // 4 % 4]}"
+    sets = [windows(t) for t in texts]
+    distance = train_dictionaries([s for s, y in zip(sets, toxic) if y], [s for s, y in zip(sets, toxic) if not y]).distance()
+    assert all(distance(w.encode()) >= 2 for w in short)
+    score = fit(texts, toxic).scorer()
+    clean = [texts[i] for i in np.flatnonzero(toxic == 0)[:40]]
+    assert np.mean([score(f"{t} {' '.join(short)}") > score(t) for t in clean]) == 1

@@ -13,11 +13,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arqueo.llm.common import bucket_of, packed, unpacked
+from arqueo.llm.common import bucket_of, packed, stored, unpacked
 
-SAMPLE_ROWS = 1600  # labelled documents of each label that are learned from, at most
+SAMPLE_ROWS = 1600  # labelled documents of each label that thresholds and weights are fitted on, at most
 GRAM = 7  # bytes of the pieces that dictionary training counts
-SHARED_BYTES, OWN_BYTES = 24_000, 4096  # of a dictionary: the part both have, the part trained on one label
+# of a dictionary: the part both have, and the part trained on one label, which grows with the marked words
+SHARED_BYTES, OWN_BYTES, MOST_OWN_BYTES = 24_000, 4096, 64_000
+MARKED_GRAMS = 64_000  # as many as the longest part can hold: a byte adds one gram at most
+LEAST_EVIDENCE = 5.0  # standard errors
+ENTRY = 64  # bytes of a window that stand in a dictionary together
+HELD_WINDOWS, HELD_GRAMS = 100_000, 400_000  # that a task counts before it hands them on
 LEVEL = 9
 # a window stands between a text that both dictionaries hold, so that its frame is always compressible,
 # and one that neither holds, so that its end is searched for matches
@@ -38,6 +43,28 @@ def grams(window: bytes) -> list[bytes]:
     return [padded[i:i + GRAM] for i in range(max(len(padded) - GRAM, 0) + 1)]
 
 
+def evidence(x: np.ndarray, y: np.ndarray, n: int, m: int) -> np.ndarray:
+    """How far the share of n toxic texts that hold a gram exceeds that of m ordinary ones, in standard errors.
+
+    From the likelihood ratio of the x + y texts that hold it (a bound of the exact binomial tail),
+    which is right for rare grams as well: what no ordinary text holds needs a fixed number of
+    toxic texts, and so a share that falls as labels grow. 0 where the share is not above five
+    times the ordinary one.
+    """
+    x, y = np.asarray(x, float), np.asarray(y, float)
+    if not n or not m:
+        return np.zeros(len(x))
+    part = lambda k, share: np.where(k > 0, k * np.log(np.maximum(k, 1) / np.maximum((x + y) * share, 1e-300)), 0.0)
+    above = np.sqrt(2 * np.maximum(part(x, n / (n + m)) + part(y, m / (n + m)), 0.0))
+    return np.where((x + 0.5) / (n + 1) > 5 * (y + 0.5) / (m + 1), above, 0.0)
+
+
+def entries(window: bytes) -> list[bytes]:
+    """What can stand in a dictionary for a window: itself, or pieces that hold all its grams if it is long."""
+    step = ENTRY - GRAM + 1
+    return [window] if len(window) <= ENTRY else [window[i:i + ENTRY] for i in range(0, len(window) - GRAM + 1, step)]
+
+
 def _texts_holding(texts: list[set[bytes]]) -> Counter:
     """How many texts hold each gram."""
     counts: Counter = Counter()
@@ -96,24 +123,10 @@ class Dictionaries:
         return zstandard.ZstdCompressor(dict_data=data, compression_params=parameters).compress
 
 
-def train_dictionaries(toxic: list[set[bytes]], ordinary: list[set[bytes]]) -> Dictionaries:
-    """Both dictionaries from the windows of labelled texts.
-
-    A dictionary is a series of windows that cover the grams of its label: for ordinary text
-    weighted by the texts that hold them, for toxic text by how far their share exceeds that in
-    ordinary text, in standard errors. The first half of the ordinary cover stands in both, so
-    that windows of neither kind take the same bytes with either.
-    """
-    a, b, n, m = _texts_holding(toxic), _texts_holding(ordinary), len(toxic), len(ordinary)
-    marked = {}
-    for g, x in a.items():
-        y = b[g]
-        pooled = (x + y) / (n + m)
-        above = (x / n - y / m) / np.sqrt(max(pooled * (1 - pooled), 1e-12) * (1 / n + 1 / m)) if m else 0.0
-        if above > 5 and (x + 0.5) / (n + 1) > 5 * (y + 0.5) / (m + 1):
-            marked[g] = float(above)
-    of_toxic = _cover(set().union(*toxic), marked, OWN_BYTES)
-    of_ordinary = _cover(set().union(*ordinary), {g: float(c) for g, c in b.items() if g not in marked}, SHARED_BYTES + OWN_BYTES)
+def _dictionaries(marked: dict[bytes, float], common: dict[bytes, float], toxic: Iterable[bytes], ordinary: Iterable[bytes]) -> Dictionaries:
+    of_toxic = _cover(toxic, marked, MOST_OWN_BYTES)
+    own_bytes = max(OWN_BYTES, sum(len(w) + 1 for w in of_toxic))
+    of_ordinary = _cover(ordinary, common, SHARED_BYTES + own_bytes)
     used = np.cumsum([len(w) + 1 for w in of_ordinary])
     half = int(np.searchsorted(used, SHARED_BYTES))
     shared, own = of_ordinary[:half], of_ordinary[half:]
@@ -121,6 +134,22 @@ def train_dictionaries(toxic: list[set[bytes]], ordinary: list[set[bytes]]) -> D
     return Dictionaries(text(shared) + text(of_toxic) + BEFORE, text(shared) + text(own) + BEFORE)
 
 
+def train_dictionaries(toxic: list[set[bytes]], ordinary: list[set[bytes]]) -> Dictionaries:
+    """Both dictionaries from the windows of labelled texts.
+
+    A dictionary is a series of windows that cover the grams of its label: for ordinary text
+    weighted by the texts that hold them, for toxic text by the evidence that their share is above
+    that in ordinary text. The first part of the ordinary cover stands in both, so that windows of
+    neither kind take the same bytes with either.
+    """
+    a, b = _texts_holding(toxic), _texts_holding(ordinary)
+    names = sorted(a)
+    above = evidence([a[g] for g in names], [b[g] for g in names], len(toxic), len(ordinary))
+    marked = {g: float(z) for g, z in zip(names, above) if z > LEAST_EVIDENCE}
+    pieces = lambda sets: {e for w in set().union(*sets) for e in entries(w)}
+    return _dictionaries(marked, {g: float(c) for g, c in b.items() if g not in marked}, pieces(toxic), pieces(ordinary))
+
+
 def _row(saved: np.ndarray) -> np.ndarray:
     """Features of a text: how many of its windows save at least each step, by share, and its size."""
     n = max(len(saved), 1)
@@ -166,27 +195,31 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, decay: float = 1
     return w
 
 
-def fit(texts: list[str | None], toxic: np.ndarray, prior: float | None = None) -> ToxicityModel:
+def fit(
+    texts: list[str | None], toxic: np.ndarray, prior: float | None = None, half: np.ndarray | None = None, pairs: list[Dictionaries] | None = None,
+) -> ToxicityModel:
     """Two pairs of dictionaries, one from either half of the texts, and thresholds calibrated on the other half.
 
     A dictionary fits its own texts better than any others, so it is only judged by texts it has
     not seen, as it will be in use. ``prior`` is the share of toxic texts that scores are
-    calibrated to, if the sample's is another.
+    calibrated to, if the sample's is another. ``half`` and ``pairs`` are given if the dictionaries
+    come from more texts than these; ``half`` tells whose half a text belongs to.
     """
     sets, size = [windows(t) for t in texts], len(_row(np.zeros(0)))
     if (toxic == 1).sum() < 2 or (toxic == 0).sum() < 2:
         base = np.clip(toxic.mean() if len(toxic) else 0.0, 1e-6, 1 - 1e-6)
         constant = np.array([np.log(base / (1 - base)), *[0.0] * (size - 1)])
         return ToxicityModel([Dictionaries(BEFORE, BEFORE)], constant, np.zeros(size), np.ones(size))
-    half = np.zeros(len(sets), int)
-    for label in (0, 1):
-        own = np.flatnonzero(toxic == label)
-        half[own] = np.arange(len(own)) % 2
-    rows, pairs = np.zeros((len(sets), size)), []
+    if pairs is None:
+        half = np.zeros(len(sets), int)
+        for label in (0, 1):
+            own = np.flatnonzero(toxic == label)
+            half[own] = np.arange(len(own)) % 2
+        pick = lambda part, label: [sets[i] for i in np.flatnonzero((half == part) & (toxic == label))]
+        pairs = [train_dictionaries(pick(part, 1), pick(part, 0)) for part in (0, 1)]
+    rows = np.zeros((len(sets), size))
     for part in (0, 1):
-        pick = lambda label: [sets[i] for i in np.flatnonzero((half == part) & (toxic == label))]  # noqa: B023, E731
-        pairs.append(train_dictionaries(pick(1), pick(0)))
-        distance, memo = pairs[-1].distance(), {}
+        distance, memo = pairs[part].distance(), {}
         for i in np.flatnonzero(half != part):
             for w in sets[i]:
                 if w not in memo:
@@ -200,18 +233,143 @@ def fit(texts: list[str | None], toxic: np.ndarray, prior: float | None = None)
     return ToxicityModel(pairs, _logistic((rows - centre) / scale, toxic, weight), centre, scale)
 
 
+class _Held:
+    """How many texts of each half and label hold each window's entries and each gram. A text counts once."""
+
+    def __init__(self) -> None:
+        self.windows: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+        self.tokens: tuple[dict[bytes, int], dict[bytes, int]] = {}, {}
+        self.counts = [np.zeros((4, 2 * n), np.int32) for n in (HELD_GRAMS, HELD_WINDOWS)]
+        self.last = [np.zeros(2 * n, np.int64) for n in (HELD_GRAMS, HELD_WINDOWS)]
+
+    def _numbers(self, kind: int, tokens: list[bytes]) -> np.ndarray:
+        known = self.tokens[kind]
+        return np.array([known.setdefault(t, len(known)) for t in tokens], np.int64)
+
+    def add(self, text: str | None, column: int) -> None:
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for w in windows(text):
+            held = self.windows.get(w)
+            if held is None:
+                held = self.windows[w] = self._numbers(0, grams(w)), self._numbers(1, entries(w))
+            found.append(held)
+        for kind in (0, 1) if found else ():
+            ids = np.concatenate([f[kind] for f in found])
+            while len(self.tokens[kind]) > len(self.last[kind]):
+                self.last[kind] = np.concatenate([self.last[kind]] * 2)
+                self.counts[kind] = np.concatenate([self.counts[kind], np.zeros_like(self.counts[kind])], axis=1)
+            at = np.arange(len(ids))
+            self.last[kind][ids] = at
+            self.counts[kind][column, ids[self.last[kind][ids] == at]] += 1
+
+    def full(self) -> bool:
+        return len(self.tokens[0]) > HELD_GRAMS or len(self.tokens[1]) > HELD_WINDOWS
+
+    def frames(self) -> Iterator[pd.DataFrame]:
+        for kind in (0, 1):
+            names, counts = np.array([*self.tokens[kind], None], object)[:-1], self.counts[kind]
+            for half in (0, 1):
+                own = counts[2 * half:2 * half + 2, :len(names)]
+                at = np.flatnonzero(own.any(axis=0))
+                for some in np.array_split(at, len(at) // 50_000 + 1):
+                    yield pd.DataFrame({"half": np.int32(half), "kind": np.int32(kind), "token": names[some], "ordinary": own[0, some].astype(np.int64), "toxic": own[1, some].astype(np.int64)})
+
+
+def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held = _Held()
+    for batch in batches:
+        for half, toxic, text in zip(batch["half"], batch["toxic"], batch["text"]):
+            held.add(text, 2 * half + toxic)
+            if held.full():
+                yield from held.frames()
+                held = _Held()
+    yield from held.frames()
+
+
+def _marking(sizes: dict[tuple[int, int], int]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch["worth"] = 0.0
+            for half in (0, 1):
+                own = (batch["half"] == half).to_numpy()
+                batch.loc[own, "worth"] = evidence(batch["toxic"][own], batch["ordinary"][own], sizes.get((half, 1), 0), sizes.get((half, 0), 0))
+            yield batch.loc[batch["worth"] > LEAST_EVIDENCE, ["half", "token", "worth"]]
+
+    return run
+
+
+def _candidates(shared):
+    """For each gram of worth the window that has most worth a byte; ``label`` tells of which dictionary."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        worth, best = shared.value, {}
+        for batch in batches:
+            for half, w, ordinary, toxic in zip(batch["half"], batch["token"], batch["ordinary"], batch["toxic"]):
+                pieces = dict.fromkeys(grams(w))
+                for label, n in ((0, ordinary), (1, toxic)):
+                    own = worth[half, label]
+                    held = [g for g in pieces if g in own] if n else ()
+                    if held:
+                        offer = (sum(own[g] for g in held) / (len(w) + 1), w)
+                        for g in held:
+                            best[half, label, g] = max(best.get((half, label, g), offer), offer)
+        rows = [(*key, *offer) for key, offer in best.items()]
+        yield pd.DataFrame(rows, columns=["half", "label", "gram", "gain", "token"]).astype({"half": np.int32, "label": np.int32, "gain": float})
+
+    return run
+
+
+def count_dictionaries(texts: DataFrame, sizes: dict[tuple[int, int], int]) -> list[Dictionaries]:
+    """train_dictionaries() for either half of ``texts`` (half, toxic, text), counted on Spark.
+
+    ``sizes`` has the texts by half and label. Tasks add up the texts that hold each gram and each
+    window, Spark sums them. Grams that mark toxic text, and the most frequent others, reach the
+    driver, and for each of them the window that is best for it.
+    """
+    spark = texts.sparkSession
+    found = texts.mapInPandas(_count, "half int, kind int, token binary, ordinary bigint, toxic bigint")
+    held = stored(found.groupBy("half", "kind", "token").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")), "held_tokens")
+    pieces, worth = held.filter("kind = 0").drop("kind"), {}
+    for half in (0, 1):
+        own = pieces.filter(F.col("half") == half)
+        top = lambda df, n: {bytes(r.token): float(r.worth) for r in df.orderBy(F.col("worth").desc(), "token").limit(n).collect()}
+        marked = top(own.filter("toxic > 0").mapInPandas(_marking(sizes), "half int, token binary, worth double"), MARKED_GRAMS)
+        common = top(own.filter("ordinary > 0").select("token", F.col("ordinary").alias("worth")), SHARED_BYTES + OWN_BYTES + 2 * GRAM * len(marked))
+        worth[half, 1], worth[half, 0] = marked, {g: c for g, c in common.items() if g not in marked}
+    shared = spark.sparkContext.broadcast(worth)
+    best = held.filter("kind = 1").drop("kind").select("half", "token", "ordinary", "toxic").mapInPandas(
+        _candidates(shared), "half int, label int, gram binary, gain double, token binary"
+    ).groupBy("half", "label", "gram").agg(F.max(F.struct("gain", "token"))["token"].alias("token"))
+    words: dict[tuple[int, int], list[bytes]] = {k: [] for k in worth}
+    for r in best.select("half", "label", "token").distinct().collect():
+        words[r.half, r.label].append(bytes(r.token))
+    shared.unpersist()
+    return [_dictionaries(worth[half, 1], worth[half, 0], words[half, 1], words[half, 0]) for half in (0, 1)]
+
+
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
-    """Fitted on at most ``sample_rows`` documents of each label, those of least id hash."""
+    """Dictionaries from all labelled documents, each half by text hash, so that equal texts are in one half.
+
+    Thresholds and weights are fitted on at most ``sample_rows`` documents of each label, those of
+    least id hash.
+    """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).select(
         F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic")
     )
     counts = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    half = F.pmod(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit("half")), F.lit(2)).cast("int").alias("half")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     least = lambda label: known.filter(F.col("toxic") == label).orderBy(F.xxhash64("id"), "id").limit(sample_rows)
     # ids alone are sorted; the chosen ones, twice the parameter at most, are sent to the texts
     chosen = F.broadcast(least(1).unionByName(least(0)))
-    rows = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("id")).select("id", "toxic", "text").orderBy("id", F.xxhash64("text")).collect()
-    total = sum(counts.values())
-    return fit([r.text for r in rows], np.array([r.toxic for r in rows], int), counts.get(1, 0) / total if total else None)
+    rows = texts.join(chosen, F.col("doc_id") == F.col("id")).select("id", "toxic", "text", half).orderBy("id", F.xxhash64("text")).collect()
+    total, toxic = sum(counts.values()), np.array([r.toxic for r in rows], int)
+    prior = counts.get(1, 0) / total if total else None
+    if min((toxic == 1).sum(), (toxic == 0).sum()) < 2:
+        return fit([r.text for r in rows], toxic, prior)
+    labelled = texts.join(known, F.col("doc_id") == F.col("id")).select(half, "toxic", "text")
+    sizes = {(r.half, r.toxic): r.n for r in labelled.groupBy("half", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return fit([r.text for r in rows], toxic, prior, np.array([r.half for r in rows], int), count_dictionaries(labelled, sizes))
 
 
 def _score(shared):

@@ -5,7 +5,7 @@ import pytest
 import zstandard
 
 from arqueo.llm.queries import op3_toxicity
-from arqueo.llm.toxicity import AFTER, BEFORE, _cover, fit, grams, score_toxicity, train_dictionaries, windows
+from arqueo.llm.toxicity import AFTER, BEFORE, _cover, _Held, _texts_holding, evidence, fit, grams, score_toxicity, train, train_dictionaries, windows
 from tests.llm.cases import empty, odd
 
 SF = "/root/testdata/sf0.1"
@@ -88,3 +88,33 @@ def test_short_insults_are_marked():
     score = fit(texts, toxic).scorer()
     clean = [texts[i] for i in np.flatnonzero(toxic == 0)[:40]]
     assert np.mean([score(f"{t} {' '.join(short)}") > score(t) for t in clean]) == 1
+
+
+def test_evidence_of_rare_grams():
+    # 20 of 800 against 0 of 800; 7 of 4,000 against 0 of 36,000; what is as frequent in ordinary text
+    assert evidence([20], [0], 800, 800)[0] > 5 and evidence([7], [0], 4000, 36_000)[0] > 5
+    assert evidence([3, 40, 0], [0, 40, 9], 800, 800).max() < 5 and evidence([5], [5], 0, 9).tolist() == [0.0]
+
+
+def test_rare_kinds_are_marked_whatever_the_sample(spark):
+    texts, toxic = samples(2400)
+    rare = np.flatnonzero(toxic)[::10]
+    for i in rare:
+        texts[i] += " skunkwort"
+    docs = spark.createDataFrame([(int(i), t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(int(i), int(y)) for i, y in enumerate(toxic)], "doc_id bigint, toxic int")
+    assert len(rare) == 60
+    # a sample of 60 texts of each label holds about six of the 60, too few to mark the word in either half
+    assert all(d.distance()(b"skunkwort") >= 3 for d in train(docs, labels, sample_rows=60).dictionaries)
+
+
+def test_counts_of_texts():
+    texts = ["scum scum idiot", "idiots and oafs", "", None, "x" * 200 + " idiot"]
+    held = _Held()
+    for t in texts:
+        held.add(t, 3)
+    frames = [f for f in held.frames() if len(f)]
+    got = {bytes(t): n for f in frames if f["kind"].iloc[0] == 0 for t, n in zip(f["token"], f["toxic"])}
+    assert got == dict(_texts_holding([windows(t) for t in texts])) and got[b" scum "] == 1 and got[b" idiot "] == 2
+    pieces = [bytes(t) for f in frames if f["kind"].iloc[0] == 1 for t in f["token"]]
+    assert b"scum" in pieces and max(map(len, pieces)) == 64

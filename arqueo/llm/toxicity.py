@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arqueo.llm.common import bucket_of, packed, stored, unpacked
+from arqueo.operators.staging import broadcast_if_small
 
 SAMPLE_ROWS = 1600  # labelled documents of each label that thresholds and weights are fitted on, at most
 GRAM = 7  # bytes of the pieces that dictionary training counts
@@ -22,6 +23,7 @@ SHARED_BYTES, OWN_BYTES, MOST_OWN_BYTES = 24_000, 4096, 64_000
 MARKED_GRAMS = 64_000  # as many as the longest part can hold: a byte adds one gram at most
 LEAST_EVIDENCE = 5.0  # standard errors
 ENTRY = 64  # bytes of a window that stand in a dictionary together
+SENT_LABELS = 2_000_000  # labels that are sent to the texts; more meet them in a shuffle
 HELD_WINDOWS, HELD_GRAMS = 100_000, 400_000  # that a task counts before it hands them on
 LEVEL = 9
 # a window stands between a text that both dictionaries hold, so that its frame is always compressible,
@@ -367,9 +369,10 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     prior = counts.get(1, 0) / total if total else None
     if min((toxic == 1).sum(), (toxic == 0).sum()) < 2:
         return fit([r.text for r in rows], toxic, prior)
-    labelled = texts.join(known, F.col("doc_id") == F.col("id")).select(half, "toxic", "text")
+    known = broadcast_if_small(known, SENT_LABELS)
+    labelled = texts.select("doc_id", half, "text").join(known, F.col("doc_id") == F.col("id"))
     sizes = {(r.half, r.toxic): r.n for r in labelled.groupBy("half", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return fit([r.text for r in rows], toxic, prior, np.array([r.half for r in rows], int), count_dictionaries(labelled, sizes))
+    return fit([r.text for r in rows], toxic, prior, np.array([r.half for r in rows], int), count_dictionaries(labelled.select("half", "toxic", "text"), sizes))
 
 
 def _score(shared):

@@ -15,6 +15,7 @@ from arqueo.llm.near_dedup import near_duplicates
 from arqueo.llm.packing import pack
 from arqueo.llm.quality_classifier import grade_texts
 from arqueo.llm.quality_rules import judge_quality
+from arqueo.llm.ranked_search import search
 from arqueo.llm.toxicity import score_toxicity
 from arqueo.llm.warc import read_archives, write_archives
 from arqueo.operators.staging import scratch_path
@@ -95,6 +96,11 @@ def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return search(docs, table(spark, sf_dir, "benchmark").select("item_id", "text")).drop("text")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -104,7 +110,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f for f in (
         op1_fingerprints, op2_packing, op3_toxicity, op4_source_mix, op5_line_dedup, op6_ordinal_quality, op7_quality_outliers,
-        op8_hidden_markov, op9_warc, op10_near_duplicates, op11_chat_format, pipeline,
+        op8_hidden_markov, op9_warc, op10_near_duplicates, op11_chat_format, op12_ranked_search, pipeline,
     )
 }
 
@@ -168,4 +174,32 @@ SELECT conv_id, count(*) AS n_turns,
 FROM turns GROUP BY conv_id
 """
 
-ORACLES: dict[str, str] = {"op4_source_mix": OP4, "op5_line_dedup": OP5, "op11_chat_format": OP11}
+OP12 = r"""
+WITH terms AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM documents
+), frequencies AS (
+    SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY doc_id, term
+), sizes AS (
+    SELECT doc_id, sum(tf)::BIGINT AS n FROM frequencies GROUP BY doc_id
+), whole AS (
+    SELECT count(*) AS docs, sum(n)::BIGINT AS all_terms FROM sizes
+), measures AS (
+    SELECT doc_id, 10 + (90 * n * docs) // all_terms AS m FROM sizes, whole
+), weights AS (
+    SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM frequencies, whole GROUP BY term, docs
+), wanted AS (
+    SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark
+), scores AS (
+    SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+    FROM wanted JOIN weights USING (term) JOIN frequencies USING (term) JOIN measures USING (doc_id) GROUP BY item_id, doc_id
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM scores WHERE score > 0
+)
+SELECT item_id, place::INT AS rank, doc_id, score FROM ranked WHERE place <= 10
+"""
+
+ORACLES: dict[str, str] = {"op4_source_mix": OP4, "op5_line_dedup": OP5, "op11_chat_format": OP11, "op12_ranked_search": OP12}

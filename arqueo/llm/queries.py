@@ -17,6 +17,7 @@ from arqueo.llm.quality_classifier import grade_texts
 from arqueo.llm.quality_rules import judge_quality
 from arqueo.llm.ranked_search import search
 from arqueo.llm.toxicity import score_toxicity
+from arqueo.llm.vector_codes import codebook_digest, encode_vectors, with_label_error
 from arqueo.llm.warc import read_archives, write_archives
 from arqueo.operators.staging import scratch_path
 
@@ -101,6 +102,13 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(docs, table(spark, sf_dir, "benchmark").select("item_id", "text")).drop("text")
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = encode_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    return with_label_error(coded.select("vec_id", "label", F.lower(F.hex("code")).alias("code"), "error")).select(
+        "vec_id", "code", "error", "label_error", F.lit(codebook_digest(books)).alias("codebooks_sha256")
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -110,7 +118,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f for f in (
         op1_fingerprints, op2_packing, op3_toxicity, op4_source_mix, op5_line_dedup, op6_ordinal_quality, op7_quality_outliers,
-        op8_hidden_markov, op9_warc, op10_near_duplicates, op11_chat_format, op12_ranked_search, pipeline,
+        op8_hidden_markov, op9_warc, op10_near_duplicates, op11_chat_format, op12_ranked_search, op13_vector_codes, pipeline,
     )
 }
 
@@ -202,4 +210,43 @@ WITH terms AS (
 SELECT item_id, place::INT AS rank, doc_id, score FROM ranked WHERE place <= 10
 """
 
-ORACLES: dict[str, str] = {"op4_source_mix": OP4, "op5_line_dedup": OP5, "op11_chat_format": OP11, "op12_ranked_search": OP12}
+
+
+def _rounds(n: int) -> str:
+    """SQL of one assignment of all parts to the entries of ``book{n}`` and, from it, ``book{n + 1}``."""
+    return f"""
+nearest{n} AS (
+    SELECT vec_id, p, x, arg_min(entry, d * 64 + entry) AS entry, min(d) AS d FROM (
+        SELECT v.vec_id, v.p, v.x, b.entry,
+            list_sum(list_transform(list_zip(v.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+        FROM parts v JOIN book{n} b ON v.p = b.p
+    ) GROUP BY vec_id, p, x
+), means{n} AS (
+    SELECT p, entry, list(mean ORDER BY i) AS x FROM (
+        SELECT p, entry, i, floor(sum(x[i]) / count(*))::BIGINT AS mean FROM nearest{n}, (SELECT unnest(range(1, 5)) AS i) GROUP BY p, entry, i
+    ) GROUP BY p, entry
+), book{n + 1} AS (
+    SELECT b.p, b.entry, coalesce(m.x, b.x) AS x FROM book{n} b LEFT JOIN means{n} m ON b.p = m.p AND b.entry = m.entry
+)"""
+
+
+OP13 = f"""
+WITH kept AS (
+    SELECT vec_id, label, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS ints FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), parts AS (
+    SELECT vec_id, p, ints[4 * p + 1:4 * p + 4] AS x FROM kept, (SELECT unnest(range(16)) AS p)
+), firsts AS (
+    SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept ORDER BY vec_id LIMIT 64
+), book0 AS (
+    SELECT p, entry, x FROM parts JOIN firsts USING (vec_id)
+), {_rounds(0)}, {_rounds(1)}, {_rounds(2)}, coded AS (
+    SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM nearest2 GROUP BY vec_id
+), digest AS (
+    SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, entry)) AS codebooks_sha256 FROM book2
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM coded JOIN kept USING (vec_id), digest
+"""
+
+ORACLES: dict[str, str] = {"op4_source_mix": OP4, "op5_line_dedup": OP5, "op11_chat_format": OP11, "op12_ranked_search": OP12, "op13_vector_codes": OP13}

@@ -3,9 +3,12 @@
 Spark has no accent-stripping function, so the fold is a ``translate`` whose table is
 generated once from the Unicode database: for every character whose compatibility
 decomposition, without marks, is one character, that character; marks map to nothing.
-Characters that expand to several letters are replaced before it: the common ones in every
-text, all others by a lookup in texts that hold any of them.
-Texts that are plain ASCII skip all of it.
+The two common characters that expand to several letters are replaced before it. All other
+such characters become one mark in the same pass, and only texts with that mark are spelt
+out. Texts that are plain ASCII skip all of it.
+
+The tables are long constants, and a fold costs a lookup per character. Facts repeat few
+names very often: fold those by ``operators.dictionary``, once per distinct name.
 """
 
 from __future__ import annotations
@@ -16,7 +19,8 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-EXPANDING = "ßﬁﬂ…½¼¾™№ĳ"
+EXPANDING = "ß…"
+SPELT = "\ue000"  # private use: stands where a character is to be spelt out
 # what str.strip() and str.split() treat as white space
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
@@ -28,18 +32,14 @@ def _decomposed(char: str) -> str:
 
 
 @lru_cache(maxsize=2)
-def _expansions(casefold: bool) -> tuple[str, str, str]:
-    """Other characters of the basic plane that become several, what each becomes (parted by line feeds), and a class of them."""
+def _expansions(casefold: bool) -> tuple[str, str]:
+    """Other characters of the basic plane that become several, and what each becomes (parted by line feeds)."""
     found = {}
     for point in (p for p in range(0x80, 0x10000) if not 0xD800 <= p < 0xE000):
         folded = _decomposed(chr(point).casefold()) if casefold else _decomposed(chr(point))
         if len(folded) > 1 and chr(point) not in EXPANDING:
             found[chr(point)] = folded
-    points = [ord(c) for c in found]
-    starts = [p for p in points if chr(p - 1) not in found]
-    ends = [p for p in points if chr(p + 1) not in found]
-    ranges = "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(starts, ends))
-    return "".join(found), "\n".join(found.values()), f"[{ranges}]"
+    return "".join(found), "\n".join(found.values())
 
 
 @lru_cache(maxsize=2)
@@ -66,16 +66,20 @@ def _fold(text: Column, casefold: bool) -> Column:
     for char in EXPANDING:
         expansion = _decomposed(char.casefold()) if casefold else _decomposed(char)
         plain = F.replace(plain, F.lit(char), F.lit(expansion))
-    chars, expanded, any_of = _expansions(casefold)
-    table = F.map_from_arrays(F.split(F.lit(chars), ""), F.split(F.lit(expanded), "\n"))
-    spelt = F.array_join(F.transform(F.split(plain, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
-    plain = F.when(plain.rlike(any_of), spelt).otherwise(plain)
-    source, target, dropped = _fold_tables(casefold)
     change_case = F.lower if casefold else F.upper
-    folded = change_case(F.translate(plain, source + dropped, target))
+    source, target, dropped = _fold_tables(casefold)
+    chars, expanded = _expansions(casefold)
+    quick = F.translate(plain, source + chars + dropped, target + SPELT * len(chars))
+    # the few different characters of a text that are to be spelt out, one after another
+    listed = F.split(F.lit(chars), "")
+    spelt = F.aggregate(
+        F.array_intersect(F.split(plain, ""), listed), plain,
+        lambda done, c: F.replace(done, c, F.element_at(F.split(F.lit(expanded), "\n"), F.array_position(listed, c).cast("int"))),
+    )
+    folded = F.when(quick.contains(SPELT), F.translate(spelt, source + dropped, target)).otherwise(quick)
     # only ASCII texts have as many bytes as characters
     ascii_only = F.octet_length(text) == F.char_length(text)
-    return F.when(ascii_only, change_case(text)).otherwise(folded)
+    return change_case(F.when(ascii_only, text).otherwise(folded))
 
 
 def strip(text: Column) -> Column:
@@ -92,15 +96,24 @@ def name_form(text: Column) -> Column:
     return _fold(strip(text), casefold=True)
 
 
+def key_of_form(form: Column) -> Column:
+    """``name_key`` of a text whose ``name_form`` is at hand."""
+    return F.coalesce(F.upper(F.regexp_replace(form, "[^a-z0-9]+", "")), F.lit(""))
+
+
 def name_key(text: Column) -> Column:
     """Letters and digits only, upper case; null gives the empty key."""
-    folded = name_form(F.coalesce(text, F.lit("")))
-    return F.upper(F.regexp_replace(folded, "[^a-z0-9]+", ""))
+    return key_of_form(name_form(text))
+
+
+def place_of_form(form: Column) -> Column:
+    """``place_key`` of a text whose ``name_form`` is at hand."""
+    return strip(F.regexp_replace(form, f"{SPACE}+", " "))
 
 
 def place_key(text: Column) -> Column:
     """``name_form`` with runs of white space collapsed to one space."""
-    return strip(F.regexp_replace(name_form(text), f"{SPACE}+", " "))
+    return place_of_form(name_form(text))
 
 
 def accent_free_upper(text: Column) -> Column:
@@ -108,10 +121,15 @@ def accent_free_upper(text: Column) -> Column:
     return _fold(F.coalesce(text, F.lit("")), casefold=False)
 
 
+def words_of_form(form: Column) -> Column:
+    """``word_set`` of a text whose ``name_form`` is at hand."""
+    words = F.split(F.regexp_replace(form, r"[^\p{L}\p{N}]+", " "), " ")
+    return F.array_distinct(F.filter(words, lambda w: w != ""))
+
+
 def word_set(text: Column) -> Column:
     """Distinct alphanumeric words of ``name_form``."""
-    words = F.split(F.regexp_replace(name_form(text), r"[^\p{L}\p{N}]+", " "), " ")
-    return F.array_distinct(F.filter(words, lambda w: w != ""))
+    return words_of_form(name_form(text))
 
 
 def account_code(subtitle: Column, subassignment: Column) -> Column:

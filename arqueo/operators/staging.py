@@ -16,6 +16,7 @@ from arqueo.functions.numeric import fail_when, quoted
 from arqueo.schema import ContractError
 
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 64 << 20
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -78,9 +79,22 @@ def stage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only after counting; a larger side is left to a shuffled join."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def _value_bytes(column: str, kind: T.DataType) -> Column:
+    """About how many bytes a value takes; texts and lists by their length, all else as one number."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(quoted(column)), F.lit(0)) + 8
+    if isinstance(kind, T.ArrayType) and not isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType, T.MapType)):
+        return F.coalesce(F.size(quoted(column)), F.lit(0)) * 8 + 8
+    if isinstance(kind, (T.ArrayType, T.StructType, T.MapType)):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(quoted(column)))), F.lit(0))
+    return F.lit(16)
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint only after counting rows and their bytes; a larger side is left to a shuffled join."""
+    size = sum((_value_bytes(f.name, f.dataType) for f in df.schema.fields), F.lit(0))
+    rows, total = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(size.cast("bigint")), F.lit(0))).head()
+    return F.broadcast(df) if rows <= max_rows and total <= max_bytes else df
 
 
 def unique_by(df: DataFrame, keys: Sequence[str], what: str) -> DataFrame:

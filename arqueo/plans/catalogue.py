@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from arqueo import rules
 from arqueo.functions import numeric, text
-from arqueo.operators import classify, clusters, geography, harmonise, history, pairwise, profiles, quality
+from arqueo.operators import classify, clusters, dictionary, geography, harmonise, history, pairwise, profiles, quality
 from arqueo.operators import ranking as rank_ops
 from arqueo.operators import reshape, scope, staging, variability
 from arqueo.plans import frames, lens
@@ -262,9 +262,10 @@ DOC_FOLD = r"strip_accents(replace(replace(lower(regexp_replace(text, '^[\s\p{Z}
 @query("name_keys", rf"""SELECT doc_id, md5(f) AS forma, md5(upper(regexp_replace(f, '[^a-z0-9]+', '', 'g'))) AS clave,
   md5(trim(regexp_replace(f, '[\s\p{{Z}}]+', ' ', 'g'))) AS lugar FROM (SELECT doc_id, {DOC_FOLD} AS f FROM documents)""")
 def name_keys(spark, sf):
-    body = F.col("text")
-    return lens.spread_table(spark, sf, "documents", "doc_id").select(
-        "doc_id", F.md5(text.name_form(body)).alias("forma"), F.md5(text.name_key(body)).alias("clave"), F.md5(text.place_key(body)).alias("lugar"))
+    """Texts that hardly repeat: folded where they stand, once for all three keys."""
+    folded = lens.spread_table(spark, sf, "documents", "doc_id").select("doc_id", text.name_form(F.col("text")).alias("form"))
+    return folded.select(
+        "doc_id", F.md5("form").alias("forma"), F.md5(text.key_of_form(F.col("form"))).alias("clave"), F.md5(text.place_of_form(F.col("form"))).alias("lugar"))
 
 
 @query("name_words", rf"""SELECT doc_id, CAST(len(list_distinct(list_filter(string_split(regexp_replace(f, '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> ''))) AS BIGINT) AS palabras
@@ -273,6 +274,26 @@ def name_words(spark, sf):
     return lens.spread_table(spark, sf, "documents", "doc_id").select("doc_id", F.size(text.word_set(F.col("text"))).cast("bigint").alias("palabras"))
 
 
+ROW_FOLD = "strip_accents(lower({}))"
+
+
+@query("account_name_keys", o.sql(f"""SELECT source_row, {ROW_FOLD.format("suba_name")} AS forma, upper(regexp_replace({ROW_FOLD.format("suba_name")}, '[^a-z0-9]+', '', 'g')) AS clave,
+  {ROW_FOLD.format("item_name")} AS lugar, list_sort(list_distinct(string_split(regexp_replace({ROW_FOLD.format("asig_name")}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '))) AS palabras,
+  'NOMBRE ' || upper(strip_accents(subt_name)) AS mayusculas, CASE WHEN ln % 3 <> 0 THEN upper(regexp_replace(lower(name), '[^a-z0-9]+', '', 'g')) ELSE '' END AS municipio FROM raw"""))
+def account_name_keys(spark, sf):
+    """The names of every budget row, each distinct name folded once."""
+    rows = lens.typed_rows(spark, sf).select(
+        "source_row", "Nombre Subasignación", "Nombre Ítem", "Nombre Asignación", "Nombre Subtítulo",
+        F.when(F.col("l_linenumber") % 3 != 0, F.col(NAME)).alias(NAME))
+    named = ["Nombre Subasignación", "Nombre Ítem", "Nombre Asignación", "Nombre Subtítulo", NAME]
+    forms = dictionary.text_dictionary(rows, named, dictionary.NAME_FORMS)
+    found = dictionary.with_forms(rows, forms, {
+        "forma": (named[0], "forma"), "clave": (named[0], "clave"), "lugar": (named[1], "lugar"), "palabras": (named[2], "palabras"),
+        "alto": (named[3], "mayusculas"), "municipio": (NAME, "clave")}, {"clave": ""})
+    return found.select("source_row", "forma", "clave", "lugar", F.array_sort("palabras").alias("palabras"),
+                        F.concat(F.lit("NOMBRE "), F.col("alto")).alias("mayusculas"), "municipio")
+
+
 # ---------------------------------------------------------------- harmonising
 
 @query("code_parse", o.sql("""SELECT source_row, y AS "Ejercicio", tipo, suba AS codigo, CASE WHEN ln % 3 = 0 THEN NULL ELSE asig END AS asignacion,

@@ -15,8 +15,10 @@ def rows(spark, copies=1):
 
 
 @pytest.mark.parametrize("bound", [100_000, 0])
-def test_forms_are_those_of_each_row(spark, monkeypatch, bound):
+def test_forms_are_those_of_each_row(spark, monkeypatch, request, bound):
     monkeypatch.setattr(dictionary, "broadcast_if_small", lambda df: staging.broadcast_if_small(df, bound))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.autoBroadcastJoinThreshold"))
     df = rows(spark, 40)
     found = dictionary.text_dictionary(df, ["name", "other.name"], dictionary.NAME_FORMS)
     out = dictionary.with_forms(df, found, {

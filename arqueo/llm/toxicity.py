@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +37,9 @@ MEMO = 300_000
 
 def windows(text: str | None) -> set[bytes]:
     """The distinct windows of a text: its words in lower case, without marks at their ends."""
-    return {w for w in (x.strip(MARKS) for x in (text or "").lower().encode("utf-8", "surrogatepass").split()) if w}
+    words = {x.strip(MARKS) for x in set((text or "").lower().encode("utf-8", "surrogatepass").split())}
+    words.discard(b"")
+    return words
 
 
 def grams(window: bytes) -> list[bytes]:
@@ -152,12 +155,32 @@ def train_dictionaries(toxic: list[set[bytes]], ordinary: list[set[bytes]]) -> D
     return _dictionaries(marked, {g: float(c) for g, c in b.items() if g not in marked}, pieces(toxic), pieces(ordinary))
 
 
-def _row(saved: np.ndarray) -> np.ndarray:
-    """Features of a text: how many of its windows save at least each step, by share, and its size."""
-    n = max(len(saved), 1)
+def _row(saved: np.ndarray, n: int) -> np.ndarray:
+    """Features of a text of ``n`` windows: how many of them save at least each step, by share, and its size."""
+    n = max(n, 1)
     return np.array([1.0, *[np.log1p(200 * (saved >= s).sum() / n) for s in STEPS], *[np.log1p((saved >= s).sum()) for s in STEPS[1:]], 1 / np.sqrt(n), np.log(n)])
 
 
+class Measured:
+    """The bytes that windows save with each of some pairs of dictionaries; a window is compressed once while it is remembered."""
+
+    def __init__(self, pairs: list[Dictionaries]):
+        self.distances, self.known, self.saving = [d.distance() for d in pairs], set(), {}
+
+    def saved(self, words: set[bytes]) -> np.ndarray:
+        """(window, pair) of those windows that save enough with any pair to count."""
+        if len(self.known) + len(words) > MEMO:
+            self.known, self.saving = set(), {}
+        fresh = words - self.known
+        for w in fresh:
+            bytes_saved = [distance(w) for distance in self.distances]
+            if max(bytes_saved) >= STEPS[0]:
+                self.saving[w] = bytes_saved
+        self.known |= fresh
+        found = [self.saving[w] for w in words & self.saving.keys()]
+        return np.array(found, np.int64).reshape(len(found), len(self.distances))
+
+
 @dataclass
 class ToxicityModel:
     """Pairs of dictionaries, each trained on one half of the sample, and what the other half made of it."""
@@ -168,17 +191,12 @@ class ToxicityModel:
     scale: np.ndarray
 
     def scorer(self) -> Callable[[str | None], float]:
-        distances, memo = [d.distance() for d in self.dictionaries], {}
+        measured = Measured(self.dictionaries)
 
         def score(text: str | None) -> float:
             words = windows(text)
-            if len(memo) + len(words) > MEMO:
-                memo.clear()
-            for w in words:
-                if w not in memo:
-                    memo[w] = [distance(w) for distance in distances]
-            saved = np.array([memo[w] for w in words], np.int64).reshape(len(words), len(distances))
-            rows = (np.array([_row(saved[:, k]) for k in range(len(distances))]) - self.centre) / self.scale
+            saved = measured.saved(words)
+            rows = (np.array([_row(saved[:, k], len(words)) for k in range(saved.shape[1])]) - self.centre) / self.scale
             return float(1 / (1 + np.exp(-np.clip((rows @ self.weights).mean(), -40, 40))))
 
         return score
@@ -197,36 +215,43 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, decay: float = 1
     return w
 
 
-def fit(
-    texts: list[str | None], toxic: np.ndarray, prior: float | None = None, half: np.ndarray | None = None, pairs: list[Dictionaries] | None = None,
-) -> ToxicityModel:
+def fit(texts: list[str | None], toxic: np.ndarray, prior: float | None = None) -> ToxicityModel:
     """Two pairs of dictionaries, one from either half of the texts, and thresholds calibrated on the other half.
 
     A dictionary fits its own texts better than any others, so it is only judged by texts it has
     not seen, as it will be in use. ``prior`` is the share of toxic texts that scores are
-    calibrated to, if the sample's is another. ``half`` and ``pairs`` are given if the dictionaries
-    come from more texts than these; ``half`` tells whose half a text belongs to.
+    calibrated to, if the sample's is another.
     """
-    sets, size = [windows(t) for t in texts], len(_row(np.zeros(0)))
     if (toxic == 1).sum() < 2 or (toxic == 0).sum() < 2:
-        base = np.clip(toxic.mean() if len(toxic) else 0.0, 1e-6, 1 - 1e-6)
-        constant = np.array([np.log(base / (1 - base)), *[0.0] * (size - 1)])
-        return ToxicityModel([Dictionaries(BEFORE, BEFORE)], constant, np.zeros(size), np.ones(size))
-    if pairs is None:
-        half = np.zeros(len(sets), int)
-        for label in (0, 1):
-            own = np.flatnonzero(toxic == label)
-            half[own] = np.arange(len(own)) % 2
-        pick = lambda part, label: [sets[i] for i in np.flatnonzero((half == part) & (toxic == label))]
-        pairs = [train_dictionaries(pick(part, 1), pick(part, 0)) for part in (0, 1)]
-    rows = np.zeros((len(sets), size))
-    for part in (0, 1):
-        distance, memo = pairs[part].distance(), {}
-        for i in np.flatnonzero(half != part):
-            for w in sets[i]:
-                if w not in memo:
-                    memo[w] = distance(w)
-            rows[i] = _row(np.array([memo[w] for w in sets[i]], np.int64))
+        return unlearned(toxic.mean() if len(toxic) else 0.0)
+    sets, half = [windows(t) for t in texts], np.zeros(len(texts), int)
+    for label in (0, 1):
+        own = np.flatnonzero(toxic == label)
+        half[own] = np.arange(len(own)) % 2
+    pick = lambda part, label: [sets[i] for i in np.flatnonzero((half == part) & (toxic == label))]
+    pairs = [train_dictionaries(pick(part, 1), pick(part, 0)) for part in (0, 1)]
+    return calibrate(unseen_rows(pairs, texts, half), toxic, pairs, prior)
+
+
+def unlearned(share: float) -> ToxicityModel:
+    """The model that gives every text the share of toxic ones."""
+    base, size = np.clip(share, 1e-6, 1 - 1e-6), len(_row(np.zeros(0), 0))
+    constant = np.array([np.log(base / (1 - base)), *[0.0] * (size - 1)])
+    return ToxicityModel([Dictionaries(BEFORE, BEFORE)], constant, np.zeros(size), np.ones(size))
+
+
+def unseen_rows(pairs: list[Dictionaries], texts: Iterable[str | None], half: Iterable[int]) -> np.ndarray:
+    """The features of texts, each measured by the pair of the half it does not belong to."""
+    measured, rows = [Measured([pair]) for pair in pairs], []
+    for text, own in zip(texts, half):
+        words = windows(text)
+        rows.append(_row(measured[1 - own].saved(words)[:, 0], len(words)))
+    return np.array(rows).reshape(len(rows), -1)
+
+
+def calibrate(rows: np.ndarray, toxic: np.ndarray, pairs: list[Dictionaries], prior: float | None = None) -> ToxicityModel:
+    if (toxic == 1).sum() < 2 or (toxic == 0).sum() < 2:
+        return unlearned(toxic.mean() if len(toxic) else 0.0)
     centre, scale = rows.mean(axis=0), rows.std(axis=0) + 1e-9
     centre[0], scale[0] = 0.0, 1.0
     share = toxic.mean()
@@ -321,6 +346,10 @@ def _candidates(shared):
     return run
 
 
+def _pairs(found: pa.Table) -> dict[bytes, float]:
+    return dict(zip(found.column("token").to_pylist(), found.column("worth").to_pylist()))
+
+
 def count_dictionaries(texts: DataFrame, sizes: dict[tuple[int, int], int]) -> list[Dictionaries]:
     """train_dictionaries() for either half of ``texts`` (half, toxic, text), counted on Spark.
 
@@ -334,7 +363,8 @@ def count_dictionaries(texts: DataFrame, sizes: dict[tuple[int, int], int]) -> l
     pieces, worth = held.filter("kind = 0").drop("kind"), {}
     for half in (0, 1):
         own = pieces.filter(F.col("half") == half)
-        top = lambda df, n: {bytes(r.token): float(r.worth) for r in df.orderBy(F.col("worth").desc(), "token").limit(n).collect()}
+        # as Arrow columns: rows of Python objects take many times their memory
+        top = lambda df, n: _pairs(df.select("token", F.col("worth").cast("double").alias("worth")).orderBy(F.col("worth").desc(), "token").limit(n).toArrow())
         marked = top(own.filter("toxic > 0").mapInPandas(_marking(sizes), "half int, token binary, worth double"), MARKED_GRAMS)
         common = top(own.filter("ordinary > 0").select("token", F.col("ordinary").alias("worth")), SHARED_BYTES + OWN_BYTES + 2 * GRAM * len(marked))
         worth[half, 1], worth[half, 0] = marked, {g: c for g, c in common.items() if g not in marked}
@@ -343,9 +373,10 @@ def count_dictionaries(texts: DataFrame, sizes: dict[tuple[int, int], int]) -> l
         _candidates(shared), "half int, label int, gram binary, gain double, token binary"
     ).groupBy("half", "label", "gram").agg(F.max(F.struct("gain", "token"))["token"].alias("token"))
     words: dict[tuple[int, int], list[bytes]] = {k: [] for k in worth}
-    for r in best.select("half", "label", "token").distinct().collect():
-        words[r.half, r.label].append(bytes(r.token))
-    shared.unpersist()
+    chosen = best.select("half", "label", "token").distinct().toArrow()
+    for half, label, token in zip(*[chosen.column(c).to_pylist() for c in ("half", "label", "token")]):
+        words[half, label].append(token)
+    shared.destroy()
     return [_dictionaries(worth[half, 1], worth[half, 0], words[half, 1], words[half, 0]) for half in (0, 1)]
 
 
@@ -362,17 +393,27 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     half = F.pmod(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit("half")), F.lit(2)).cast("int").alias("half")
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     least = lambda label: known.filter(F.col("toxic") == label).orderBy(F.xxhash64("id"), "id").limit(sample_rows)
-    # ids alone are sorted; the chosen ones, twice the parameter at most, are sent to the texts
-    chosen = F.broadcast(least(1).unionByName(least(0)))
-    rows = texts.join(chosen, F.col("doc_id") == F.col("id")).select("id", "toxic", "text", half).orderBy("id", F.xxhash64("text")).collect()
-    total, toxic = sum(counts.values()), np.array([r.toxic for r in rows], int)
-    prior = counts.get(1, 0) / total if total else None
-    if min((toxic == 1).sum(), (toxic == 0).sum()) < 2:
-        return fit([r.text for r in rows], toxic, prior)
-    known = broadcast_if_small(known, SENT_LABELS)
-    labelled = texts.select("doc_id", half, "text").join(known, F.col("doc_id") == F.col("id"))
+    total = sum(counts.values())
+    labelled = texts.select("doc_id", half, "text").join(broadcast_if_small(known, SENT_LABELS), F.col("doc_id") == F.col("id"))
     sizes = {(r.half, r.toxic): r.n for r in labelled.groupBy("half", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return fit([r.text for r in rows], toxic, prior, np.array([r.half for r in rows], int), count_dictionaries(labelled.select("half", "toxic", "text"), sizes))
+    kinds = [sizes.get((0, y), 0) + sizes.get((1, y), 0) for y in (0, 1)]
+    if min(kinds) < 2:
+        return unlearned(kinds[1] / max(sum(kinds), 1))
+    pairs = count_dictionaries(labelled.select("half", "toxic", "text"), sizes)
+    # ids alone are sorted; the chosen ones, twice the parameter at most, are sent to the texts, and only
+    # features come back
+    chosen = F.broadcast(least(1).unionByName(least(0)))
+    sample = texts.join(chosen, F.col("doc_id") == F.col("id")).select("id", F.xxhash64("text").alias("nth"), "toxic", half, "text")
+    rows = sample.mapInPandas(_unseen(pairs), "id bigint, nth bigint, toxic int, features array<double>").toPandas().sort_values(["id", "nth"])
+    return calibrate(np.array(rows["features"].tolist()), rows["toxic"].to_numpy(), pairs, counts.get(1, 0) / total)
+
+
+def _unseen(pairs: list[Dictionaries]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[["id", "nth", "toxic"]].assign(features=list(unseen_rows(pairs, batch["text"], batch["half"])))
+
+    return run
 
 
 def _score(shared):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ GOLDEN_32 = 2654435769
 CHUNK = 1 << 16  # slots ranked together
 PREFIX = 3  # hex digits of the shuffle key: a source is laid out in 4096 parts
 CELLS = 4096  # of the unit interval, for the join of points and sources
+BLOCK_WORDS = 64  # of a slot
 
 
 def golden_point(n: Column) -> Column:
@@ -61,11 +63,11 @@ def source_targets(sized: DataFrame, weights: Sequence[int], cap: int) -> DataFr
 
 
 def schedule(targets: DataFrame, slots: int) -> DataFrame:
-    """(nth, rank): which source fills each of ``slots`` slots, ranked per source.
+    """(slot, nth, rank): which source fills each of ``slots`` slots, ranked per source in the order of slots.
 
     Points are mapped through the cumulative weights by an equi-join on cells of the unit
     interval. Ranks are counted in chunks of slots, so a source that fills most of them is
-    not ranked by one task. A source with a target that no point meets gets one slot.
+    not ranked by one task. A source with a target that no point meets gets one slot after all others.
     """
     spark = targets.sparkSession
     cells = targets.filter("hi > lo").select(
@@ -82,33 +84,51 @@ def schedule(targets: DataFrame, slots: int) -> DataFrame:
     )
     local = F.row_number().over(Window.partitionBy("nth", "chunk").orderBy("id")) - 1
     ranked = placed.withColumn("local", local).join(offsets, ["nth", "chunk"]).select(
-        "nth", (F.col("local") + F.col("earlier")).cast("bigint").alias("rank")
+        F.col("id").alias("slot"), "nth", (F.col("local") + F.col("earlier")).cast("bigint").alias("rank")
     )
     unmet = targets.filter("target > 0").join(placed.select("nth").distinct(), "nth", "left_anti")
-    return ranked.unionByName(unmet.select("nth", F.lit(0).cast("bigint").alias("rank")))
+    return ranked.unionByName(unmet.select((F.lit(slots + 1) + F.col("nth")).cast("bigint").alias("slot"), "nth", F.lit(0).cast("bigint").alias("rank")))
 
 
-def mix(
-    docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3, block_words: int = 256, seed: int = 0,
-) -> DataFrame:
-    """``docs`` with size, source_size, target and taken.
+@dataclass(frozen=True)
+class Mix:
+    """The parts of a mix: every row on its source's line, and the pieces of the line that the slots take."""
+
+    line: DataFrame  # row, nth, source_size, target, size, start
+    pieces: DataFrame  # slot, nth, start, from_word, to_word: whole words of the row that starts there
+    sources: DataFrame  # nth, source, source_size, target
+
+    def order(self) -> DataFrame:
+        """(slot, source, doc_id, from_word, to_word): what to read, in the order of slots.
+
+        Every stretch of slots has the sources in nearly the proportion of their targets.
+        """
+        rows = self.line.filter("size > 0").select("nth", "start", "doc_id")
+        named = self.sources.select("nth", "source")
+        return self.pieces.join(rows, ["nth", "start"]).join(F.broadcast(named) if named.count() <= CELLS else named, "nth").select(
+            "slot", "source", "doc_id", "from_word", "to_word"
+        )
+
 
-    Documents of a source are laid end to end in a shuffled order (md5 of id and seed), and the
-    source's slots take equal blocks of about ``block_words`` words from that line, starting it
-    again up to ``cap`` times. ``taken`` counts the words of a document inside those blocks;
-    the last block of a source ends where its target ends.
+def plan_mix(
+    docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3, block_words: int = BLOCK_WORDS, seed: int = 0,
+) -> Mix:
+    """The schedule of slots, met with the documents of each source.
+
+    Documents of a source are laid end to end in a shuffled order (md5 of id and seed; of the text
+    where the id is null). There is a slot for every ``block_words`` words of all documents, filled by the source
+    whose stretch of the cumulative targets its point falls into. The r-th slot of a source takes
+    the r-th block of ``block_words`` words from the source's line, which starts again when it ends, up to
+    ``cap`` times. So a source gets words in proportion to its slots.
 
     Starts on the line come from sums per (source, md5 prefix), so no source is sorted by one
     task. Blocks and documents meet by an equi-join on cells of the line.
-
-    Null text has size 0; documents of size 0 take nothing. A null source is a source of its
-    own, last in order. Repeated rows follow each other on the line, so each has its own part.
-    An empty table gives an empty result. Null ids come last on their source's line.
     """
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
-    key = F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.lit(str(seed))))
-    sized = stored(packed(docs.select(*[quoted(c) for c in docs.columns if c.lower() != "text"], words.alias("__words")),
-                          source=F.col("source"), doc_id=F.col("doc_id"), size=F.col("__words"), key=key), "sized")
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.xxhash64("text").cast("string")))
+    key = F.md5(F.concat_ws(":", name, F.lit(str(seed))))
+    sized = stored(packed(docs.select(*[quoted(c) for c in docs.columns if c.lower() != "text"], words.alias("__words"), key.alias("__key")),
+                          source=F.col("source"), doc_id=F.col("doc_id"), size=F.col("__words"), key=F.col("__key")), "sized")
     targets = stored(source_targets(sized, weights, cap), "targets")
     total = sized.agg(F.sum("size")).first()[0] or 0
     slots = -(-total // block_words)
@@ -124,34 +144,49 @@ def mix(
         buckets, ["nth", "bucket"]
     ).withColumn("start", F.col("ahead") + F.col("inner"))
 
-    slot = schedule(targets, slots)
-    counts = slot.groupBy("nth").agg(F.count(F.lit(1)).alias("slots"))
-    edge = lambda r: F.when(r == F.col("slots"), F.floor("target")).otherwise(F.floor(r * F.col("target") / F.col("slots"))).cast("bigint")
-    blocks = slot.join(counts, "nth").join(targets.select("nth", "source_size", "target"), "nth").select(
-        "nth", "source_size", edge(F.col("rank")).alias("a"), edge(F.col("rank") + 1).alias("b")
+    block = schedule(targets, slots).join(targets.select("nth", "source_size"), "nth").select(
+        "slot", "nth", "source_size", (F.col("rank") * block_words).alias("a"),
+        F.least((F.col("rank") + 1) * block_words, F.col("source_size") * cap).alias("b"),
     ).filter("b > a")
     turn = F.col("turn") * F.col("source_size")
-    cell_words = 4 * block_words
+    cell_words = 16 * block_words
     cells = lambda lo, hi: F.sequence(F.floor(lo / cell_words), F.floor((hi - 1) / cell_words))
-    pieces = blocks.select(
+    blocks = block.select(
         "*", F.explode(F.sequence(F.floor(F.col("a") / F.col("source_size")), F.floor((F.col("b") - 1) / F.col("source_size")))).alias("turn")
-    ).select("nth", (F.greatest("a", turn) - turn).alias("lo"), (F.least(F.col("b"), turn + F.col("source_size")) - turn).alias("hi"))
-    pieces = pieces.select("nth", "lo", "hi", F.explode(cells(F.col("lo"), F.col("hi"))).alias("cell"))
+    ).select("slot", "nth", (F.greatest("a", turn) - turn).alias("lo"), (F.least(F.col("b"), turn + F.col("source_size")) - turn).alias("hi"))
+    blocks = blocks.select("slot", "nth", "lo", "hi", F.explode(cells(F.col("lo"), F.col("hi"))).alias("cell"))
     end = F.col("start") + F.col("size")
+    # a document of size 0 shares its start with the next one, but takes nothing
     spread = line.select(
         "nth", "start", "size",
         F.explode(F.when(F.col("size") > 0, cells(F.col("start"), end)).otherwise(F.array().cast("array<bigint>"))).alias("cell"),
     )
-    overlap = F.least(F.col("hi"), end, (F.col("cell") + 1) * cell_words) - F.greatest(F.col("lo"), F.col("start"), F.col("cell") * cell_words)
-    taken = spread.join(pieces, ["nth", "cell"]).select("nth", "start", overlap.alias("words")).filter("words > 0").groupBy(
-        "nth", "start"
-    ).agg(F.sum("words").alias("words"))
-    # a document of size 0 shares its start with the next one, but takes nothing
-    mixed = line.withColumn("at", F.when(F.col("size") > 0, F.col("start"))).join(
+    low = F.greatest("lo", "start", F.col("cell") * cell_words)
+    high = F.least(F.col("hi"), end, (F.col("cell") + 1) * cell_words)
+    pieces = spread.join(blocks, ["nth", "cell"]).select(
+        "slot", "nth", "start", (low - F.col("start")).alias("from_word"), (high - F.col("start")).alias("to_word")
+    ).filter("to_word > from_word")
+    return Mix(line, pieces, targets)
+
+
+def mix(
+    docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3, block_words: int = BLOCK_WORDS, seed: int = 0,
+) -> DataFrame:
+    """``docs`` with size, source_size, target and taken: the words of each document that the slots of ``plan_mix`` take.
+
+    A source takes ``block_words`` words for each of its slots, so within a few blocks of its target.
+
+    Null text has size 0; documents of size 0 take nothing. A null source is a source of its
+    own, last in order. Repeated rows follow each other on the line, so each has its own part.
+    An empty table gives an empty result. Null ids are laid out by their texts.
+    """
+    plan = plan_mix(docs, weights, cap, block_words, seed)
+    taken = plan.pieces.groupBy("nth", "start").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("words"))
+    mixed = plan.line.withColumn("at", F.when(F.col("size") > 0, F.col("start"))).join(
         taken.withColumnRenamed("start", "at"), ["nth", "at"], "left"
     )
     result = unpacked(
         mixed, size=F.col("size"), source_size=F.col("source_size"), target=F.col("target"),
         taken=F.coalesce(F.col("words"), F.lit(0)).cast("bigint"),
     )
-    return result.drop("__words")
+    return result.drop("__words", "__key")

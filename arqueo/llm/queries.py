@@ -137,11 +137,21 @@ WITH sized AS (
 ), reached AS (
     SELECT level FROM levelled WHERE most / weight >= level ORDER BY most / weight, nth LIMIT 1
 ), targets AS (
-    SELECT source, source_size, least(most::DOUBLE, (SELECT level FROM reached) * weight) AS target FROM levelled
+    SELECT nth, source, source_size, least(most::DOUBLE, (SELECT level FROM reached) * weight) AS target FROM levelled
+), ends AS (
+    SELECT nth, target, sum(target) OVER (ORDER BY nth) / sum(target) OVER () AS hi, nth = max(nth) OVER () AS final FROM targets
+), stretches AS (
+    SELECT nth, target, coalesce(lag(hi) OVER (ORDER BY nth), 0) AS lo, CASE WHEN final THEN 1 ELSE hi END AS hi FROM ends
+), points AS (
+    SELECT n, ((n * 2654435769) % 4294967296)::DOUBLE / 4294967296 AS x
+    FROM (SELECT unnest(range(1, (sum(size)::BIGINT + 63) // 64 + 1)) AS n FROM sized)
+), slots AS (
+    SELECT s.nth, greatest(count(n), CASE WHEN any_value(s.target) > 0 THEN 1 ELSE 0 END) AS slots
+    FROM stretches s LEFT JOIN points ON x >= lo AND x < hi GROUP BY s.nth
 ), line AS (
-    SELECT s.doc_id, s.size, t.source_size, t.target, floor(t.target)::BIGINT AS reach,
+    SELECT s.doc_id, s.size, t.source_size, t.target, least(64 * slots, 3 * source_size)::BIGINT AS reach,
         coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.key, s.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-    FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+    FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source JOIN slots USING (nth)
 )
 SELECT doc_id, size, source_size, target,
     CASE WHEN source_size = 0 THEN 0 ELSE

@@ -1,10 +1,15 @@
 """Minimum-variance (Ward) clustering of vectors, its scores, and the results around it.
 
 Ward's criterion is reducible: pairs of clusters that are each other's nearest can be merged
-in any order without changing the tree. So while many clusters remain, every round finds the
-nearest cluster of each (blocked, see ``pairwise``) and merges *all* mutual pairs at once, as
-Spark jobs. When at most ``FINISH`` clusters remain, their centroids (a bounded table) are
-finished on the driver. The tree is the exact one at any size.
+in any order without changing the tree. So while many clusters remain, every round merges
+*all* mutual pairs at once, as Spark jobs. The nearest cluster of each is remembered: after a
+round only clusters whose neighbour was merged look at all others again, the rest look at the
+merged ones alone. When at most ``FINISH`` clusters remain, their centroids (a bounded table)
+are finished on the driver. The tree is the exact one at any size.
+
+Rounds are quadratic in the rows. With ``micro``, more vectors than that are first gathered
+into as many weighted centroids by k-means on Spark, linear in the rows; the tree of the
+centroids is the exact one, and the same as without where there are no more vectors.
 
 A merge is recorded as ``hi`` absorbed into ``lo`` (ids of representative rows) at a height.
 Heights never fall along a branch, so cutting into k clusters means dropping the k - 1
@@ -18,22 +23,26 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from arqueo.functions.text import plain_casefold
 from arqueo.operators.pairwise import (
-    BLOCK_ROWS, against_all, distance_chunks, euclidean, label_centroids, matrix, nearest_rows,
-    silhouette_rows,
+    BLOCK_ROWS, against, against_all, distance_chunks, euclidean, label_centroids, matrix, nearest_rows,
+    silhouette_cuts, silhouette_rows,
 )
 from arqueo.operators.ranking import spread_row_number
 from arqueo.operators.profiles import SHARES, TOTAL, clr_features, ensure_municipality_income_profile
-from arqueo.operators.staging import broadcast_if_small, literal_rows, stage
+from arqueo.operators.staging import broadcast_if_small, literal_rows, stage, written
 from arqueo.schema import INCOME_GROUPS, NAME, ContractError
 
 FINISH = 1_000
+MICRO = 2_000  # weighted centroids that stand for the rows of a large table
+MICRO_ROUNDS, MICRO_SEED = 20, 17
 MERGES = "lo bigint, hi bigint, height double, size bigint, step bigint"
 
 
@@ -44,6 +53,7 @@ class WardTree:
     leaves: DataFrame                # id bigint, vec array<double>
     spark_merges: DataFrame | None   # lo, hi, height, size, step
     driver_merges: list[tuple] = field(default_factory=list)
+    compared: list[int] = field(default_factory=list)  # pairs of clusters each Spark round looked at
 
     @property
     def merges(self) -> DataFrame:
@@ -60,15 +70,15 @@ class WardTree:
         return sorted(found, key=lambda m: (m[2], m[4], m[0], m[1]), reverse=True)[:count]
 
 
-def _nearest_clusters(clusters: DataFrame, count: int, block_rows: int) -> DataFrame:
-    """(lo, hi, height) of the nearest cluster of every cluster, by Ward distance."""
+def _nearest_of(left: DataFrame, right: DataFrame, counts: tuple[int, int], block_rows: int) -> DataFrame:
+    """(id, lo, hi, height): for every cluster of ``left`` the nearest other one of ``right``, by Ward distance."""
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         right = right.sort_values("id")
         ids, others = left["id"].to_numpy(), right["id"].to_numpy()
         sizes, weights = left["size"].to_numpy(float), right["size"].to_numpy(float)
-        rows = []
-        for start, dist in distance_chunks(matrix(left["vec"]), matrix(right["vec"])):
+        rows = [pd.DataFrame({"id": ids[:0], "other": others[:0], "height": np.empty(0)})]
+        for start, dist in distance_chunks(matrix(left["vec"]), matrix(right["vec"])) if len(left) and len(right) else ():
             own, n = ids[start:start + len(dist)], sizes[start:start + len(dist), None]
             ward = dist * np.sqrt(2 * n * weights / (n + weights))
             ward[own[:, None] == others[None, :]] = np.inf
@@ -84,11 +94,47 @@ def _nearest_clusters(clusters: DataFrame, count: int, block_rows: int) -> DataF
         found = pd.concat(rows)
         return found[np.isfinite(found["height"])]
 
-    near = against_all(clusters, best, "id bigint, other bigint, height double", block_rows, count)
-    low, high = F.least("id", "other"), F.greatest("id", "other")
-    return near.groupBy("id").agg(F.min(F.struct("height", low.alias("lo"), high.alias("hi"))).alias("_near")).select(
-        "_near.lo", "_near.hi", "_near.height"
-    )
+    near = against(left, right, best, "id bigint, other bigint, height double", block_rows, counts)
+    return near.select("id", F.least("id", "other").alias("lo"), F.greatest("id", "other").alias("hi"), "height")
+
+
+def _smallest(near: DataFrame) -> DataFrame:
+    picked = near.groupBy("id").agg(F.min(F.struct("height", "lo", "hi")).alias("_near"))
+    return picked.select("id", "_near.lo", "_near.hi", "_near.height")
+
+
+def _refreshed(clusters: DataFrame, near: DataFrame, mutual: DataFrame, block_rows: int) -> tuple[DataFrame, int]:
+    """The nearest neighbours after a round, and the pairs looked at for them.
+
+    A merged cluster is no nearer to a third one than its nearer part was. So where the
+    neighbour was not merged, it is still nearest, except that a merged cluster may tie with it.
+    """
+    ends = mutual.select(F.explode(F.array("lo", "hi")).alias("_end"))
+    other = F.when(F.col("id") == F.col("lo"), F.col("hi")).otherwise(F.col("lo"))
+    kept = near.withColumn("_other", other).join(ends, F.col("_other") == F.col("_end"), "left_anti").join(
+        ends, F.col("id") == F.col("_end"), "left_anti"
+    ).drop("_other")
+    kept = written(kept, "kept_neighbours")
+    marked = written(clusters.join(kept.select("id", F.lit(True).alias("_kept")), "id", "left").join(
+        mutual.select(F.col("lo").alias("id"), F.lit(True).alias("_merged")), "id", "left"
+    ), "marked_clusters")
+    columns = ["id", "vec", "size"]
+    sizes = marked.agg(F.count(F.lit(1)), F.count("_kept"), F.count("_merged")).head()
+    stale, rest, merged = (marked.filter(c).select(*columns) for c in ("_kept is null", "_kept is not null", "_merged is not null"))
+    looked = _nearest_of(stale, marked.select(*columns), (sizes[0] - sizes[1], sizes[0]), block_rows)
+    found = looked.unionByName(kept)
+    if sizes[1]:
+        found = found.unionByName(_nearest_of(rest, merged, (sizes[1], sizes[2]), block_rows))
+    return written(_smallest(found), "neighbours"), (sizes[0] - sizes[1]) * sizes[0] + sizes[1] * sizes[2]
+
+
+def micro_centroids(vectors: DataFrame, count: int) -> DataFrame:
+    """(vec, id, size, grupo): every weighted vector with the k-means group it falls into; at most ``count`` groups."""
+    weighted = vectors.withColumn("_features", array_to_vector("vec")).withColumn("_weight", F.col("size").cast("double"))
+    model = KMeans(
+        k=count, maxIter=MICRO_ROUNDS, seed=MICRO_SEED, featuresCol="_features", weightCol="_weight", predictionCol="grupo",
+    ).fit(weighted)
+    return model.transform(weighted).drop("_features", "_weight")
 
 
 def _finish_on_driver(rows: list[Row], step: int) -> list[tuple]:
@@ -123,11 +169,13 @@ def _finish_on_driver(rows: list[Row], step: int) -> list[tuple]:
     return merges
 
 
-def ward_tree(rows: DataFrame, finish: int = FINISH, block_rows: int = BLOCK_ROWS) -> WardTree:
-    """Exact Ward tree of ``rows`` (``id`` bigint unique, ``vec``).
+def ward_tree(rows: DataFrame, finish: int = FINISH, block_rows: int = BLOCK_ROWS, micro: int | None = None) -> WardTree:
+    """Ward tree of ``rows`` (``id`` bigint unique, ``vec``).
 
     Equal vectors are merged first, at height 0, into the smallest of their ids: one aggregate
-    instead of a round for each.
+    instead of a round for each. The tree is exact, unless there are more than ``micro``
+    distinct vectors: then so are the vectors of each of ``micro`` k-means groups, and the tree is
+    that of the groups' weighted centroids. It says nothing about what is inside a group.
     """
     leaves = stage(rows.select("id", F.col("vec").cast("array<double>").alias("vec")))
     clusters = stage(leaves.groupBy("vec").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("size")).select("id", "vec", "size"))
@@ -137,10 +185,24 @@ def ward_tree(rows: DataFrame, finish: int = FINISH, block_rows: int = BLOCK_ROW
             "lo", F.col("id").alias("hi"), F.lit(0.0).alias("height"), "size", F.lit(0).cast("bigint").alias("step")
         )
         step = 1
+    if micro is not None and count > micro:
+        grouped = stage(micro_centroids(clusters, micro))
+        weighted = Summarizer.metrics("mean").summary(array_to_vector("vec"), F.col("size").cast("double"))
+        centres = stage(grouped.groupBy("grupo").agg(F.min("id").alias("lo"), F.sum("size").alias("size"), weighted.alias("_s")))
+        clusters = stage(centres.select(F.col("lo").alias("id"), vector_to_array("_s.mean").alias("vec"), "size"))
+        inside = grouped.select("id", "grupo").join(centres.select("grupo", "lo", "size"), "grupo").filter("id <> lo").select(
+            "lo", F.col("id").alias("hi"), F.lit(0.0).alias("height"), "size", F.lit(step).cast("bigint").alias("step")
+        )
+        done = inside if done is None else done.unionByName(inside)
+        count, step = clusters.count(), step + 1
+    near, compared = None, []
     while count > finish:
-        mutual = stage(
-            _nearest_clusters(clusters, count, block_rows).groupBy("lo", "hi")
-            .agg(F.count(F.lit(1)).alias("_n"), F.min("height").alias("height")).filter("_n = 2").drop("_n")
+        if near is None:
+            near = written(_smallest(_nearest_of(clusters, clusters, (count, count), block_rows)), "neighbours")
+            compared.append(count * count)
+        # tables and not checkpoints: what a checkpoint knows of its rows piles up from round to round
+        mutual = written(
+            near.groupBy("lo", "hi").agg(F.count(F.lit(1)).alias("_n"), F.min("height").alias("height")).filter("_n = 2").drop("_n"), "mutual"
         )
         owner = mutual.select(F.col("lo").alias("id"), F.col("lo").alias("_into")).unionByName(
             mutual.select(F.col("hi").alias("id"), F.col("lo").alias("_into"))
@@ -153,16 +215,33 @@ def ward_tree(rows: DataFrame, finish: int = FINISH, block_rows: int = BLOCK_ROW
             F.slice("_parts", 2, 1), F.transform(F.col("_parts")[0]["vec"], lambda x: x * F.col("_parts")[0]["size"]),
             lambda total, p: F.zip_with(total, p["vec"], lambda t, x: t + x * p["size"]),
         )
-        clusters = stage(pairs.select(
+        clusters = written(pairs.select(
             "id", F.transform(weighted, lambda x: x / F.col("_size")).alias("vec"), F.col("_size").alias("size")
-        ))
+        ), "clusters")
         merged = mutual.join(clusters.select(F.col("id").alias("lo"), "size"), "lo").select(
             "lo", "hi", "height", "size", F.lit(step).cast("bigint").alias("step")
         )
         done = merged if done is None else done.unionByName(merged)
         count, step = clusters.count(), step + 1
+        if count > finish:
+            near, looked = _refreshed(clusters, near, mutual, block_rows)
+            compared.append(looked)
     finished = _finish_on_driver(clusters.select("id", "vec", "size").collect(), step)
-    return WardTree(leaves, None if done is None else stage(done), finished)
+    return WardTree(leaves, None if done is None else stage(done), finished, compared)
+
+
+def label_agreement(labels: DataFrame, one: str, two: str) -> DataFrame:
+    """Adjusted Rand index of two labellings of the same rows; one row. 1 if they part the rows alike.
+
+    From the counts of label pairs, so rows are read once and reduced where they are.
+    """
+    pairs = lambda n: F.sum(F.col(n).cast("double") * (F.col(n) - 1) / 2)
+    cells = stage(labels.groupBy(one, two).agg(F.count(F.lit(1)).alias("n")))
+    sides = {f"of_{i}": cells.groupBy(c).agg(F.sum("n").alias("n")).agg(pairs("n")).scalar() for i, c in enumerate((one, two))}
+    whole = cells.agg(pairs("n").alias("both"), F.sum("n").alias("rows")).withColumns(sides)
+    expected = F.col("of_0") * F.col("of_1") / (F.col("rows").cast("double") * (F.col("rows") - 1) / 2)
+    most = (F.col("of_0") + F.col("of_1")) / 2
+    return whole.select(F.when(most == expected, 1.0).otherwise((F.col("both") - expected) / F.when(most != expected, most - expected)).alias("acuerdo"))
 
 
 def _follow(pointers: DataFrame) -> DataFrame:
@@ -173,7 +252,7 @@ def _follow(pointers: DataFrame) -> DataFrame:
             F.col("a.id").alias("id"), F.coalesce("b.root", "a.root").alias("root"),
             F.col("b.root").isNotNull().alias("_moved"),
         )
-        moved = stage(further)
+        moved = written(further, "roots")
         if not moved.filter("_moved").limit(1).count():
             return moved.select("id", "root")
         current = moved.select("id", "root")
@@ -187,11 +266,11 @@ def merge_paths(links: DataFrame) -> DataFrame:
     current = stage(links.select("id", "root", F.array(F.struct("step", "id")).alias("path")))
     while True:
         a, b = current.alias("a"), current.alias("b")
-        moved = stage(a.join(b, F.col("a.root") == F.col("b.id"), "left").select(
+        moved = written(a.join(b, F.col("a.root") == F.col("b.id"), "left").select(
             F.col("a.id").alias("id"), F.coalesce("b.root", "a.root").alias("root"),
             F.when(F.col("b.id").isNull(), F.col("a.path")).otherwise(F.concat("b.path", "a.path")).alias("path"),
             F.col("b.id").isNotNull().alias("_moved"),
-        ))
+        ), "paths")
         current = moved.drop("_moved")
         if moved.filter("_moved").isEmpty():
             return current
@@ -264,49 +343,53 @@ def mean_silhouette(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     return silhouette_rows(rows, block_rows).agg(F.avg("silhouette").alias("silhouette"))
 
 
-def calinski_harabasz(rows: DataFrame) -> DataFrame:
-    """Between over within dispersion, each by its degrees of freedom; one row."""
-    stats = label_centroids(rows)
+def calinski_harabasz(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Between over within dispersion, each by its degrees of freedom; one row (for each ``by``)."""
+    stats = label_centroids(rows, by)
     # from here on there is one row per label and coordinate
-    cells = stats.select("label", "n", (F.col("spread") * F.col("n")).alias("w"), F.posexplode("centroid").alias("dim", "m"))
-    per_dim = cells.groupBy("dim").agg(
-        F.sum("n").alias("n"), F.count("label").alias("k"), F.sum("w").alias("w"),
+    cells = stats.select(*by, "label", "n", (F.col("spread") * F.col("n")).alias("w"), F.posexplode("centroid").alias("dim", "m"))
+    per_dim = cells.groupBy(*by, "dim").agg(
+        F.sum("n").alias("n"), F.count("label").alias("labels"), F.sum("w").alias("w"),
         (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("whole"),
     )
     # centroids far from zero would lose their digits in a difference of squares
     gap = F.col("m") - F.col("whole")
-    between = cells.join(per_dim.select("dim", "whole"), "dim").groupBy("dim").agg(F.sum(F.col("n") * gap * gap).alias("b"))
-    per_dim = per_dim.join(between, "dim")
-    whole = per_dim.agg(F.max("n").alias("n"), F.max("k").alias("k"), F.max("w").alias("w"), F.sum("b").alias("b"))
-    n, k, w, b = (F.col(c) for c in "nkwb")
+    between = cells.join(per_dim.select(*by, "dim", "whole"), [*by, "dim"]).groupBy(*by, "dim").agg(F.sum(F.col("n") * gap * gap).alias("b"))
+    per_dim = per_dim.join(between, [*by, "dim"])
+    whole = per_dim.groupBy(*by).agg(F.max("n").alias("n"), F.max("labels").alias("labels"), F.max("w").alias("w"), F.sum("b").alias("b"))
+    n, k, w, b = (F.col(c) for c in ("n", "labels", "w", "b"))
     score = F.when(w == 0, 1.0).otherwise(b / F.when(w != 0, w) * (n - k) / (k - 1))
-    return whole.select(score.alias("calinski_harabasz"))
+    return whole.select(*by, score.alias("calinski_harabasz"))
 
 
-def davies_bouldin(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Mean over clusters of the worst (scatter + scatter) / centroid distance; one row."""
-    typed = rows.select("label", F.col("vec").cast("array<double>").alias("vec"))
-    centers = stage(label_centroids(typed).select("label", "centroid"))
+def davies_bouldin(rows: DataFrame, block_rows: int = BLOCK_ROWS, by: tuple[str, ...] = ()) -> DataFrame:
+    """Mean over clusters of the worst (scatter + scatter) / centroid distance; one row (for each ``by``)."""
+    typed = rows.select(*by, "label", F.col("vec").cast("array<double>").alias("vec"))
+    centers = stage(label_centroids(typed, by).select(*by, "label", "centroid"))
     # one row per label: counted before it is broadcast
-    scatter = typed.join(broadcast_if_small(centers), "label").groupBy("label").agg(
+    scatter = typed.join(broadcast_if_small(centers), [*by, "label"]).groupBy(*by, "label").agg(
         F.avg(euclidean(F.col("vec"), F.col("centroid"))).alias("scatter")
     )
-    stats = stage(centers.join(scatter, "label").select(F.col("label").alias("id"), F.col("centroid").alias("vec"), "scatter"))
-    id_type = dict(stats.dtypes)["id"]
+    # the labels of one labelling are compared with one another only
+    stats = stage(centers.join(scatter, [*by, "label"]).select(
+        F.struct(*by, "label").alias("key"), F.xxhash64(F.lit(0), *by).alias("cut"), F.xxhash64(*by, "label").alias("id"), F.col("centroid").alias("vec"), "scatter"
+    ))
 
     def worst(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         ids, spread = left["id"].to_numpy(), left["scatter"].to_numpy()
         parts = [pd.DataFrame({"id": ids[:0], "ratio": spread[:0]})]
-        for start, dist in distance_chunks(matrix(left["vec"]), matrix(right["vec"])):
+        for start, dist in distance_chunks(matrix(left["vec"]), matrix(right["vec"])) if len(left) and len(right) else ():
             own, s = ids[start:start + len(dist)], spread[start:start + len(dist), None]
             with np.errstate(divide="ignore", invalid="ignore"):
                 ratio = (s + right["scatter"].to_numpy()[None, :]) / np.where(dist == 0, np.inf, dist)
             ratio[own[:, None] == right["id"].to_numpy()[None, :]] = 0.0
+            ratio[left["cut"].to_numpy()[start:start + len(dist), None] != right["cut"].to_numpy()[None, :]] = 0.0
             parts.append(pd.DataFrame({"id": own, "ratio": ratio.max(axis=1)}))
         return pd.concat(parts)
 
-    found = against_all(stats, worst, f"id {id_type}, ratio double", block_rows)
-    return found.groupBy("id").agg(F.max("ratio").alias("ratio")).agg(F.avg("ratio").alias("davies_bouldin"))
+    found = against_all(stats.select("id", "cut", "vec", "scatter"), worst, "id bigint, ratio double", block_rows)
+    ratios = found.groupBy("id").agg(F.max("ratio").alias("ratio")).join(stats.select("id", "key"), "id")
+    return ratios.groupBy(*[F.col("key")[c].alias(c) for c in by]).agg(F.avg("ratio").alias("davies_bouldin"))
 
 
 def principal_components(rows: DataFrame) -> tuple[DataFrame, tuple[float, float]]:
@@ -333,6 +416,7 @@ class ClusterAnalysis:
 
     profile: DataFrame
     clr_features: DataFrame
+    ids: DataFrame  # name and id in the tree: the place of the name
     tree: WardTree
     silhouette_scores: DataFrame
     selected_cluster_count: int
@@ -344,7 +428,7 @@ class ClusterAnalysis:
     @property
     def ordered_municipalities(self) -> DataFrame:
         """(name, orden): municipalities in the order of the tree."""
-        rows = self.profile.select(NAME, F.xxhash64(NAME).alias("id")).join(leaf_positions(self.tree), "id")
+        rows = self.ids.join(leaf_positions(self.tree), "id")
         order = [F.col("rama").asc(), F.col("paso").asc(), F.col(NAME).asc()]
         return spread_row_number(rows, [], order, "orden").select(NAME, "orden")
 
@@ -366,36 +450,43 @@ def candidate_counts(counts: Collection[int], samples: int, requested: int | Non
     return wanted
 
 
-def score_cuts(labelled: DataFrame, counts: Collection[int], block_rows: int = BLOCK_ROWS) -> list[tuple]:
-    """(k, silhouette, Calinski-Harabasz, Davies-Bouldin) per candidate; counts are few."""
-    scores = []
-    for k in counts:
-        rows = labelled.filter(F.col("k") == k)
-        scores.append((
-            k, mean_silhouette(rows, block_rows).head()[0], calinski_harabasz(rows).head()[0],
-            davies_bouldin(rows, block_rows).head()[0],
-        ))
-    return scores
+def score_cuts(labelled: DataFrame, counts: Collection[int], block_rows: int = BLOCK_ROWS) -> tuple[list[tuple], DataFrame]:
+    """(k, silhouette, Calinski-Harabasz, Davies-Bouldin) per candidate, and the silhouettes (id, k, silhouette) of all rows.
+
+    ``labelled`` has id, k, label and vec. Every distance is computed once for all candidates.
+    """
+    wanted = sorted(set(counts))
+    labels = F.transform(F.array_sort(F.collect_list(F.struct("k", "label"))), lambda x: x["label"])
+    # as many labels as candidates
+    wide = labelled.filter(F.col("k").isin(*wanted)).groupBy("id").agg(F.any_value("vec").alias("vec"), labels.alias("labels"))
+    position = F.element_at(F.array(*[F.lit(k).cast("bigint") for k in wanted]), F.col("corte") + 1)
+    silhouettes = stage(silhouette_cuts(wide, block_rows).select("id", position.alias("k"), "silhouette"))
+    mean = silhouettes.groupBy("k").agg(F.avg("silhouette").alias("silhouette"))
+    rows = labelled.filter(F.col("k").isin(*wanted)).select("id", F.col("k").cast("bigint").alias("k"), "label", "vec")
+    found = mean.join(calinski_harabasz(rows, ("k",)), "k").join(davies_bouldin(rows, block_rows, ("k",)), "k")
+    # a row per candidate
+    return [tuple(r) for r in found.select("k", "silhouette", "calinski_harabasz", "davies_bouldin").orderBy("k").collect()], silhouettes
 
 
 def cluster_municipalities_by_income_profile(
     income: DataFrame, *, cluster_counts: Collection[int] = range(2, 7), cluster_count: int | None = None,
-    zero_replacement: float = 0.001, finish: int = FINISH, block_rows: int = BLOCK_ROWS,
+    zero_replacement: float = 0.001, finish: int = FINISH, block_rows: int = BLOCK_ROWS, micro: int | None = MICRO,
 ) -> ClusterAnalysis:
-    """Ward clusters of the log-ratio profiles; the best silhouette picks k unless k is given."""
+    """Ward clusters of the log-ratio profiles; the best silhouette picks k unless k is given.
+
+    The tree is exact up to ``micro`` different profiles, and at any size with None (see ``ward_tree``).
+    """
     profile = stage(ensure_municipality_income_profile(income))
     samples = profile.count()
     if samples < 3:
         raise ContractError("at least three municipalities are needed")
     counts = candidate_counts(cluster_counts, samples, cluster_count)
     features = clr_features(profile, zero_replacement)
-    # ids from the name: stable under recomputation; a collision stops the job in the tree's joins
-    ids = stage(features.withColumn("id", F.xxhash64(NAME)).withColumnRenamed("clr", "vec"))
-    if ids.select("id").distinct().count() != samples:
-        raise ContractError("two municipality names share a hash")
-    tree = ward_tree(ids, finish, block_rows)
+    # ids are places in the order of names: the tree, its ties and its order depend on names alone
+    ids = stage(spread_row_number(features, [], [F.col(NAME).asc()], "id").withColumnRenamed("clr", "vec"))
+    tree = ward_tree(ids, finish, block_rows, micro)
     labelled = stage(cut_tree(tree, counts).join(ids, "id"))
-    scores = score_cuts(labelled, counts, block_rows)
+    scores, all_silhouettes = score_cuts(labelled, counts, block_rows)
     best = int(cluster_count) if cluster_count is not None else max(scores, key=lambda s: (s[1], -s[0]))[0]
     spark = income.sparkSession
     score_table = literal_rows(spark, scores, SCORE_SCHEMA)
@@ -405,7 +496,7 @@ def cluster_municipalities_by_income_profile(
     firsts = sorted((r["first"], r["label"]) for r in chosen.groupBy("label").agg(F.min(NAME).alias("first")).collect())
     numbers = F.create_map(*[x for i, (_, label) in enumerate(firsts, 1) for x in (F.lit(label), F.lit(i).cast("bigint"))])
     numbered = chosen.withColumn("cluster_id", F.element_at(numbers, F.col("label"))).select("id", NAME, "cluster_id", "vec")
-    silhouettes = silhouette_rows(numbered.withColumnRenamed("cluster_id", "label"), block_rows).select("id", "silhouette")
+    silhouettes = all_silhouettes.filter(F.col("k") == best).select("id", "silhouette")
     projection, ratios = principal_components(ids)
     assignments = stage(
         numbered.drop("vec").join(silhouettes, "id").join(projection, "id").join(profile.select(NAME, TOTAL), NAME)
@@ -417,7 +508,7 @@ def cluster_municipalities_by_income_profile(
     )
     summary = cluster_summary(profile.join(assignments.select(NAME, "cluster_id"), NAME))
     return ClusterAnalysis(
-        profile, features, tree, score_table, best, assignments, summary,
+        profile, features, ids.select(NAME, "id"), tree, score_table, best, assignments, summary,
         assignments.select(NAME, "CP1", "CP2"), ratios,
     )
 
@@ -458,18 +549,15 @@ def find_similar_municipalities(analysis: ClusterAnalysis, municipality: str, *,
     if not 1 <= int(n_neighbors) < analysis.clr_features.count():
         raise ContractError("n_neighbors must lie between 1 and the number of municipalities minus 1")
     target, vector = found[0][NAME], F.array(*[F.lit(float(x)) for x in found[0]["clr"]])
-    ranked = (
+    listed = stage(
         analysis.clr_features.filter(F.col(NAME) != target)
         .select(NAME, euclidean(F.col("clr"), vector).alias("Distancia CLR"))
-        .orderBy("Distancia CLR", NAME).limit(int(n_neighbors)).collect()
-    )
-    spark = analysis.assignments.sparkSession
-    listed = literal_rows(
-        spark, [(target, r[0], i, r[1]) for i, r in enumerate(ranked, 1)],
-        f"`Comuna de referencia` string, `{NAME}` string, `Ranking de similitud` bigint, `Distancia CLR` double",
+        .orderBy("Distancia CLR", NAME).limit(int(n_neighbors))
     )
+    order = [F.col("Distancia CLR").asc(), F.col(NAME).asc()]
+    ranked = spread_row_number(listed, [], order, "Ranking de similitud").withColumn("Comuna de referencia", F.lit(target))
     details = analysis.assignments.select(NAME, "cluster_id", "Clúster", "Silhouette")
-    return details.join(F.broadcast(listed), NAME).select(
+    return details.join(broadcast_if_small(ranked), NAME).select(
         "Comuna de referencia", NAME, "Ranking de similitud", "Distancia CLR", "cluster_id", "Clúster", "Silhouette"
     ).orderBy("Ranking de similitud")
 

@@ -1,14 +1,15 @@
 """Row-against-all-rows computations over vectors, in blocks of bounded size.
 
 Rows are dealt into blocks by a hash of their id, so every block has about the same number
-of rows whatever the data. Each ordered pair of blocks is one group of a co-grouped Arrow
-job: it sees two bounded blocks and emits a *reduced* result per left row (sums, or the best
-k), never the pairs. The work is quadratic, as the definitions are; memory per task is not.
+of rows whatever the data. A pair of blocks is one group of an Arrow job: it sees two bounded
+blocks and emits *reduced* results (sums, or the best k), never the pairs. Distances are
+symmetric, so unordered pairs of blocks are enough where both sides want a result
+(``triangular``). Neighbours skip the pairs of blocks that pivots show to be too far apart.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,9 +18,10 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arqueo.functions.numeric import fail_when
+from arqueo.operators.staging import written
 
 BLOCK_ROWS = 2_048
+PIVOTS = 256
 CHUNK_CELLS = 4_000_000
 
 
@@ -38,21 +40,55 @@ def matrix(vectors: pd.Series) -> np.ndarray:
     return np.stack(vectors.to_numpy()).astype(float)
 
 
+def _dealt(rows: DataFrame, count: int, block_rows: int) -> tuple[DataFrame, int]:
+    blocks = max(1, -(-count // block_rows))
+    return rows.withColumn("_block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")), blocks
+
+
+def against(
+    left: DataFrame, right: DataFrame, reduce_block: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str,
+    block_rows: int = BLOCK_ROWS, counts: tuple[int, int] | None = None,
+) -> DataFrame:
+    """Apply ``reduce_block`` to every pair of a block of ``left`` and a block of ``right`` (both have ``id``)."""
+    n, m = counts or (left.count(), right.count())
+    (one, blocks), (two, others) = _dealt(left, n, block_rows), _dealt(right, m, block_rows)
+    one = one.withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+    # fresh column identities: both sides may come from the same plan
+    two = two.select(*[F.col(c).alias(c if c != "_block" else "_other") for c in two.columns])
+    two = two.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    keys = ["_block", "_other"]
+    return one.groupBy(*keys).cogroup(two.groupBy(*keys)).applyInPandas(reduce_block, schema)
+
+
 def against_all(
     rows: DataFrame, reduce_block: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str,
     block_rows: int = BLOCK_ROWS, count: int | None = None,
 ) -> DataFrame:
     """Apply ``reduce_block`` to every ordered pair of blocks of ``rows`` (which have ``id``)."""
     n = rows.count() if count is None else count
-    blocks = max(1, -(-n // block_rows))
-    dealt = rows.withColumn("_block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = dealt.withColumn("_other", others)
-    # fresh column identities: both sides come from the same plan
-    fresh = dealt.select(*[F.col(c).alias(c if c != "_block" else "_other") for c in dealt.columns])
-    right = fresh.withColumn("_block", others)
-    keys = ["_block", "_other"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(reduce_block, schema)
+    return against(rows, rows, reduce_block, schema, block_rows, (n, n))
+
+
+def triangular(
+    rows: DataFrame, reduce_tile: Callable[[pd.DataFrame, pd.DataFrame, bool], pd.DataFrame], schema: str,
+    block_rows: int = BLOCK_ROWS, count: int | None = None,
+) -> DataFrame:
+    """Apply ``reduce_tile`` to every unordered pair of blocks: it returns the results of both sides.
+
+    Its last argument tells that the two blocks are the same. Every row is sent once to each
+    block, where ``against_all`` sends it twice.
+    """
+    dealt, blocks = _dealt(rows, rows.count() if count is None else count, block_rows)
+    tiled = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumns(
+        {"_low": F.least("_block", "_other"), "_high": F.greatest("_block", "_other")}
+    )
+
+    def tile(part: pd.DataFrame) -> pd.DataFrame:
+        low, high = int(part["_low"].iloc[0]), int(part["_high"].iloc[0])
+        first = part[part["_block"] == low]
+        return reduce_tile(first, first if low == high else part[part["_block"] == high], low == high)
+
+    return tiled.groupBy("_low", "_high").applyInPandas(tile, schema)
 
 
 def euclidean(left: Column, right: Column) -> Column:
@@ -62,14 +98,7 @@ def euclidean(left: Column, right: Column) -> Column:
     ))
 
 
-def nearest_rows(rows: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """The k nearest other rows of every row: (id, vecino, distancia, puesto); ties by id.
-
-    ``rows`` has a unique sortable ``id`` and ``vec``. Each block keeps its own best k, so the
-    final ranking sees at most k rows per block and id, and loses none of the true k.
-    """
-    id_type = dict(rows.dtypes)["id"]
-
+def _best_of(k: int):
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         right = right.sort_values("id", kind="stable")
         ids, names = left["id"].to_numpy(), right["id"].to_numpy()
@@ -86,48 +115,153 @@ def nearest_rows(rows: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataF
         result = pd.concat(parts) if parts else pd.DataFrame({"id": ids[:0], "vecino": ids[:0], "distancia": np.empty(0)})
         return result[np.isfinite(result["distancia"])]
 
-    candidates = against_all(
-        rows.select("id", F.col("vec").cast("array<double>").alias("vec")), best,
-        f"id {id_type}, vecino {id_type}, distancia double", block_rows,
-    )
+    return best
+
+
+def nearest_rows(rows: DataFrame, k: int, block_rows: int = BLOCK_ROWS, pivots: int = PIVOTS) -> DataFrame:
+    """The k nearest other rows of every row: (id, vecino, distancia, puesto); ties by id.
+
+    ``rows`` has a unique sortable ``id`` and ``vec``. Each block keeps its own best k, so the
+    final ranking sees at most k rows per block and id, and loses none of the true k. More than
+    one block of rows goes through ``NeighbourSearch``, which skips blocks that cannot matter.
+    """
+    typed = rows.select("id", F.col("vec").cast("array<double>").alias("vec"))
+    n = typed.count()
+    if n <= block_rows:
+        candidates = against_all(typed, _best_of(k), f"id {dict(rows.dtypes)['id']}, vecino {dict(rows.dtypes)['id']}, distancia double", block_rows, n)
+    else:
+        candidates = NeighbourSearch(typed, n, k, block_rows, pivots).candidates()
     place = Window.partitionBy("id").orderBy("distancia", "vecino")
     return candidates.withColumn("puesto", F.row_number().over(place).cast("bigint")).filter(F.col("puesto") <= k)
 
 
-def silhouette_rows(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Euclidean silhouette of every row: (id, label, silhouette); singletons get 0.
+class NeighbourSearch:
+    """Exact nearest neighbours with pivots.
 
-    ``rows`` has a unique ``id``, ``vec`` and ``label``. Blocks emit one distance sum per
-    (row, label), so labels of any size are handled alike.
+    Pivots are rows of least hash, at most ``pivots`` of them. Every row belongs to its nearest
+    pivot; a pivot's rows are dealt into blocks of at most about ``block_rows``, so a dense place
+    is many blocks and not one. The k-th distance inside a row's own block bounds its k-th neighbour
+    from above. By the triangle inequality no row of pivot p is nearer to x than d(x, p) minus the
+    radius of p: a row is only sent to the blocks for which that does not exceed its bound, and
+    a block only to those that some row asks for.
     """
-    types = dict(rows.dtypes)
 
-    def sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        labels, position = np.unique(right["label"].to_numpy(), return_inverse=True)
-        member = np.zeros((len(right), len(labels)))
-        member[np.arange(len(right)), position] = 1.0
-        parts = []
-        if len(left) and len(right):
-            for start, dist in distance_chunks(matrix(left["vec"]), matrix(right["vec"])):
-                total = dist @ member
-                part = left.iloc[start:start + len(dist)]
-                parts.append(pd.DataFrame({
-                    "id": np.repeat(part["id"].to_numpy(), len(labels)),
-                    "label": np.repeat(part["label"].to_numpy(), len(labels)),
-                    "other": np.tile(labels, len(dist)), "distance": total.ravel(),
-                    "n": np.tile(member.sum(axis=0).astype(int), len(dist)),
+    def __init__(self, rows: DataFrame, count: int, k: int, block_rows: int, pivots: int):
+        self.k, self.id_type = k, dict(rows.dtypes)["id"]
+        chosen = rows.orderBy(F.xxhash64("id"), "id").limit(max(1, min(pivots, count // 2))).select("vec").collect()
+        self.centres = np.unique(np.array([r["vec"] for r in chosen], dtype=float), axis=0)
+        centres = self.centres
+
+        def owned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                own, far = np.empty(len(batch), dtype=np.int64), np.empty(len(batch))
+                if len(batch):
+                    for start, dist in distance_chunks(matrix(batch["vec"]), centres):
+                        part = slice(start, start + len(dist))
+                        own[part] = dist.argmin(axis=1)
+                        far[part] = dist.min(axis=1)
+                yield batch.assign(pivot=own.astype(np.int32), far=far)
+
+        cells = written(rows.mapInPandas(owned, f"id {self.id_type}, vec array<double>, pivot int, far double"), "pivot_cells")
+        # at most one row per pivot
+        stats = {r["pivot"]: r for r in cells.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius")).collect()}
+        self.radius = np.array([stats[p]["radius"] if p in stats else -np.inf for p in range(len(centres))])
+        self.blocks = np.array([max(1, -(-stats[p]["n"] // block_rows)) if p in stats else 0 for p in range(len(centres))])
+        self.first = np.cumsum(self.blocks) - self.blocks
+        first = F.element_at(F.array(*[F.lit(int(x)) for x in self.first]), F.col("pivot") + 1)
+        many = F.element_at(F.array(*[F.lit(int(x)) for x in np.maximum(self.blocks, 1)]), F.col("pivot") + 1)
+        self.cells = cells.select("id", "vec", (first + F.pmod(F.xxhash64("id"), many)).cast("int").alias("block"))
+        self.total = int(self.blocks.sum())
+
+    def wanted(self) -> DataFrame:
+        """(id, vec, block, other): every row and the blocks that may hold one of its k nearest."""
+        k, centres, radius, blocks, firsts = self.k, self.centres, self.radius, self.blocks, self.first
+
+        def bound(part: pd.DataFrame) -> pd.DataFrame:
+            vectors, bounds = matrix(part["vec"]), np.full(len(part), np.inf)
+            if len(part) > k:
+                for start, dist in distance_chunks(vectors, vectors):
+                    # itself is among them, at distance 0
+                    bounds[start:start + len(dist)] = np.partition(dist, k, axis=1)[:, k]
+            return part.assign(bound=bounds)
+
+        def asking(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if not len(batch):
+                    continue
+                for start, dist in distance_chunks(matrix(batch["vec"]), centres):
+                    part = batch.iloc[start:start + len(dist)]
+                    limit = part["bound"].to_numpy()[:, None]
+                    # rounding may not lose a row that lies exactly on its bound
+                    row, pivot = np.nonzero((dist - radius[None, :] <= limit * (1 + 1e-9) + 1e-12) & (blocks > 0)[None, :])
+                    each = blocks[pivot]
+                    other = np.repeat(firsts[pivot], each) + (np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each))
+                    yield part.drop(columns="bound").iloc[np.repeat(row, each)].assign(other=other.astype(np.int32))
+
+        kind = f"id {self.id_type}, vec array<double>, block int"
+        bounded = self.cells.groupBy("block").applyInPandas(bound, f"{kind}, bound double")
+        return written(bounded.mapInPandas(asking, f"{kind}, other int"), "asking_rows")
+
+    def candidates(self) -> DataFrame:
+        """At most k rows (id, vecino, distancia) of each block that a row was sent to."""
+        wanted = self.wanted()
+        pairs = written(wanted.select("block", "other").distinct(), "block_pairs")
+        asked = self.cells.withColumnRenamed("block", "_at").join(pairs, F.col("_at") == F.col("other")).select("block", "other", "id", "vec")
+        keys = ["block", "other"]
+        return wanted.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(
+            _best_of(self.k), f"id {self.id_type}, vecino {self.id_type}, distancia double"
+        )
+
+
+def silhouette_cuts(rows: DataFrame, block_rows: int = BLOCK_ROWS, count: int | None = None) -> DataFrame:
+    """Euclidean silhouettes of every row under several labellings: (id, corte, label, silhouette); singletons get 0.
+
+    ``rows`` has a unique ``id``, ``vec`` and ``labels``, an array with one label per labelling;
+    ``corte`` is the position in it. The distances of a pair of blocks are computed once for all
+    labellings and for both blocks. Tiles emit one distance sum per (row, labelling, label), so
+    labels of any size are handled alike.
+    """
+    types = dict(rows.dtypes)
+    label_type = types["labels"].removeprefix("array<").removesuffix(">")
+
+    def sums(a: pd.DataFrame, b: pd.DataFrame, same: bool) -> pd.DataFrame:
+        sides = [(a, b)] if same else [(a, b), (b, a)]
+        own = [np.array(x["labels"].tolist(), dtype=object).reshape(len(x), -1) for x in (a, b)]
+        cuts = own[0].shape[1]
+        coded = [[np.unique(own[side][:, c], return_inverse=True) for c in range(cuts)] for side in (0, 1)]
+        member = [[np.eye(len(names))[code] for names, code in coded[side]] for side in (0, 1)]
+        # [side][cut]: distance sums of the rows of that side to the labels of the other one
+        total = [[np.zeros((len(own[side]), len(coded[1 - side][c][0]))) for c in range(cuts)] for side in (0, 1)]
+        for start, dist in distance_chunks(matrix(a["vec"]), matrix(b["vec"])):
+            part = slice(start, start + len(dist))
+            for c in range(cuts):
+                total[0][c][part] = dist @ member[1][c]
+                if not same:
+                    total[1][c] += dist.T @ member[0][c][part]
+        out = []
+        for side, (rows_here, _) in enumerate(sides):
+            ids = rows_here["id"].to_numpy()
+            for c in range(cuts):
+                names, code = coded[1 - side][c]
+                out.append(pd.DataFrame({
+                    "id": np.repeat(ids, len(names)), "corte": np.int32(c), "label": np.repeat(own[side][:, c], len(names)),
+                    "other": np.tile(names, len(ids)), "distance": total[side][c].ravel(),
+                    "n": np.tile(np.bincount(code, minlength=len(names)), len(ids)),
                 }))
-        if parts:
-            return pd.concat(parts)
-        return pd.DataFrame({c: [] for c in ("id", "label", "other", "distance", "n")})
+        return pd.concat(out)
+
+    def tile(a: pd.DataFrame, b: pd.DataFrame, same: bool) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({c: [] for c in ("id", "corte", "label", "other", "distance", "n")})
+        return sums(a, b, same)
 
-    partial = against_all(
-        rows.select("id", F.col("vec").cast("array<double>").alias("vec"), "label"), sums,
-        f"id {types['id']}, label {types['label']}, other {types['label']}, distance double, n bigint", block_rows,
+    partial = triangular(
+        rows.select("id", F.col("vec").cast("array<double>").alias("vec"), "labels"), tile,
+        f"id {types['id']}, corte int, label {label_type}, other {label_type}, distance double, n bigint", block_rows, count,
     )
-    per_label = partial.groupBy("id", "label", "other").agg(F.sum("distance").alias("distance"), F.sum("n").alias("n"))
+    per_label = partial.groupBy("id", "corte", "label", "other").agg(F.sum("distance").alias("distance"), F.sum("n").alias("n"))
     own = F.col("label") == F.col("other")
-    per_row = per_label.groupBy("id", "label").agg(
+    per_row = per_label.groupBy("id", "corte", "label").agg(
         F.max(F.when(own & (F.col("n") > 1), F.col("distance") / (F.col("n") - 1))).alias("a"),
         F.min(F.when(~own, F.col("distance") / F.col("n"))).alias("b"),
     )
@@ -135,47 +269,64 @@ def silhouette_rows(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     value = F.when(F.col("a").isNull() | F.col("b").isNull() | (widest == 0), 0.0).otherwise(
         (F.col("b") - F.col("a")) / F.when(widest != 0, widest)
     )
-    return per_row.select("id", "label", value.alias("silhouette"))
+    return per_row.select("id", "corte", "label", value.alias("silhouette"))
+
+
+def silhouette_rows(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Euclidean silhouette of every row under one labelling: (id, label, silhouette); singletons get 0."""
+    one = rows.select("id", "vec", F.array("label").alias("labels"))
+    return silhouette_cuts(one, block_rows).select("id", "label", "silhouette")
 
 
-def squared_silhouette_rows(rows: DataFrame) -> DataFrame:
-    """The linear-time variant on *squared* distances, from per-label sums: another number.
+def squared_silhouette_rows(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The variant on *squared* distances, from per-label sums: another number, linear in the rows for few labels.
 
-    Labels are few next to rows; their statistics are joined back on a packed one-row table
-    whose size is checked.
+    Rows meet the statistics of all labels in blocks, so neither side has a bound.
     """
+    types = dict(rows.dtypes)
     typed = rows.select("id", F.col("vec").cast("array<double>").alias("vec"), "label")
-    stats = label_centroids(typed)
-    packed = stats.agg(F.collect_list(F.struct("label", "n", "centroid", "spread")).alias("_labels"))
-    checked = fail_when(F.size("_labels") > 10_000, "too many labels for packed statistics", F.col("_labels"))
-    with_labels = typed.withColumn("_labels", packed.select(checked).scalar())
+    stats = written(label_centroids(typed).withColumn("id", F.xxhash64("label")), "label_stats")
 
-    def mean_square(stat: Column) -> Column:
-        gap = F.zip_with(F.col("vec"), stat["centroid"], lambda a, b: (a - b) * (a - b))
-        return F.aggregate(gap, F.lit(0.0), lambda s, x: s + x) + stat["spread"]
+    def mean_squares(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        parts = [pd.DataFrame({"id": left["id"][:0], "label": left["label"][:0], "own": [], "n": [], "other": []})]
+        if len(left) and len(right):
+            names, n, spread = right["label"].to_numpy(), right["n"].to_numpy(), right["spread"].to_numpy()
+            for start, dist in distance_chunks(matrix(left["vec"]), matrix(right["centroid"])):
+                part = left.iloc[start:start + len(dist)]
+                square = dist ** 2 + spread[None, :]
+                mine = part["label"].to_numpy()[:, None] == names[None, :]
+                here = mine.any(axis=1)
+                parts.append(pd.DataFrame({
+                    "id": part["id"].to_numpy(), "label": part["label"].to_numpy(),
+                    "own": np.where(here, np.where(mine, square, 0.0).sum(axis=1), np.nan), "n": np.where(here, np.where(mine, n, 0).sum(axis=1), 0),
+                    "other": np.where(mine, np.inf, square).min(axis=1),
+                }))
+        return pd.concat(parts)
 
-    labels = F.col("_labels")
-    own = F.element_at(F.filter(labels, lambda s: s["label"] == F.col("label")), 1)
-    others = F.filter(labels, lambda s: s["label"] != F.col("label"))
-    a = mean_square(own) * own["n"] / (own["n"] - 1)
-    b = F.array_min(F.transform(others, mean_square))
-    value = F.when((own["n"] <= 1) | (F.size(others) == 0), 0.0).otherwise((b - a) / F.greatest(a, b))
-    return with_labels.select("id", "label", value.alias("silhouette"))
+    found = against(typed, stats, mean_squares, f"id {types['id']}, label {types['label']}, own double, n bigint, other double", block_rows)
+    # one row per block of labels, and one of them has the row's own label
+    whole = found.groupBy("id", "label").agg(
+        F.max(F.when(F.col("n") > 0, F.col("own"))).alias("own"), F.max("n").alias("n"), F.min("other").alias("b")
+    )
+    a = F.col("own") * F.col("n") / (F.col("n") - 1)
+    lonely = (F.col("n") <= 1) | (F.col("b") == float("inf"))
+    value = F.when(lonely, 0.0).otherwise((F.col("b") - a) / F.greatest(a, "b"))
+    return whole.select("id", "label", value.alias("silhouette"))
 
 
-def label_centroids(rows: DataFrame) -> DataFrame:
-    """Per label: members, centroid, and mean squared distance to it (``spread``).
+def label_centroids(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Per label (of each ``by``): members, centroid, and mean squared distance to it (``spread``).
 
     One vector aggregate with partial sums: a label that holds a large part of the rows is
     reduced where its rows are.
     """
     vector = array_to_vector(F.col("vec").cast("array<double>"))
-    moments = rows.groupBy("label").agg(
+    moments = rows.groupBy(*by, "label").agg(
         Summarizer.metrics("mean", "variance", "count").summary(vector).alias("_s")
     )
     # the summary gives sample variances; the spread is over all members
     variance = F.aggregate(vector_to_array("_s.variance"), F.lit(0.0), lambda s, x: s + x)
     return moments.select(
-        "label", F.col("_s.count").alias("n"), vector_to_array("_s.mean").alias("centroid"),
+        *by, "label", F.col("_s.count").alias("n"), vector_to_array("_s.mean").alias("centroid"),
         (variance * (F.col("_s.count") - 1) / F.col("_s.count")).alias("spread"),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arqueo import rules
@@ -15,6 +15,7 @@ from arqueo.operators import ranking as rank_ops
 from arqueo.operators import reshape, scope, staging, variability
 from arqueo.plans import frames, lens
 from arqueo.plans import oracle as o
+from arqueo.plans import ward_sql as w
 from arqueo.schema import (
     CODE, GROUP, INCOME_GROUPS, MONTHS, NAME, REGION, SUBASSIGNMENT, SUBTITLE, TOTAL_PARTS, YEAR,
 )
@@ -561,14 +562,63 @@ def _analysis(spark, sf, **options) -> clusters.ClusterAnalysis:
     return clusters.cluster_municipalities_by_income_profile(_profile(spark, sf), **options)
 
 
-@query("cluster_assign")
+def _ward(tail: str, counts=(2, 3, 4), requested: int | None = None) -> str:
+    return o.sql(tail, o.PROFILE, *w.analysis(counts, requested))
+
+
+CHOSEN = "FROM wk JOIN chosen USING (k) JOIN ss USING (k, id) JOIN wl USING (id) JOIN pf USING (name) JOIN cp USING (id)"
+CLUSTER = """cluster_id, 'Clúster ' || cluster_id AS "Clúster\""""
+AMOUNT = 'round(tot / 1e9, 11) AS "Ingreso total (mil MM CLP)"'
+SIX = ("Silhouette", "CP1", "CP2")
+
+
+@query("cluster_assign", _ward(f"""SELECT name AS "Nombre Municipio", {CLUSTER}, {AMOUNT}, round(sil, 6) AS "Silhouette",
+  round(cp1, 6) AS "CP1", round(cp2, 6) AS "CP2" {CHOSEN}"""))
 def cluster_assign(spark, sf):
-    return _analysis(spark, sf, cluster_counts=[2, 3, 4]).assignments
+    found = _analysis(spark, sf, cluster_counts=[2, 3, 4]).assignments
+    return rounded(rounded(found, *SIX), "Ingreso total (mil MM CLP)", places=11)
 
 
-@query("cluster_scores")
+@query("cluster_assign_requested", _ward(f"""SELECT name AS "Nombre Municipio", {CLUSTER}, round(sil, 6) AS "Silhouette" {CHOSEN}""", (2, 3), 5))
+def cluster_assign_requested(spark, sf):
+    """Five clusters asked for, which no candidate names: they are added and scored; all merges are done on Spark."""
+    found = _analysis(spark, sf, cluster_counts=[2, 3], cluster_count=5, finish=2, block_rows=8).assignments
+    return rounded(found.select(NAME, "cluster_id", "Clúster", "Silhouette"), "Silhouette")
+
+
+@query("cluster_scores", _ward("""SELECT k AS "Número de clústeres", round(sil, 6) AS "Silhouette", round(ch, 6) AS "Calinski-Harabasz",
+  round(db, 6) AS "Davies-Bouldin" FROM sco""", range(2, 7)))
 def cluster_scores(spark, sf):
-    return _analysis(spark, sf).cluster_validation_scores
+    return rounded(_analysis(spark, sf).cluster_validation_scores, "Silhouette", "Calinski-Harabasz", "Davies-Bouldin")
+
+
+@query("cluster_years", o.sql("""SELECT name AS "Nombre Municipio", k, cluster_id FROM wk JOIN wl USING (id)""",
+                              o.YEAR_PROFILE, w.merges(), w.CUTS.format(counts="2, 3, 4, 5, 6")))
+def cluster_years(spark, sf):
+    """Ward over the profile of every (municipality, year), numbered by the smallest name; fewer profiles than micro-centroids."""
+    ids = _year_vectors(spark, sf)
+    tree = clusters.ward_tree(ids, finish=64, block_rows=64, micro=clusters.MICRO)
+    named = clusters.cut_tree(tree, range(2, 7)).join(ids, "id")
+    firsts = named.groupBy("k", "label").agg(F.min(NAME).alias("first"))
+    # at most six clusters of each cut
+    place = F.dense_rank().over(Window.partitionBy("k").orderBy("first")).cast("bigint")
+    return named.join(firsts.withColumn("cluster_id", place), ["k", "label"]).select(NAME, F.col("k").cast("bigint").alias("k"), "cluster_id")
+
+
+def _year_vectors(spark, sf) -> DataFrame:
+    rows = lens.budget(spark, sf).withColumn(NAME, F.concat(F.col(NAME), F.lit(" "), F.col(YEAR).cast("string")))
+    features = profiles.clr_features(profiles.build_municipality_income_profile(classify.classified_income(rows)))
+    return staging.stage(rank_ops.spread_row_number(features, [], [F.col(NAME).asc()], "id").withColumnRenamed("clr", "vec"))
+
+
+@query("cluster_years_micro")
+def cluster_years_micro(spark, sf):
+    """Agreement (adjusted Rand index) of Ward over 64 weighted micro-centroids with exact Ward, over (municipality, year) profiles."""
+    rows = _year_vectors(spark, sf)
+    exact, micro = (clusters.cut_tree(clusters.ward_tree(rows, micro=m), [2, 4, 6]) for m in (None, 64))
+    both = staging.stage(exact.withColumnRenamed("label", "uno").join(micro.withColumnRenamed("label", "otro"), ["id", "k"]))
+    found = [clusters.label_agreement(both.filter(F.col("k") == k), "uno", "otro").select(F.lit(k).alias("k"), "acuerdo") for k in (2, 4, 6)]
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 @query("cluster_summary", o.sql(f"""SELECT cluster_id, 'Clúster ' || cluster_id AS "Clúster", count(*) AS "Número de comunas",
@@ -597,14 +647,18 @@ def ward_labels(spark, sf):
     return clusters.cut_tree(clusters.ward_tree(_vectors(spark, sf), finish=128), range(2, 7))
 
 
-@query("pca")
+@query("pca", "WITH RECURSIVE " + o.EMB + ", wl AS (SELECT id, v FROM e), " + w.PCA + 'SELECT id, round(cp1, 6) AS "CP1", round(cp2, 6) AS "CP2" FROM cp')
 def pca(spark, sf):
-    return clusters.principal_components(_vectors(spark, sf))[0]
+    return rounded(clusters.principal_components(_vectors(spark, sf))[0], "CP1", "CP2")
 
 
-@query("similar_to_one")
+@query("similar_to_one", _ward("""SELECT 'NATION_4' AS "Comuna de referencia", l.name AS "Nombre Municipio", row_number() OVER (ORDER BY list_distance(l.v, t.v), l.name) AS "Ranking de similitud",
+  round(list_distance(l.v, t.v), 6) AS "Distancia CLR", cluster_id, 'Clúster ' || cluster_id AS "Clúster", round(sil, 6) AS "Silhouette"
+  FROM wl l JOIN wl t ON t.name = 'NATION_4' AND l.id <> t.id JOIN wk ON wk.id = l.id JOIN ss ON ss.k = wk.k AND ss.id = l.id
+  QUALIFY row_number() OVER (ORDER BY list_distance(l.v, t.v), l.name) <= 4""", (3,)))
 def similar_to_one(spark, sf):
-    return clusters.find_similar_municipalities(_analysis(spark, sf, cluster_counts=[3]), " nation_4 ", n_neighbors=4)
+    found = clusters.find_similar_municipalities(_analysis(spark, sf, cluster_counts=[3]), " nation_4 ", n_neighbors=4)
+    return rounded(found, "Distancia CLR", "Silhouette")
 
 
 # ---------------------------------------------------------------- maps and indices
@@ -757,9 +811,16 @@ def frame_municipality_amount(spark, sf):
     return rounded(frames.municipality_amount_frame(_profile(spark, sf)), "monto_mil_mm", places=11)
 
 
-@query("frame_log_scale")
+@query("frame_log_scale", o.sql("""SELECT log10(first) AS rango_minimo, log10(last) AS rango_maximo, marca, log10(marca) AS marca_log, printf('%g', marca) AS texto
+  FROM (SELECT unnest([1, 2, 5]) * pow(10.0, e) AS marca FROM (SELECT unnest(range(-12, 13)) AS e)) t,
+  (SELECT max(CASE WHEN m <= low THEN m END) AS first, min(CASE WHEN m >= high THEN m END) AS last FROM
+    (SELECT unnest([1, 2, 5]) * pow(10.0, e) AS m FROM (SELECT unnest(range(-12, 13)) AS e)),
+    (SELECT min(least(tot, tot - g3 - g4)) / 1e9 AS low, max(greatest(tot, tot - g3 - g4)) / 1e9 AS high FROM pf)) r
+  WHERE marca BETWEEN first AND last""", o.PROFILE).replace("log10(first) AS", "round(log10(first), 9) AS").replace("log10(last) AS", "round(log10(last), 9) AS")
+  .replace("THEN marca END", "THEN marca END").replace(", marca, log10(marca) AS marca_log", ", round(marca, 12) AS marca, round(log10(marca), 9) AS marca_log"))
 def frame_log_scale(spark, sf):
-    return frames.log_scale_frame(geography.income_map_metrics(_profile(spark, sf)))
+    found = frames.log_scale_frame(geography.income_map_metrics(_profile(spark, sf)))
+    return rounded(rounded(found, "rango_minimo", "rango_maximo", "marca_log", places=9), "marca", places=12)
 
 
 @query("frame_choropleth", o.sql("""SELECT printf('%05d', n_nationkey) AS "CUT_COM", name AS "Nombre Municipio", round(log10((tot - g3 - g4) / 1e9), 6) AS valor_log,
@@ -770,22 +831,36 @@ def frame_choropleth(spark, sf):
     return rounded(rounded(rows, "valor_log", "porcentaje_no_ip"), "ingreso_total_mil_mm_clp", "ingreso_no_ip_mil_mm_clp", places=11)
 
 
-def _framed(name: str, frame: Callable[[clusters.ClusterAnalysis], DataFrame]) -> None:
-    query(name)(lambda spark, sf: frame(_analysis(spark, sf, cluster_counts=[2, 3, 4])))
-
-
-_framed("frame_cluster_selection", frames.selection_frame)
-_framed("frame_cluster_validation", frames.validation_frame)
-_framed("frame_silhouette", frames.silhouette_frame)
-_framed("frame_pca", frames.pca_frame)
-_framed("frame_heatmap", frames.heatmap_frame)
-_framed("frame_merges", frames.merge_frame)
-_framed("frame_cluster_profile", lambda analysis: frames.cluster_profile_frame(analysis.summary))
-
-
-@query("frame_cluster_map")
+def _framed(name: str, tail: str, frame: Callable[[clusters.ClusterAnalysis], DataFrame]) -> None:
+    query(name, _ward(tail))(lambda spark, sf: frame(_analysis(spark, sf, cluster_counts=[2, 3, 4])))
+
+
+SCORE_ROWS = "FROM sco CROSS JOIN (VALUES ('Silhouette', 'Mayor es mejor', 0), ('Calinski-Harabasz', 'Mayor es mejor', 1), ('Davies-Bouldin', 'Menor es mejor', 2)) v(criterio, direccion, nth)"
+SCORE_SELECT = f"""SELECT k AS "Número de clústeres", k = (SELECT k FROM chosen) AS seleccionado, criterio, direccion, round([sil, ch, db][nth + 1], 6) AS valor {SCORE_ROWS}"""
+_framed("frame_cluster_selection", SCORE_SELECT + " WHERE nth = 0", lambda a: rounded(frames.selection_frame(a), "valor"))
+_framed("frame_cluster_validation", SCORE_SELECT, lambda a: rounded(frames.validation_frame(a), "valor"))
+_framed("frame_silhouette", f"""SELECT name AS "Nombre Municipio", {CLUSTER}, round(sil, 6) AS "Silhouette", {AMOUNT},
+  row_number() OVER (ORDER BY cluster_id, sil, name) AS orden {CHOSEN}""",
+        lambda a: rounded(rounded(frames.silhouette_frame(a), "Silhouette"), "Ingreso total (mil MM CLP)", places=11))
+_framed("frame_pca", f"""SELECT name AS "Nombre Municipio", 'Clúster ' || cluster_id AS "Clúster", round(cp1, 6) AS "CP1", round(cp2, 6) AS "CP2", round(sil, 6) AS "Silhouette",
+  {AMOUNT}, (SELECT round(v1, 6) FROM pv) AS varianza_cp1, (SELECT round(v2, 6) FROM pv) AS varianza_cp2 {CHOSEN}""",
+        lambda a: rounded(rounded(frames.pca_frame(a), *SIX, "varianza_cp1", "varianza_cp2"), "Ingreso total (mil MM CLP)", places=11))
+_framed("frame_heatmap", f"""SELECT name AS "Nombre Municipio", orden AS orden_municipio, 'Clúster ' || cluster_id AS "Clúster", grp AS grupo_ingreso, CAST(ord AS BIGINT) AS orden_grupo,
+  round([s0, s1, s2, s3, s4][ord + 1], 6) AS porcentaje, (SELECT round(max(greatest(s0, s1, s2, s3, s4)), 6) FROM pf) AS maximo
+  FROM (SELECT unnest(members) AS id, unnest(range(1, len(members) + 1)) AS orden FROM wt WHERE len(members) = (SELECT count(*) FROM wl))
+  JOIN wk USING (id) JOIN chosen USING (k) JOIN wl USING (id) JOIN pf USING (name) {UNPIVOT}""", lambda a: rounded(frames.heatmap_frame(a), "porcentaje", "maximo"))
+_framed("frame_merges", """SELECT DISTINCT a.name AS izquierda, b.name AS derecha, round(height, 6) AS height, n AS size, CAST(step - 1 AS BIGINT) AS step
+  FROM wt JOIN wl a ON a.id = lo JOIN wl b ON b.id = hi WHERE wt.id = lo""", lambda a: rounded(frames.merge_frame(a), "height"))
+_framed("frame_cluster_profile", f"""SELECT cluster_id, 'Clúster ' || cluster_id AS "Clúster", members AS "Número de comunas", grp AS grupo_ingreso, CAST(ord AS BIGINT) AS orden_grupo,
+  round([a0, a1, a2, a3, a4][ord + 1], 6) AS porcentaje FROM (SELECT cluster_id, count(*) AS members, {", ".join(f"avg(s{i}) AS a{i}" for i in range(5))}
+  {CHOSEN} GROUP BY cluster_id) {UNPIVOT}""", lambda a: rounded(frames.cluster_profile_frame(a.summary), "porcentaje"))
+
+
+@query("frame_cluster_map", _ward(f"""SELECT printf('%05d', n_nationkey) AS "CUT_COM", name AS "Nombre Municipio", {CLUSTER}, {AMOUNT},
+  {", ".join(f'round(s{i}, 6) AS "{g}"' for i, g in enumerate(INCOME_GROUPS))} {CHOSEN} JOIN nation ON n_name = name""", (2,), 3))
 def frame_cluster_map(spark, sf):
-    return frames.cluster_map_frame(_analysis(spark, sf, cluster_count=3, cluster_counts=[2]), _places(spark, sf))
+    found = frames.cluster_map_frame(_analysis(spark, sf, cluster_count=3, cluster_counts=[2]), _places(spark, sf))
+    return rounded(rounded(found, *INCOME_GROUPS), "Ingreso total (mil MM CLP)", places=11)
 
 
 # ---------------------------------------------------------------- sources and the store

@@ -261,7 +261,7 @@ def heatmap_frame(analysis: ClusterAnalysis) -> DataFrame:
 
 def merge_frame(analysis: ClusterAnalysis) -> DataFrame:
     """Tree links: the smaller and the larger representative, height and members."""
-    names = analysis.profile.select(F.xxhash64(NAME).alias("id"), NAME)
+    names = analysis.ids.select("id", NAME)
     low, high = names.withColumnsRenamed({"id": "lo", NAME: "izquierda"}), names.withColumnsRenamed({"id": "hi", NAME: "derecha"})
     return analysis.linkage.join(low, "lo").join(high, "hi").select("izquierda", "derecha", "height", "size", "step")
 

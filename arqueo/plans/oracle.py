@@ -87,7 +87,7 @@ ent AS (SELECT DISTINCT code, name FROM g)
 
 
 def sql(tail: str, *extra: str) -> str:
-    return "WITH " + ", ".join([BASE.strip(), *[e.strip() for e in extra]]) + " " + tail
+    return "WITH RECURSIVE " + ", ".join([BASE.strip(), *[e.strip() for e in extra]]) + " " + tail
 
 
 ANNUAL = """
@@ -159,5 +159,8 @@ cl1 AS (SELECT name, list_transform(a, lambda x: ln(x / list_sum(a))) AS lg FROM
 cf AS (SELECT name, list_transform(lg, lambda x: x - list_sum(lg) / 5) AS clr FROM cl1)
 """
 
+# the same for every (municipality, year)
+YEAR_PROFILE = PROFILE.replace("pf0 AS (SELECT name,", "pf0 AS (SELECT name || ' ' || y AS name,").replace("FROM g GROUP BY name)", "FROM g GROUP BY name || ' ' || y)")
+
 # vectors with their label
 EMB = "e AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v, label FROM embeddings)"

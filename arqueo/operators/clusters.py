@@ -37,7 +37,8 @@ from arqueo.operators.pairwise import (
 )
 from arqueo.operators.ranking import spread_row_number
 from arqueo.operators.profiles import SHARES, TOTAL, clr_features, ensure_municipality_income_profile
-from arqueo.operators.staging import broadcast_if_small, literal_rows, stage, written
+from arqueo.operators.medians import exact_median
+from arqueo.operators.staging import broadcast_if_small, join_same, literal_rows, stage, written
 from arqueo.schema import INCOME_GROUPS, NAME, ContractError
 
 FINISH = 1_000
@@ -514,12 +515,13 @@ def cluster_municipalities_by_income_profile(
 
 
 def cluster_summary(labelled_profile: DataFrame) -> DataFrame:
-    """Mean share per group (unweighted), members, and median total in thousands of millions."""
-    return labelled_profile.groupBy("cluster_id").agg(
-        F.count(F.lit(1)).alias("Número de comunas"),
-        (F.median(TOTAL) / 1e9).alias("Ingreso total mediano (mil MM CLP)"),
-        *[F.avg(s).alias(g) for s, g in zip(SHARES, INCOME_GROUPS)],
-    ).select(
+    """Mean share per group (unweighted), members, and exact median total in thousands of millions."""
+    profile = stage(labelled_profile.select("cluster_id", TOTAL, *SHARES))
+    medians = exact_median(profile, ["cluster_id"], TOTAL, "_median")
+    means = profile.groupBy("cluster_id").agg(
+        F.count(F.lit(1)).alias("Número de comunas"), *[F.avg(s).alias(g) for s, g in zip(SHARES, INCOME_GROUPS)],
+    )
+    return join_same(means, medians, ["cluster_id"]).withColumn("Ingreso total mediano (mil MM CLP)", F.col("_median") / 1e9).select(
         "cluster_id", F.concat(F.lit("Clúster "), F.col("cluster_id").cast("string")).alias("Clúster"),
         "Número de comunas", "Ingreso total mediano (mil MM CLP)", *INCOME_GROUPS,
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from arqueo import rules
 from arqueo.functions import numeric, text
-from arqueo.operators import classify, clusters, dictionary, geography, harmonise, history, pairwise, profiles, quality
+from arqueo.operators import classify, clusters, dictionary, geography, harmonise, history, medians, pairwise, profiles, quality
 from arqueo.operators import ranking as rank_ops
 from arqueo.operators import reshape, scope, staging, variability
 from arqueo.plans import frames, lens
@@ -630,6 +630,16 @@ def cluster_summary(spark, sf):
     return rounded(rounded(summary, "Ingreso total mediano (mil MM CLP)", places=11), *INCOME_GROUPS)
 
 
+@query("median_by_flag", """SELECT l_returnflag, median(l_extendedprice) AS mediana, median(CASE WHEN l_linenumber < 4 THEN l_quantity END) AS cantidad
+  FROM lineitem GROUP BY l_returnflag""")
+def median_by_flag(spark, sf):
+    """Exact medians where one group holds half of all rows; quantities take few values."""
+    rows = lens.spread_table(spark, sf, "lineitem", "l_orderkey").select(
+        "l_returnflag", "l_extendedprice", F.when(F.col("l_linenumber") < 4, F.col("l_quantity")).alias("pocas"))
+    amounts, counts = (medians.exact_median(rows, ["l_returnflag"], c, out) for c, out in (("l_extendedprice", "mediana"), ("pocas", "cantidad")))
+    return amounts.join(counts, "l_returnflag")
+
+
 @query("membership", """SELECT n_name AS comuna, """ + ", ".join(f"n_regionkey + 1 = {k} AS cluster{k}" for k in range(1, 6)) + " FROM nation")
 def membership(spark, sf):
     given = lens.table(spark, sf, "nation").select(F.col("n_name").alias(NAME), (F.col("n_regionkey") + 1).cast("bigint").alias("cluster_id"))

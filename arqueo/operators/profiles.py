@@ -57,6 +57,33 @@ def build_municipality_income_profile(income: DataFrame) -> DataFrame:
     )
 
 
+def profile_problems(income: DataFrame) -> DataFrame:
+    """(problema, filas): what would stop ``build_municipality_income_profile``, as rows.
+
+    Row checks are counted in one aggregation; cell and total checks follow on the sums of the
+    sound rows, one row per municipality.
+    """
+    require_columns(income, [NAME, GROUP, COLLECTED_TOTAL], "check income profiles")
+    name, amount = strip(F.col(NAME).cast("string")), F.col(COLLECTED_TOTAL).try_cast("double")
+    nameless, groupless = name.isNull() | (name == ""), F.col(GROUP).isNull() | ~F.col(GROUP).isin(*INCOME_GROUPS)
+    amountless = amount.isNull() | F.isnan(amount)
+    rows = income.select(
+        name.alias("_name"), F.col(GROUP).alias("_group"), amount.alias("_amount"),
+        F.struct(nameless.alias("a"), groupless.alias("b"), amountless.alias("c")).alias("_bad"),
+    )
+    bad = F.col("_bad.a") | F.col("_bad.b") | F.col("_bad.c")
+    cells = rows.groupBy("_name", "_group", "_bad").agg(F.count(F.lit(1)).alias("_n"), exact_sum(F.when(~bad, F.col("_amount"))).alias("_sum"))
+    per_name = cells.groupBy("_name").agg(
+        *[F.sum(F.when(F.col(f"_bad.{c}"), F.col("_n"))).alias(c) for c in "abc"],
+        F.count(F.when(F.col("_sum") < 0, 1)).alias("d"), F.max(F.when(~bad, 1)).alias("_sound"), F.sum("_sum").alias("_total"),
+    )
+    counts = per_name.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in "abcd"],
+                          F.count(F.when((F.col("_sound") == 1) & (F.col("_total") <= 0), 1)).alias("e"))
+    told = {"a": "row without a municipality name", "b": "row without a known income group", "c": "income that is null or no number",
+            "d": "negative group amount", "e": "income total is not positive"}
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(t).alias("problema"), F.col(c).alias("filas")) for c, t in told.items()]))).filter("filas > 0")
+
+
 def ensure_municipality_income_profile(income: DataFrame) -> DataFrame:
     """Takes classified rows or a finished profile."""
     if not isinstance(income, DataFrame):

@@ -195,6 +195,16 @@ def entity_filter_income(spark, sf):
     return rows.select("source_row", YEAR, NAME, "Percibidopag Total")
 
 
+@query("entity_one", o.sql("""SELECT source_row, code AS "Cod Municipio", 'nombre' AS por FROM raw WHERE code = 4
+  UNION ALL SELECT source_row, code, 'código' FROM raw WHERE code = 9 UNION ALL SELECT source_row, code, 'todo' FROM raw WHERE code = 13"""))
+def entity_one(spark, sf):
+    """One municipality by a spelling of its name, by its code, and all of them for no choice."""
+    rows = lens.typed_rows(spark, sf)
+    chosen = [(scope.filter_entity(rows, " Nation-4 "), "nombre"), (scope.filter_entity(rows, 9), "código"), (scope.filter_entity(rows, None).filter(F.col(CODE) == 13), "todo")]
+    parts = [df.select("source_row", CODE, F.lit(how).alias("por")) for df, how in chosen]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("entity_semi", o.sql("""SELECT source_row, code AS "Cod Municipio" FROM raw WHERE region = 'EUROPE' OR code % 7 = 0"""))
 def entity_semi(spark, sf):
     places = lens.municipalities(spark, sf)
@@ -257,6 +267,22 @@ def classify_text(spark, sf):
                          F.col("t").rlike(rules.LEGACY_IPP_PATTERN).alias("ipp"), F.col("t").rlike(rules.LEGACY_CAPITAL_PATTERN).alias("capital"))
 
 
+PHRASES = ("Fondo Común Municipal", "F.C.M.", "Patente municipal", "Patentes Municipales", "Licencia de Conducir", "Mejoramiento de Barrios", "Pavimentación", "Multas e Intereses")
+PHRASED = "text || ' ' || " + f"{list(PHRASES)}[doc_id % {2 * len(PHRASES)} + 1]"
+DOC_PHRASED = DOC_UPPER.replace("replace(text,", f"replace(coalesce({PHRASED}, text),")
+
+
+@query("classify_phrases", f"""SELECT doc_id, regexp_matches(t, {o._text(rules.LEGACY_FCM_PATTERN)}) AS fcm, regexp_matches(t, {o._text(rules.LEGACY_IPP_PATTERN)}) AS ipp,
+  regexp_matches(t, {o._text(rules.LEGACY_CAPITAL_PATTERN)}) AS capital FROM (SELECT doc_id, {DOC_PHRASED} AS t FROM documents)""")
+def classify_phrases(spark, sf):
+    """The text patterns over texts half of which hold an account name."""
+    phrase = F.get(F.array(*[F.lit(p) for p in PHRASES]), (F.col("doc_id") % (2 * len(PHRASES))).cast("int"))
+    whole = F.coalesce(F.concat("text", F.lit(" "), phrase), F.col("text"))
+    folded = lens.spread_table(spark, sf, "documents", "doc_id").select("doc_id", text.accent_free_upper(whole).alias("t"))
+    return folded.select("doc_id", F.col("t").rlike(rules.LEGACY_FCM_PATTERN).alias("fcm"),
+                         F.col("t").rlike(rules.LEGACY_IPP_PATTERN).alias("ipp"), F.col("t").rlike(rules.LEGACY_CAPITAL_PATTERN).alias("capital"))
+
+
 DOC_FOLD = r"strip_accents(replace(replace(lower(regexp_replace(text, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')), 'ß', 'ss'), '…', '...'))"
 
 
@@ -391,6 +417,25 @@ def quality_problems(spark, sf):
     return quality.report_problems(quality.normalization_report(harmonise.apply_municipality_catalog(rows, places)))
 
 
+@query("quality_strict", o.sql("""SELECT 'budget_' || y || '.csv' AS source_file, problema FROM (
+    SELECT y, 'unexpected canonical schema version' AS problema FROM raw WHERE y = 2005
+    UNION SELECT y, count(*) || ' municipal income rows without a group' FROM cl WHERE tipo = 1 AND serv = 1 AND y = 2006 GROUP BY y
+    UNION SELECT y, count(*) || ' rows without a canonical municipality, such as ' || min(name) FROM raw WHERE y = 2009 AND code = 6 GROUP BY y
+    UNION SELECT y, 'no account type codes' FROM raw WHERE y = 2007
+    UNION SELECT y, 'no collected amounts' FROM raw WHERE y = 2008)"""))
+def quality_strict(spark, sf):
+    """All five strict rules, each broken by one source."""
+    rows = lens.budget(spark, sf)
+    broken = {
+        "canonical_schema_version": ((F.col(YEAR) == 2005), "0"), "grupo_ingreso_canonico": ((F.col(YEAR) == 2006), None),
+        "Cod Tipo Cuenta": ((F.col(YEAR) == 2007), None), "Percibidopag Total": ((F.col(YEAR) == 2008), None),
+        "municipality_mapping_status": ((F.col(YEAR) == 2009) & (F.col(CODE) == 6), "unmapped"),
+    }
+    fixed = {"canonical_schema_version": F.lit(harmonise.SCHEMA_VERSION), "municipality_mapping_status": F.lit("canonical_code")}
+    spoilt = rows.withColumns({c: F.when(when, F.lit(value)).otherwise(fixed.get(c, F.col(c) if c in rows.columns else F.lit(None))) for c, (when, value) in broken.items()})
+    return quality.report_problems(quality.normalization_report(spoilt.transform(harmonise.apply_contract)))
+
+
 # ---------------------------------------------------------------- joins
 
 @query("checked_join", """SELECT o_orderkey, o_custkey, c_nationkey, c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey""")
@@ -478,6 +523,32 @@ def profile(spark, sf):
     return rounded(_profile(spark, sf), *profiles.SHARES)
 
 
+@query("profile_ready", o.sql(f'SELECT name AS "Nombre Municipio", {PROFILE_SELECT}, tot AS ingreso_total_clp, listo FROM pf CROSS JOIN (VALUES (true), (false)) v(listo)', o.PROFILE))
+def profile_ready(spark, sf):
+    """Classified rows and a finished profile are both taken."""
+    income = classify.classified_income(lens.budget(spark, sf))
+    made = staging.stage(profiles.ensure_municipality_income_profile(income))
+    both = made.withColumn("listo", F.lit(False)).unionByName(profiles.ensure_municipality_income_profile(made).withColumn("listo", F.lit(True)))
+    return rounded(both, *profiles.SHARES)
+
+
+@query("profile_problems", o.sql("""SELECT problema, filas FROM (
+    SELECT 'row without a municipality name' AS problema, count(*) FILTER (WHERE ln = 6) AS filas FROM g
+    UNION ALL SELECT 'row without a known income group', count(*) FILTER (WHERE ln = 5) FROM g
+    UNION ALL SELECT 'income that is null or no number', count(*) FILTER (WHERE disc = 0.05) FROM g
+    UNION ALL SELECT 'negative group amount', count(*) FROM (SELECT name, grp FROM g WHERE ln NOT IN (5, 6) AND disc <> 0.05 AND code % 5 = 0 AND grp = 'FCM' GROUP BY ALL)
+    UNION ALL SELECT 'income total is not positive', count(*) FROM (SELECT name FROM g WHERE ln NOT IN (5, 6) AND disc <> 0.05 GROUP BY name
+      HAVING sum(CASE WHEN code % 5 = 0 AND grp = 'FCM' THEN -100 * amt ELSE amt END) <= 0)) WHERE filas > 0"""))
+def profile_problems(spark, sf):
+    """Every check of a profile, over rows that break it."""
+    income = classify.classified_income(lens.budget(spark, sf))
+    amount = F.col("Percibidopag Total")
+    spoilt = income.select(
+        F.when(F.col("l_linenumber") == 6, " ").otherwise(F.col(NAME)).alias(NAME), F.when(F.col("l_linenumber") == 5, "Nada").otherwise(F.col(GROUP)).alias(GROUP),
+        F.when(F.col("l_discount") == 0.05, None).when((F.col(CODE) % 5 == 0) & (F.col(GROUP) == "FCM"), -100 * amount).otherwise(amount).alias("Percibidopag Total"))
+    return profiles.profile_problems(spoilt)
+
+
 @query("profile_order", o.sql('SELECT name AS "Nombre Municipio", row_number() OVER (ORDER BY s3 DESC, s4 DESC, name) AS orden FROM pf', o.PROFILE))
 def profile_order(spark, sf):
     order = profiles.share_order(["IPP", "FCM"])
@@ -682,6 +753,44 @@ def _places(spark, sf) -> DataFrame:
     return geography.region_places(shapes, region_code=7, expected_count=25)
 
 
+@query("geography_read", """SELECT printf('%05d', n_nationkey) AS "CUT_COM", upper(n_name[1]) || lower(n_name[2:]) AS "COMUNA_DPA", lower(n_name) AS comuna_key FROM nation""")
+def geography_read(spark, sf):
+    """Places of one region out of a written attribute table that holds two."""
+    folder = staging.scratch_path(spark, "places")
+    shapes = lens.table(spark, sf, "nation").select(
+        F.explode(F.array(F.lit("7"), F.lit("08"))).alias("CUT_REG"), F.format_string("%05d", F.col("n_nationkey")).alias("CUT_COM"),
+        F.concat(F.lit(" "), F.initcap("n_name"), F.lit(" ")).alias("COMUNA"), F.format_string('{"a":"b,%d"}', F.col("n_nationkey")).alias("geometry"))
+    shapes.write.option("header", True).option("escape", '"').csv(folder)
+    return tables.load_municipality_geography(spark, folder, region_code=7, expected_count=25).select("CUT_COM", "COMUNA_DPA", geography.PLACE)
+
+
+INDEX_SQL = """SELECT CAST(date_trunc('month', ts) AS DATE) AS fecha, CAST(count(*) AS DOUBLE) AS uf, CAST(count(DISTINCT user_id) AS DOUBLE) AS ivp,
+  CASE WHEN month(min(ts)) % 4 <> 0 THEN max(value) END AS utm FROM events GROUP BY date_trunc('month', ts)"""
+
+
+@query("index_series", INDEX_SQL)
+def index_series(spark, sf):
+    """Monthly series from a written file whose header stands on the third row, with gaps and a footnote."""
+    monthly = lens.table(spark, sf, "events").groupBy(F.date_trunc("month", "ts").alias("t")).agg(
+        F.count(F.lit(1)).alias("uf"), F.count_distinct("user_id").alias("ivp"), F.max("value").alias("utm"))
+    text_of = F.concat_ws(",", F.date_format("t", "yyyy-MM-dd"), F.col("uf").cast("string"), F.col("ivp").cast("string"),
+                          F.when(F.month("t") % 4 != 0, F.col("utm").cast("string")).otherwise("ND"))
+    head = staging.literal_rows(spark, [(0, "Valores,,,"), (1, ",,,"), (2, ",".join(tables.INDEX_HEADERS)), (10**9, "Fuente: banco,,,")], "n int, value string")
+    lines = monthly.select(F.months_between("t", F.lit("1900-01-01")).cast("int").alias("n"), text_of.alias("value"))
+    path = staging.scratch_path(spark, "series")
+    head.unionByName(lines).repartition(1).sortWithinPartitions("n").select("value").write.text(path)  # a row a month
+    return tables.read_index_series(spark, path)
+
+
+@query("membership_read", """SELECT n_name AS comuna, n_regionkey + 1 = 1 AS cluster1, n_regionkey + 1 = 2 AS cluster2, n_regionkey + 1 = 3 AS cluster3,
+  n_regionkey + 1 = 4 AS cluster4, n_regionkey + 1 = 5 AS cluster5 FROM nation""")
+def membership_read(spark, sf):
+    """The membership matrix as it is exported, read back."""
+    path = staging.scratch_path(spark, "membership")
+    membership(spark, sf).write.option("header", True).csv(path)
+    return tables.read_membership(spark, path)
+
+
 @query("map_metrics", o.sql("""SELECT name AS "Nombre Municipio", tot AS ingreso_total_clp, round(tot - g3 - g4, 2) AS ingreso_no_ip_clp,
   round((tot - g3 - g4) / tot * 100, 6) AS porcentaje_no_ip FROM pf""", o.PROFILE))
 def map_metrics(spark, sf):
@@ -913,13 +1022,14 @@ def incremental_refresh(spark, sf):
     return counted
 
 
-@query("loaded_budget_csv", o.sql("""SELECT y AS "Ejercicio", count(*) AS filas, count(*) AS numeradas, CAST(sum(source_row) AS BIGINT) AS suma FROM raw GROUP BY y"""))
+@query("loaded_budget_csv", o.sql("""SELECT y AS "Ejercicio", count(*) AS filas, count(*) AS numeradas, CAST(sum(source_row) AS BIGINT) AS suma,
+  CAST(2 AS BIGINT) AS primera, count(*) + 1 AS ultima FROM raw GROUP BY y"""))
 def loaded_budget_csv(spark, sf):
     """Every row of CSV sources comes back, numbered 2, 3, ... in its own file of rows."""
     rows, _ = budget_source.data_loader(spark, f"{_written_sources(spark, sf, 'csv')}/data", canonical_year=2010, validate=False)
     return rows.groupBy(YEAR).agg(
         F.count(F.lit(1)).alias("filas"), F.count_distinct("source_file", "source_row").alias("numeradas"),
-        F.sum(F.col("Ppto Actualizado").cast("bigint")).alias("suma"))
+        F.sum(F.col("Ppto Actualizado").cast("bigint")).alias("suma"), F.min("source_row").alias("primera"), F.max("source_row").alias("ultima"))
 
 
 @query("loaded_budget_all", o.sql("""SELECT y AS "Ejercicio", code AS "Cod Municipio", tipo AS "Cod Tipo Cuenta", grp AS grupo_ingreso_canonico, count(*) AS filas,

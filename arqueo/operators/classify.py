@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from arqueo import rules
 from arqueo.functions.numeric import audit_integer, quoted
 from arqueo.functions.text import accent_free_upper, plain_casefold
-from arqueo.operators.staging import broadcast_if_small
+from arqueo.operators.staging import broadcast_if_small, join_same
 from arqueo.schema import (
     CANONICAL_GROUP, CAPITAL, CURRENT, FCM, FIRST_MODERN_YEAR, GROUP, INCOME_GROUPS, IPP,
     MAPPING_METHOD, MAPPING_STATUS, OTHER, SERVICE_CODE, SERVICE_NAME, SUBASSIGNMENT, SUBTITLE,
@@ -90,34 +90,41 @@ def account_text() -> Column:
     return accent_free_upper(F.expr("concat(" + ", ".join(f"' | ', coalesce({c}, '')" for c in ACCOUNT_TEXT) + ")"))
 
 
-def packed_crosswalk(crosswalk: DataFrame) -> DataFrame:
-    """One row per source key with its dated rules in file order (bounded by the rule file)."""
-    rule = F.struct("rule_no", "valid_from", "valid_to", "canonical_group")
-    return crosswalk.groupBy("source_cod_subtitulo", "source_cod_item").agg(
-        F.array_sort(F.collect_list(rule)).alias("_rules")
+def rule_spans(crosswalk: DataFrame) -> DataFrame:
+    """(source_cod_subtitulo, source_cod_item, first_year, last_year, canonical_group): dated rules without overlaps.
+
+    The first years of a key's rules and the years after their last ones cut time into spans. A
+    rule that holds at the start of a span holds in all of it, and of several the last one wins.
+    Years are few, so a key has few spans however many rules it has; rules meet their spans by
+    the key, and the winner is a partial aggregate. A rule without a year never holds, one without
+    a group wins with a null.
+    """
+    keys = ["source_cod_subtitulo", "source_cod_item"]
+    dated = crosswalk.filter("valid_from <= valid_to").select("rule_no", "canonical_group", *keys, *[F.col(c).cast("int").alias(c) for c in ("valid_from", "valid_to")])
+    cuts = dated.select(*keys, F.explode(F.array("valid_from", F.col("valid_to") + 1)).alias("_at")).groupBy(*keys).agg(
+        F.sort_array(F.collect_set("_at")).alias("_cuts")
     )
+    inside = join_same(dated, cuts, keys).withColumn(
+        "first_year", F.explode(F.filter("_cuts", lambda y: (y >= F.col("valid_from")) & (y <= F.col("valid_to"))))
+    ).withColumn("last_year", F.array_min(F.filter("_cuts", lambda y: y > F.col("first_year"))) - 1)
+    last = F.max(F.struct("rule_no", "canonical_group"))["canonical_group"]
+    return inside.groupBy(*keys, "first_year", "last_year").agg(last.alias("canonical_group"))
 
 
 def with_dated_rule(df: DataFrame, crosswalk: DataFrame, year: str, subtitle: Column, item: Column) -> DataFrame:
     """Adds ``_dated_group``: the last rule whose key and period match, or null.
 
-    Rules are packed per key first, so the join keeps one row per input row: no regrouping
-    of the large side.
+    Spans of a key do not overlap, so a row meets one at most: no regrouping of the large side.
     """
-    packed = broadcast_if_small(packed_crosswalk(crosswalk)).withColumnsRenamed(
-        {"source_cod_subtitulo": "_rule_subtitle", "source_cod_item": "_rule_item"}
-    )
-    valid = F.filter(
-        "_rules", lambda r: F.col(year).between(r["valid_from"], r["valid_to"])
-    )
-    joined = df.withColumns({"_subtitle": subtitle, "_item": item}).join(
-        packed,
-        (F.col("_subtitle") == F.col("_rule_subtitle")) & (F.col("_item") == F.col("_rule_item")),
+    spans = broadcast_if_small(rule_spans(crosswalk)).withColumnsRenamed({
+        "source_cod_subtitulo": "_rule_subtitle", "source_cod_item": "_rule_item", "first_year": "_rule_from", "last_year": "_rule_to",
+        "canonical_group": "_dated_group",
+    })
+    return df.withColumns({"_subtitle": subtitle, "_item": item}).join(
+        spans,
+        (F.col("_subtitle") == F.col("_rule_subtitle")) & (F.col("_item") == F.col("_rule_item")) & F.col(year).between(F.col("_rule_from"), F.col("_rule_to")),
         "left",
-    )
-    return joined.withColumn(
-        "_dated_group", F.try_element_at(valid, F.lit(-1))["canonical_group"]
-    ).drop("_subtitle", "_item", "_rule_subtitle", "_rule_item", "_rules")
+    ).drop("_subtitle", "_item", "_rule_subtitle", "_rule_item", "_rule_from", "_rule_to")
 
 
 def _decision(group: Column | str, method: str, status: str) -> Column:

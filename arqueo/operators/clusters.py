@@ -27,7 +27,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from arqueo.functions.text import plain_casefold
@@ -180,12 +180,11 @@ def ward_tree(rows: DataFrame, finish: int = FINISH, block_rows: int = BLOCK_ROW
     """
     leaves = stage(rows.select("id", F.col("vec").cast("array<double>").alias("vec")))
     clusters = stage(leaves.groupBy("vec").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("size")).select("id", "vec", "size"))
-    count, step, done = clusters.count(), 0, None
+    count, step, done = clusters.count(), 1, None
     if count < leaves.count():
         done = leaves.join(clusters.filter("size > 1").withColumnRenamed("id", "lo"), "vec").filter("id <> lo").select(
             "lo", F.col("id").alias("hi"), F.lit(0.0).alias("height"), "size", F.lit(0).cast("bigint").alias("step")
         )
-        step = 1
     if micro is not None and count > micro:
         grouped = stage(micro_centroids(clusters, micro))
         weighted = Summarizer.metrics("mean").summary(array_to_vector("vec"), F.col("size").cast("double"))
@@ -259,46 +258,60 @@ def _follow(pointers: DataFrame) -> DataFrame:
         current = moved.select("id", "root")
 
 
-def merge_paths(links: DataFrame) -> DataFrame:
-    """(id, root, path): the merges from a root down to each row, as (step, absorbed id), by pointer doubling.
+def _ranked(links: DataFrame) -> DataFrame:
+    """(id, root, ahead): how many leaves lie between a root and each row, by pointer doubling.
 
-    ``links`` has id (absorbed), root (absorbing) and step. Paths are as long as there are rounds.
+    ``links`` has id (absorbed), root (absorbing) and ahead (from the absorbing row). Each join
+    halves the longest chain and adds two numbers: list ranking.
     """
-    current = stage(links.select("id", "root", F.array(F.struct("step", "id")).alias("path")))
+    current = links.select("id", "root", "ahead")
     while True:
         a, b = current.alias("a"), current.alias("b")
         moved = written(a.join(b, F.col("a.root") == F.col("b.id"), "left").select(
             F.col("a.id").alias("id"), F.coalesce("b.root", "a.root").alias("root"),
-            F.when(F.col("b.id").isNull(), F.col("a.path")).otherwise(F.concat("b.path", "a.path")).alias("path"),
-            F.col("b.id").isNotNull().alias("_moved"),
-        ), "paths")
+            (F.col("a.ahead") + F.coalesce("b.ahead", F.lit(0))).alias("ahead"), F.col("b.id").isNotNull().alias("_moved"),
+        ), "ranked")
         current = moved.drop("_moved")
         if moved.filter("_moved").isEmpty():
             return current
 
 
 def leaf_positions(tree: WardTree) -> DataFrame:
-    """(id, rama, paso): where a row stands along the tree.
+    """(id, posicion): the place of every row along the tree, from 0.
 
-    ``rama`` is the place of the branch that was finished on the driver. Inside a branch rows
-    merged on Spark follow in the order they were taken in: ``paso`` lists, from the
-    representative outwards, the merges that lead to the row. So the order is that of the tree
-    at any size.
+    A representative comes first, then the clusters it took in, in the order of the merges, each
+    with its own representative first. So an absorbed cluster begins as many places behind the
+    absorbing one as that had members then: one number a merge, summed along the chain of
+    merges. The order is that of the tree wherever it was merged.
     """
+    spark, ids = tree.leaves.sparkSession, tree.leaves.select("id")
     line: dict[int, list[int]] = {}
     for lo, hi, *_ in tree.driver_merges:
         line.setdefault(lo, [lo]).extend(line.pop(hi, [hi]))
-    places = [(rep, i) for reps in line.values() for i, rep in enumerate(reps)]
-    ids, none = tree.leaves.select("id"), F.array().cast("array<struct<step:bigint,id:bigint>>")
+    reps = [rep for found in line.values() for rep in found]
     if tree.spark_merges is None:
-        based = ids.select("id", F.col("id").alias("rep"), none.alias("paso"))
+        based, sizes = ids.select("id", F.col("id").alias("rep"), F.lit(0).cast("bigint").alias("ahead")), {}
     else:
-        links = tree.spark_merges.select(F.col("hi").alias("id"), F.col("lo").alias("root"), "step")
-        based = ids.join(merge_paths(links), "id", "left").select(
-            "id", F.coalesce("root", "id").alias("rep"), F.coalesce("path", none).alias("paso")
+        merges = tree.spark_merges.select("lo", "hi", "step")
+        members = tree.spark_merges.groupBy(F.col("lo").alias("id")).agg(F.max("size").alias("members"))
+        # equal vectors may be very many for one row: they are numbered in many tasks
+        equal = spread_row_number(merges.filter("step = 0"), ["lo"], [F.col("hi").asc()], "ahead").select("lo", "hi", "ahead")
+        copies = equal.groupBy(F.col("lo").alias("_of")).agg(F.count(F.lit(1)).alias("_copies"))
+        later = merges.filter("step > 0").join(members.withColumnRenamed("id", "hi"), "hi", "left").join(copies, F.col("lo") == F.col("_of"), "left")
+        earlier = Window.partitionBy("lo").orderBy("step", "hi").rowsBetween(Window.unboundedPreceding, -1)
+        behind = F.coalesce(F.sum(F.coalesce("members", F.lit(1))).over(earlier), F.lit(0)) + 1 + F.coalesce("_copies", F.lit(0))
+        links = written(equal.unionByName(later.select("lo", "hi", behind.cast("bigint").alias("ahead"))), "links")
+        based = ids.join(_ranked(links.select(F.col("hi").alias("id"), F.col("lo").alias("root"), "ahead")), "id", "left").select(
+            "id", F.coalesce("root", "id").alias("rep"), F.coalesce("ahead", F.lit(0)).alias("ahead")
         )
-    known = literal_rows(tree.leaves.sparkSession, places, "rep bigint, rama bigint")
-    return based.join(broadcast_if_small(known), "rep", "left").select("id", F.coalesce("rama", F.lit(0)).alias("rama"), "paso")
+        # at most FINISH representatives are left for the driver
+        sizes = {r["id"]: r["members"] for r in members.filter(F.col("id").isin(*reps)).collect()} if reps else {}
+    starts, at = [], 0
+    for rep in reps:
+        starts.append((rep, at))
+        at += sizes.get(rep, 1)
+    known = literal_rows(spark, starts, "rep bigint, inicio bigint")
+    return based.join(broadcast_if_small(known), "rep", "left").select("id", (F.coalesce("inicio", F.lit(0)) + F.col("ahead")).alias("posicion"))
 
 
 def cut_tree(tree: WardTree, counts: Collection[int]) -> DataFrame:
@@ -429,9 +442,7 @@ class ClusterAnalysis:
     @property
     def ordered_municipalities(self) -> DataFrame:
         """(name, orden): municipalities in the order of the tree."""
-        rows = self.ids.join(leaf_positions(self.tree), "id")
-        order = [F.col("rama").asc(), F.col("paso").asc(), F.col(NAME).asc()]
-        return spread_row_number(rows, [], order, "orden").select(NAME, "orden")
+        return self.ids.join(leaf_positions(self.tree), "id").select(NAME, (F.col("posicion") + 1).alias("orden"))
 
     @property
     def cluster_validation_scores(self) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -968,7 +967,7 @@ _framed("frame_heatmap", f"""SELECT name AS "Nombre Municipio", orden AS orden_m
   round([s0, s1, s2, s3, s4][ord + 1], 6) AS porcentaje, (SELECT round(max(greatest(s0, s1, s2, s3, s4)), 6) FROM pf) AS maximo
   FROM (SELECT unnest(members) AS id, unnest(range(1, len(members) + 1)) AS orden FROM wt WHERE len(members) = (SELECT count(*) FROM wl))
   JOIN wk USING (id) JOIN chosen USING (k) JOIN wl USING (id) JOIN pf USING (name) {UNPIVOT}""", lambda a: rounded(frames.heatmap_frame(a), "porcentaje", "maximo"))
-_framed("frame_merges", """SELECT DISTINCT a.name AS izquierda, b.name AS derecha, round(height, 6) AS height, n AS size, CAST(step - 1 AS BIGINT) AS step
+_framed("frame_merges", """SELECT DISTINCT a.name AS izquierda, b.name AS derecha, round(height, 6) AS height, n AS size, CAST(step AS BIGINT) AS step
   FROM wt JOIN wl a ON a.id = lo JOIN wl b ON b.id = hi WHERE wt.id = lo""", lambda a: rounded(frames.merge_frame(a), "height"))
 _framed("frame_cluster_profile", f"""SELECT cluster_id, 'Clúster ' || cluster_id AS "Clúster", members AS "Número de comunas", grp AS grupo_ingreso, CAST(ord AS BIGINT) AS orden_grupo,
   round([a0, a1, a2, a3, a4][ord + 1], 6) AS porcentaje FROM (SELECT cluster_id, count(*) AS members, {", ".join(f"avg(s{i}) AS a{i}" for i in range(5))}
@@ -986,7 +985,7 @@ def frame_cluster_map(spark, sf):
 
 def _written_sources(spark, sf, kind: str = "parquet") -> str:
     """The raw layout as one source per year, in the shared folder."""
-    folder = f"{staging.checkpoint_root(spark).rstrip('/')}/sources-{uuid.uuid4().hex}"
+    folder = staging.scratch_path(spark, "sources")
     code = F.col(CODE)
     # the canonical year has one code per municipality; other years keep their own
     raw = lens.raw_layout(spark, sf).withColumn(

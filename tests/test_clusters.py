@@ -47,8 +47,7 @@ def test_ward_is_exact_wherever_it_finishes(vectors, finish):
             if r.k == k:
                 groups.setdefault(r.label, set()).add((r.id - 1) // 7)
         assert {frozenset(g) for g in groups.values()} == partitions[k]
-    places = [r.rama for r in clusters.leaf_positions(tree).collect()]
-    assert len(places) == len(data) and None not in places
+    assert sorted(r.posicion for r in clusters.leaf_positions(tree).collect()) == list(range(len(data)))
 
 
 def test_scores_against_numpy(vectors):
@@ -156,11 +155,25 @@ def test_equal_rows_merge_in_a_handful_of_rounds(spark):
     assert sizes == [1666, 1667, 1667]
 
 
-def test_order_along_the_tree_does_not_depend_on_where_it_was_merged(spark):
+def by_hand(tree):
+    """Rows in the order of the tree: every cluster behind what absorbed it, merge by merge."""
+    line = {r.id: [r.id] for r in tree.leaves.collect()}
+    merges = sorted(tree.merges.collect(), key=lambda m: (m.step, m.lo, m.hi))
+    for m in merges:
+        line[m.lo] += line.pop(m.hi)
+    return line
+
+
+@pytest.mark.parametrize("copies,micro", [(1, None), (3, None), (2, 12)])
+def test_order_along_the_tree_does_not_depend_on_where_it_was_merged(spark, copies, micro):
     rng = np.random.default_rng(4)
-    rows = spark.createDataFrame([(i, rng.normal(size=3).tolist()) for i in range(40)], "id bigint, vec array<double>")
+    data = np.repeat(rng.normal(size=(24, 3)), copies, axis=0)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "id bigint, vec array<double>")
     orders = []
     for finish in (2, 1000):
-        places = clusters.leaf_positions(clusters.ward_tree(rows, finish=finish, block_rows=16)).collect()
-        orders.append([r.id for r in sorted(places, key=lambda r: (r.rama, [tuple(p) for p in r.paso]))])
+        tree = clusters.ward_tree(rows, finish=finish, block_rows=16, micro=micro)
+        places = {r.id: r.posicion for r in clusters.leaf_positions(tree).collect()}
+        orders.append(sorted(places, key=places.get))
+        assert sorted(places.values()) == list(range(len(data)))
+        assert [orders[-1]] == list(by_hand(tree).values())
     assert orders[0] == orders[1]

@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arqueo.llm.common import packed, stored
+from arqueo.llm.common import stored
+from arqueo.operators.staging import broadcast_if_small
 
 # --- Fixed values: frame magics and record lines of the formats ---
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -132,7 +133,9 @@ def write_archives(
     first = hashed.filter(F.col("size") >= min_bytes).groupBy("digest").agg(
         F.count(F.lit(1)).alias("n"), F.max("page_id").alias("refers_to")
     ).filter("n > 1").drop("n")
-    # the ids alone are joined; a page of a hot digest does not carry its text there
+    # a table by now: few repeated payloads are sent to the pages, which then stay where they are; of many, the
+    # adaptive join can split a digest that a large part of the pages has
+    first = broadcast_if_small(stored(first, "repeated_payloads"))
     same = F.col("page_id").eqNullSafe(F.col("refers_to"))
     joined = hashed.join(first.withColumn("shared", F.lit(True)), "digest", "left").withColumn(
         "revisit", F.coalesce(F.col("shared") & ~same & (F.col("size") >= min_bytes), F.lit(False))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arqueo.llm.common import SPACE_CHARS, SPACES, WORD, packed, quoted, stored, unpacked
+from arqueo.operators.staging import broadcast_if_small
 
 SYMBOLS = r"[^#*$%&|<>]+"  # everything that is no symbol
 POSITION_BITS = 26
@@ -208,7 +209,8 @@ def judge_quality(docs: DataFrame, min_rows: int = MIN_ROWS, cutoff: float = CUT
     state = stored(_start(rows).join(enough, "g", "left_semi"), "start")
     for _ in range(steps):
         state = stored(_concentrate(rows, state), "step")
-    final = _scale(rows, state)
+    # one row a group: counted, and sent to the documents, so no group's documents are dealt into one task
+    final = broadcast_if_small(stored(_scale(rows, state), "final"))
     distance = F.when(~F.col("base_failed"), _distance() / F.col("factor"))
     judged = base.join(groups, joined, "left").join(final, "g", "left").withColumn("distance", distance)
     return unpacked(judged, distance=F.col("distance"), kept=~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff))

@@ -637,7 +637,7 @@ def _ward(tail: str, counts=(2, 3, 4), requested: int | None = None) -> str:
 
 
 CHOSEN = "FROM wk JOIN chosen USING (k) JOIN ss USING (k, id) JOIN wl USING (id) JOIN pf USING (name) JOIN cp USING (id)"
-CLUSTER = """cluster_id, 'Clúster ' || cluster_id AS "Clúster\""""
+CLUSTER = "cluster_id, 'Clúster ' || cluster_id AS \"Clúster\""
 AMOUNT = 'round(tot / 1e9, 11) AS "Ingreso total (mil MM CLP)"'
 SIX = ("Silhouette", "CP1", "CP2")
 
@@ -929,13 +929,13 @@ def frame_municipality_amount(spark, sf):
     return rounded(frames.municipality_amount_frame(_profile(spark, sf)), "monto_mil_mm", places=11)
 
 
-@query("frame_log_scale", o.sql("""SELECT log10(first) AS rango_minimo, log10(last) AS rango_maximo, marca, log10(marca) AS marca_log, printf('%g', marca) AS texto
-  FROM (SELECT unnest([1, 2, 5]) * pow(10.0, e) AS marca FROM (SELECT unnest(range(-12, 13)) AS e)) t,
+@query("frame_log_scale", o.sql("""SELECT round(log10(first), 9) AS rango_minimo, round(log10(last), 9) AS rango_maximo, round(m, 12) AS marca,
+  round(log10(m), 9) AS marca_log, printf('%g', m) AS texto
+  FROM (SELECT unnest([1, 2, 5]) * pow(10.0, e) AS m FROM (SELECT unnest(range(-12, 13)) AS e)) t,
   (SELECT max(CASE WHEN m <= low THEN m END) AS first, min(CASE WHEN m >= high THEN m END) AS last FROM
     (SELECT unnest([1, 2, 5]) * pow(10.0, e) AS m FROM (SELECT unnest(range(-12, 13)) AS e)),
     (SELECT min(least(tot, tot - g3 - g4)) / 1e9 AS low, max(greatest(tot, tot - g3 - g4)) / 1e9 AS high FROM pf)) r
-  WHERE marca BETWEEN first AND last""", o.PROFILE).replace("log10(first) AS", "round(log10(first), 9) AS").replace("log10(last) AS", "round(log10(last), 9) AS")
-  .replace("THEN marca END", "THEN marca END").replace(", marca, log10(marca) AS marca_log", ", round(marca, 12) AS marca, round(log10(marca), 9) AS marca_log"))
+  WHERE m BETWEEN first AND last""", o.PROFILE))
 def frame_log_scale(spark, sf):
     found = frames.log_scale_frame(geography.income_map_metrics(_profile(spark, sf)))
     return rounded(rounded(found, "rango_minimo", "rango_maximo", "marca_log", places=9), "marca", places=12)

@@ -87,9 +87,9 @@ def merges(tree):
 
 
 @pytest.mark.parametrize("data", [
-    np.random.default_rng(8).normal(size=(45, 3)),
+    np.random.default_rng(8).normal(size=(30, 3)),
     np.array(list(itertools.product(range(3), range(3), range(3))), float),  # many equal distances
-    np.eye(20),  # all distances are equal
+    np.eye(9),  # all distances are equal
 ])
 def test_remembered_neighbours_give_the_same_tree(spark, monkeypatch, data):
     rows = frame(spark, data)
@@ -108,7 +108,7 @@ def test_remembered_neighbours_give_the_same_tree(spark, monkeypatch, data):
 def test_few_clusters_are_touched_late(spark):
     """A chain merges one pair a round: the others' neighbours are remembered."""
     data = np.cumsum(1.0 + 0.05 * np.arange(40))[:, None] ** 1.2
-    tree = clusters.ward_tree(frame(spark, data), finish=30, block_rows=64)
+    tree = clusters.ward_tree(frame(spark, data), finish=35, block_rows=64)
     count = 40
     for looked in tree.compared[1:]:
         count -= 1

@@ -126,3 +126,39 @@ def test_micro_centroids(spark):
     assert clusters.label_agreement(both, "uno", "otro").head()[0] == 1.0
     assert clusters.label_agreement(both.withColumn("otro", F.lit(1)), "uno", "otro").head()[0] == 0.0
     assert clusters.cut_tree(tree, [4]).groupBy("label").count().count() == 4
+
+
+def far_with_copies(seed=5):
+    """Vectors far from the origin, with copies and near copies: dot products alone lose their distances."""
+    draw = np.random.default_rng(seed)
+    data = 1e4 + draw.normal(size=(120, 6))
+    return np.concatenate([data, data[:30], data[:30] + 1e-5 * draw.normal(size=(30, 6))])
+
+
+def test_close_pairs_keep_their_distances():
+    data = far_with_copies()
+    want = np.linalg.norm(data[:, None] - data[None], axis=2)
+    got = np.concatenate([dist for _, dist in pairwise.summed_chunks(data, data)])
+    assert np.allclose(got, want, rtol=1e-8, atol=0)
+    odd = np.array([[np.nan, 1.0], [np.inf, 1.0], [3.0, 4.0]])
+    with np.errstate(all="ignore"):
+        want = np.concatenate([d for _, d in pairwise.distance_chunks(odd, odd)])
+        assert np.array_equal(np.concatenate([d for _, d in pairwise.summed_chunks(odd, odd)]), want, equal_nan=True)
+
+
+def test_neighbours_among_copies_far_from_the_origin(spark):
+    data = far_with_copies()
+    dist = np.linalg.norm(data[:, None] - data[None], axis=2)
+    np.fill_diagonal(dist, np.inf)
+    got = {(r.id, r.puesto): r.vecino for r in pairwise.nearest_rows(frame(spark, data), 3, block_rows=50, pivots=16).collect()}
+    for i in range(len(data)):
+        assert [got[i, p] for p in (1, 2, 3)] == list(np.lexsort((np.arange(len(data)), dist[i]))[:3])
+
+
+def test_many_rows_are_sent_to_few_blocks(spark):
+    """A row is sent once to a block: 352 blocks of 720,000 rows were as many copies, and pivots took 256 blocks of any size."""
+    assert pairwise.block_count(720_000, 2_048) == 88 and pairwise.block_count(5_000, 2_048) == 3
+    rows = frame(spark, np.random.default_rng(1).normal(size=(300, 4)))
+    search = pairwise.NeighbourSearch(rows, 300, 4, 100, 64)
+    assert search.total <= 6  # 64 before: a block for each pivot
+    assert search.wanted().groupBy("id").count().agg(F.max("count")).head()[0] <= 6

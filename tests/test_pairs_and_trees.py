@@ -162,3 +162,10 @@ def test_many_rows_are_sent_to_few_blocks(spark):
     search = pairwise.NeighbourSearch(rows, 300, 4, 100, 64)
     assert search.total <= 6  # 64 before: a block for each pivot
     assert search.wanted().groupBy("id").count().agg(F.max("count")).head()[0] <= 6
+
+
+def test_ward_tree_far_from_the_origin(spark):
+    """Whole numbers have exact differences, so the tree stays the same wherever they lie."""
+    data = np.random.default_rng(2).integers(0, 9, size=(60, 3)).astype(float)
+    near, far = (merges(clusters.ward_tree(frame(spark, data + at), finish=20, block_rows=16)) for at in (0.0, 2.0 ** 20))
+    assert [m[:2] for m in near] == [m[:2] for m in far] and np.allclose([m[2] for m in near], [m[2] for m in far])

@@ -169,3 +169,28 @@ def test_ward_tree_far_from_the_origin(spark):
     data = np.random.default_rng(2).integers(0, 9, size=(60, 3)).astype(float)
     near, far = (merges(clusters.ward_tree(frame(spark, data + at), finish=20, block_rows=16)) for at in (0.0, 2.0 ** 20))
     assert [m[:2] for m in near] == [m[:2] for m in far] and np.allclose([m[2] for m in near], [m[2] for m in far])
+
+
+@pytest.mark.parametrize("data", [
+    np.random.default_rng(8).normal(size=(24, 3)),
+    np.array(list(itertools.product(range(3), range(3), range(2))), float),  # many equal distances
+])
+def test_rounds_inside_one_task_are_those_on_spark(spark, data):
+    rows = frame(spark, data)
+    steps = lambda tree: sorted((r.step, r.lo, r.hi, r.size, round(r.height, 9)) for r in tree.merges.collect())
+    spread, one = (clusters.ward_tree(rows, finish=5, block_rows=16, inside=n) for n in (0, 1000))
+    assert steps(spread) == steps(one) and len(steps(one)) == len(data) - 1
+    # the rounds of few clusters took some jobs each
+    assert len(one.compared) == 1 < len(spread.compared)
+
+
+def test_few_clusters_are_touched_late_on_spark(spark):
+    data = np.cumsum(1.0 + 0.05 * np.arange(40))[:, None] ** 1.2
+    tree = clusters.ward_tree(frame(spark, data), finish=37, block_rows=64, inside=0)
+    assert len(tree.compared) == 3 and all(looked < n * n / 2 for looked, n in zip(tree.compared[1:], range(39, 30, -1)))
+
+
+def test_vectors_at_no_finite_distance_stop_the_rounds(spark):
+    rows = frame(spark, np.array([[np.nan]] * 3 + [[np.inf]] * 3 + [[-np.inf]]))
+    with pytest.raises(Exception, match="no two are at a finite distance"):
+        clusters.ward_tree(rows, finish=1)

@@ -75,3 +75,30 @@ def test_numbers_and_trimmed_texts(spark):
     assert {t: r.s for t, r in got.items()} == {t: t if t is None else t.strip() for t in texts}
     odd = spark.createDataFrame([("NaN",), (" nan",)], "t string").select(to_number("t").alias("n"), code_number("t").alias("c")).collect()
     assert all(re.fullmatch("nan", str(v)) for r in odd for v in r)
+
+
+def outputs(df):
+    """Names of the columns that the nodes above the scan hand on, in the optimised plan."""
+    names, todo = set(), [df._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.children().size():
+            names |= {node.output().apply(i).name() for i in range(node.output().size())}
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return names
+
+
+def test_columns_that_a_job_does_not_read_are_not_packed_for_it(spark):
+    dated = spark.createDataFrame([(0, 2002, 2007, 3, 1, "IPP")], "rule_no int, valid_from int, valid_to int, source_cod_subtitulo long, source_cod_item long, canonical_group string")
+    catalog = spark.createDataFrame([(1, "Buin", "RM", "BUIN")], "`Cod Municipio` long, `Nombre Municipio` string, `Región` string, municipality_key string")
+    done = apply_municipality_catalog(normalize_layout(spark.createDataFrame(raw(spark).collect(), raw(spark).schema), dated, keep_filled=True), catalog)
+    few = done.select("Cod Municipio", "Percibidopag Total", "grupo_ingreso_canonico", "service_mapping_status")
+    assert few.first()["Percibidopag Total"] == 5.0
+    assert not {"_packed", "_rest", "Devengado Enero", "source_moneda", "Ppto Actualizado"} & outputs(few)
+
+
+def test_short_whole_codes_are_read_as_the_doubles_they_were(spark):
+    codes = {"-0": 0.0, "+12": 12.0, " 12 ": 12.0, "12 3": None, "7\u007f": None, "-": None, "1,5": None, "1.5": 1.5, "999999999999999": 999999999999999.0,
+             "9007199254740993": 9007199254740992.0, "1e3": 1000.0, "12d": None, "0x1p3": 8.0, "/7": None}
+    got = spark.createDataFrame([(t,) for t in codes], "t string").select("t", code_number("t").alias("c")).collect()
+    assert {r.t: r.c for r in got} == codes

@@ -90,11 +90,12 @@ def outputs(df):
 
 def test_columns_that_a_job_does_not_read_are_not_packed_for_it(spark):
     dated = spark.createDataFrame([(0, 2002, 2007, 3, 1, "IPP")], "rule_no int, valid_from int, valid_to int, source_cod_subtitulo long, source_cod_item long, canonical_group string")
-    catalog = spark.createDataFrame([(1, "Buin", "RM", "BUIN")], "`Cod Municipio` long, `Nombre Municipio` string, `Región` string, municipality_key string")
-    done = apply_municipality_catalog(normalize_layout(spark.createDataFrame(raw(spark).collect(), raw(spark).schema), dated, keep_filled=True), catalog)
-    few = done.select("Cod Municipio", "Percibidopag Total", "grupo_ingreso_canonico", "service_mapping_status")
-    assert few.first()["Percibidopag Total"] == 5.0
-    assert not {"_packed", "_rest", "Devengado Enero", "source_moneda", "Ppto Actualizado"} & outputs(few)
+    cells = spark.createDataFrame(raw(spark).collect(), raw(spark).schema)
+    few = ["Cod Municipio", "Percibidopag Total", "grupo_ingreso_canonico", "service_mapping_status"]
+    lean, whole = (normalize_layout(cells, dated, whole=w).select(*few) for w in (False, True))
+    assert lean.collect() == whole.collect() and lean.first()["Percibidopag Total"] == 5.0
+    assert not {"_packed", "Devengado Enero", "source_moneda", "Ppto Actualizado"} & outputs(lean)
+    assert "_packed" in outputs(whole)
 
 
 def test_short_whole_codes_are_read_as_the_doubles_they_were(spark):

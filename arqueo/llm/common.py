@@ -19,6 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def by_merge(side: DataFrame) -> DataFrame:
+    """A side of a join that grows with the corpus: the join shuffles it, whatever its files weigh.
+
+    Spark broadcasts a staged table by the size of its files. Columns of few values are many
+    times larger as rows, and the driver builds and holds what is broadcast.
+    """
+    return side.hint("merge")
+
+
 def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 

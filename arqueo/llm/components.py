@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arqueo.llm.common import stored
+from arqueo.llm.common import by_merge, stored
 
 
 def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -47,7 +47,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Edges are first reduced by union-find where they lie. Then large-star and small-star steps
     alternate until nothing changes; each is an aggregate and a join, stored, so neither edges
-    nor components pass through the driver and a node with very many edges is one aggregate.
+    nor components pass through the driver (the joins do not broadcast) and a node with very many edges is one aggregate.
     Roots are listed too. No edges give no rows.
     """
     edges = stored(edges.select("a", "b").mapInPandas(_forest, "a binary, b binary"), "forest")
@@ -56,10 +56,10 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(by_merge(least), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = stored(large, "large_star")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(
+        small = large.join(by_merge(least), "a").select(
             F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")
         ).select("e.*").filter("a != b").distinct()
         edges = stored(small, "small_star")

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arqueo.llm.common import packed, stored, unpacked
+from arqueo.llm.common import by_merge, packed, stored, unpacked
 from arqueo.llm.components import components
 
 SLOTS = 211  # prime: an element's ranks are a walk through all slots
@@ -118,8 +118,8 @@ def _confirm(size: int, percent: int):
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """``pairs`` (a, b) joined with both texts and checked; joins that adaptive execution can split."""
-    both = pairs.join(texts.select(F.col("class").alias("b"), F.col("text").alias("text_b")), "b").join(
-        texts.select(F.col("class").alias("a"), F.col("text").alias("text_a")), "a"
+    both = by_merge(pairs).join(texts.select(F.col("class").alias("b"), F.col("text").alias("text_b")), "b").join(
+        by_merge(texts.select(F.col("class").alias("a"), F.col("text").alias("text_a"))), "a"
     )
     return stored(both.select("a", "b", "text_a", "text_b").mapInPandas(_confirm(size, percent), "a binary, b binary"), "links")
 
@@ -128,7 +128,7 @@ def _with_roots(pairs: DataFrame, roots: DataFrame, columns: tuple[str, ...]) ->
     """A root_<c> for each class column <c>; a class without links is its own root."""
     for c in columns:
         of = roots.select(F.col("node").alias(c), F.col("root").alias("found"))
-        pairs = pairs.join(of, c, "left").withColumn(f"root_{c}", F.coalesce("found", c)).drop("found")
+        pairs = pairs.join(by_merge(of), c, "left").withColumn(f"root_{c}", F.coalesce("found", c)).drop("found")
     return pairs
 
 
@@ -137,7 +137,7 @@ def _still_open(rooted: DataFrame) -> DataFrame:
     buckets = rooted.groupBy("key").agg(
         F.min("root_class").alias("low"), F.max("root_class").alias("high"), F.count(F.lit(1)).alias("size")
     ).filter("low != high").select("key", "size")
-    return rooted.join(buckets, "key")
+    return rooted.join(by_merge(buckets), "key")
 
 
 def _crowds(left: DataFrame) -> DataFrame:
@@ -147,9 +147,9 @@ def _crowds(left: DataFrame) -> DataFrame:
     """
     large = left.filter(F.col("size") > CROWD)
     heads = large.groupBy("key").agg(F.min("class").alias("b"))
-    found = components(large.join(heads, "key").select(F.col("class").alias("a"), "b").filter("a != b").distinct())
+    found = components(large.join(by_merge(heads), "key").select(F.col("class").alias("a"), "b").filter("a != b").distinct())
     return large.select("class", "root_class").distinct().join(
-        found.select(F.col("node").alias("class"), F.col("root").alias("crowd")), "class"
+        by_merge(found.select(F.col("node").alias("class"), F.col("root").alias("crowd"))), "class"
     )
 
 
@@ -203,7 +203,7 @@ def _in_blocks(crowds: DataFrame, texts: DataFrame, size: int, percent: int) ->
     parts = crowds.groupBy("crowd", "root_class").agg(F.count(F.lit(1)).alias("n"))
     whole = parts.groupBy("crowd").agg(F.max(F.struct("n", "root_class")).alias("main"), F.sum("n").alias("all"))
     blocks = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("int")
-    sized = crowds.join(whole, "crowd").withColumns({
+    sized = crowds.join(by_merge(whole), "crowd").withColumns({
         "is_main": F.col("root_class") == F.col("main.root_class"), "mains": blocks(F.col("main.n")), "others": blocks(F.col("all") - F.col("main.n")),
     }).withColumn("block", F.pmod(F.xxhash64("class"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
     unit = lambda kind, u, v: F.struct(F.lit(kind).alias("kind"), u.cast("int").alias("u"), v.cast("int").alias("v"))
@@ -213,7 +213,7 @@ def _in_blocks(crowds: DataFrame, texts: DataFrame, size: int, percent: int) ->
         F.transform(upto("others"), lambda v: unit("other", F.least(block, v), F.greatest(block, v))),
         F.transform(upto("mains"), lambda v: unit("main", block, v)),
     ))
-    dealt = sized.select("crowd", "class", "root_class", F.explode(units).alias("unit")).join(texts, "class")
+    dealt = sized.select("crowd", "class", "root_class", F.explode(units).alias("unit")).join(by_merge(texts), "class")
     found = dealt.groupBy("crowd", "unit").applyInPandas(
         lambda rows: _block_links(size, percent)(rows), "a binary, b binary"
     )
@@ -238,7 +238,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     Texts with fewer words than a shingle are one shingle; without words or text, n_shingles is
     0 and the document is linked with nothing. Rows with a null doc_id take part; their
     component_id is the smallest id that is not null, or null. Repeated rows are one document.
-    An empty table gives an empty result.
+    An empty table gives an empty result. No join sends a side through the driver: all sides grow
+    with the documents, and staged ones are far smaller as files than as rows.
     """
     whole = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn(
         "text_hash", F.xxhash64("text")
@@ -251,15 +252,15 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     )
     keyed = classes.select("class", "n", F.explode("bands").alias("key"))
     heads = keyed.groupBy("key").agg(F.min(F.struct("class", "n")).alias("head"), F.count(F.lit(1)).alias("size")).filter("size > 1").drop("size")
-    members = stored(keyed.join(heads, "key"), "members")
+    members = stored(keyed.join(by_merge(heads), "key"), "members")
     alike = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
     stars = stored(
         members.filter(F.col("class") != F.col("head.class")).filter(alike(F.col("n"), F.col("head.n")))
         .groupBy(F.col("head.class").alias("a"), F.col("class").alias("b")).agg(F.count(F.lit(1)).alias("votes")), "stars",
     )
-    needed = members.select("class").distinct().join(classes.select("class", "sample.*"), "class")
+    needed = members.select("class").distinct().join(by_merge(classes.select("class", "sample.*")), "class")
     texts = stored(
-        needed.join(whole.withColumnRenamed("doc_id", "id"), ["text_hash"]).filter(F.col("doc_id").eqNullSafe(F.col("id")))
+        by_merge(needed).join(whole.withColumnRenamed("doc_id", "id"), ["text_hash"]).filter(F.col("doc_id").eqNullSafe(F.col("id")))
         .select("class", "text").dropDuplicates(["class"]), "texts",
     )
     most = Window.partitionBy("b").orderBy(F.col("votes").desc(), "a")
@@ -274,28 +275,28 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     left = stored(_still_open(rooted), "open")
     grouped = stored(_crowds(left), "crowds")
     links = links.unionByName(_in_blocks(grouped, texts, shingle_words, percent))
-    placed = stored(left.join(grouped.select("class", "crowd"), "class", "left"), "placed")
+    placed = stored(left.join(by_merge(grouped.select("class", "crowd")), "class", "left"), "placed")
     x, y = placed.alias("x"), placed.alias("y")
     apart = F.coalesce(F.col("x.crowd") != F.col("y.crowd"), F.lit(True))
     # buckets of a crowd have been dealt with; in the others a class has few partners
     rest = x.filter(F.col("size") <= CROWD).join(
-        y, (F.col("x.key") == F.col("y.key")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.root_class") != F.col("y.root_class"))
+        by_merge(y), (F.col("x.key") == F.col("y.key")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.root_class") != F.col("y.root_class"))
         & apart & alike(F.col("x.n"), F.col("y.n"))
     ).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
-    untested = rest.join(stars.select("a", "b"), ["a", "b"], "left_anti")
+    untested = rest.join(by_merge(stars.select("a", "b")), ["a", "b"], "left_anti")
     links = links.unionByName(_confirmed(untested, texts, shingle_words, percent))
     roots = components(links)
 
     named = _with_roots(classes.select("class", "sample.doc_id"), roots, ("class",))
     smallest = named.groupBy("root_class").agg(F.min("doc_id").alias("component_id"))
-    found = named.select("class", "root_class").join(smallest, "root_class").select("class", "component_id")
-    judged = signed.select("doc_id", "text_hash", "n_shingles", "class").distinct().join(found, "class", "left").select(
+    found = named.select("class", "root_class").join(by_merge(smallest), "root_class").select("class", "component_id")
+    judged = signed.select("doc_id", "text_hash", "n_shingles", "class").distinct().join(by_merge(found), "class", "left").select(
         F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "n_shingles",
         F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
     own = packed(docs, doc_id=F.col("doc_id").cast("bigint"), text_hash=F.xxhash64(F.col("text").cast("string")))
     same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))
     return unpacked(
-        own.join(judged, same, "left"), n_shingles=F.col("n_shingles"), component_id=F.col("component_id"),
+        own.join(by_merge(judged), same, "left"), n_shingles=F.col("n_shingles"), component_id=F.col("component_id"),
         kept=F.col("doc_id").eqNullSafe(F.col("component_id")),
     )

@@ -131,3 +131,24 @@ def test_components(spark):
     got = components(spark.createDataFrame(as_bytes, "a binary, b binary").repartition(6)).collect()
     assert {int.from_bytes(r.node, "big"): int.from_bytes(r.root, "big") for r in got} == {x: find(x) for x in root}
     assert components(spark.createDataFrame([], "a binary, b binary")).count() == 0
+
+
+def test_no_side_goes_through_the_driver(spark, monkeypatch):
+    """Staged tables are small as files and large as rows: joins must not broadcast them."""
+    from arqueo.llm import components as found_components
+    from arqueo.llm import near_dedup
+
+    plans = []
+
+    def seen(df, *args, **options):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df, *args, **options)
+
+    kept = near_dedup.stored
+    monkeypatch.setattr(near_dedup, "stored", seen)
+    monkeypatch.setattr(found_components, "stored", seen)
+    rows = [(i, " ".join(f"w{i % 7}x{j}" for j in range(40 + i % 3))) for i in range(40)]
+    result_of = near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert len(result(result_of)) == 40
+    plans.append(result_of._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 10 and not [p for p in plans if "Broadcast" in p]
